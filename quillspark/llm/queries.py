@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from quillspark.llm import pii, urlrep
+from quillspark.llm import bpe, lid, ngram_join, orc_tokens, packing, pii, urlrep
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_url_reputation": urlrep.op2_url_reputation,
+    "op3_language_id": lid.op3_language_id,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_orc_tokens": orc_tokens.op5_orc_tokens,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
 }
 SQL = {
     "op2_url_reputation": urlrep.op2_sql(),
+    "op4_ngram_join": ngram_join.op4_sql(),
 }

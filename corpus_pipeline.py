@@ -21,10 +21,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words are in no group and stay, as do rows without a doc_id. Of rows that share the kept doc_id
     one stays. Rows and columns of those kept stay as they are.
     """
-    classes = ngram_classes(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return rows.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    classes = materialize(ngram_classes(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "classes")
+    counts = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = docs.join(counts.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    # rows that share an id; apart, so that only these texts are aggregated
+    repeated = docs.join(counts.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 STAGES = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, lid, ngram_join, orc_tokens, packing, pii, urlrep
+from quillspark.llm import ann, bpe, lid, mips, ngram_join, orc_tokens, packing, pii, sharding, urlrep
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -11,9 +11,13 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_orc_tokens": orc_tokens.op5_orc_tokens,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_kmeans_tree": ann.op7_kmeans_tree,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_norm_buckets": mips.op9_norm_buckets,
+    "op10_hilbert_shards": sharding.op10_hilbert_shards,
 }
 SQL = {
     "op2_url_reputation": urlrep.op2_sql(),
     "op4_ngram_join": ngram_join.op4_sql(),
+    "op9_norm_buckets": mips.op9_sql(),
 }

@@ -20,8 +20,13 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def non_empty(parts: Column) -> Column:
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: strip(x)), lambda x: x != "")
 
 
 def char_grams(text: Column, k: int = 3) -> Column:
@@ -133,7 +138,7 @@ _CITE = r"\[CITE:([^\]]+)\]"
 
 
 def _cited(answer: Column) -> Column:
-    return F.transform(F.regexp_extract_all(answer, F.lit(_CITE), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(answer, F.lit(_CITE), F.lit(1)), lambda x: F.trim(x))
 
 
 def citation_ids(answer: Column) -> Column:
@@ -165,7 +170,7 @@ def condensed(text: Column, must: Column, must_not: Column) -> Column:
 
 def numbered_lines(reply: Column, most: int = 4) -> Column:
     """Lines of a model's list without their numbers, the first ``most``."""
-    return F.slice(non_empty(F.transform(F.split(reply, "\n"), lambda x: F.regexp_replace(F.trim(x), r"^\d+[.)]\s*", ""))), 1, most)
+    return F.slice(non_empty(F.transform(F.split(reply, "\n"), lambda x: F.regexp_replace(strip(x), r"^\d+[.)]\s*", ""))), 1, most)
 
 
 def date_range(text: Column) -> Column:
@@ -225,8 +230,10 @@ def title_of(text: Column) -> Column:
 
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-8 (with or without a byte-order mark), else Windows-1252, whose undefined bytes are Latin-1's."""
-    utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "windows-1252")), "^﻿", "")
+    high = [(chr(i), bytes([i]).decode("cp1252", errors="ignore")) for i in range(0x80, 0xA0)]
+    high = [(a, b) for a, b in high if b]
+    latin = F.translate(F.decode(content, "iso-8859-1"), "".join(a for a, _ in high), "".join(b for _, b in high))
+    return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), latin), "^\ufeff", "")
 
 
 def keyword_coverage(answer: Column, keywords: Column) -> Column:

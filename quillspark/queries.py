@@ -40,7 +40,7 @@ _ABBR = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|e\\.g|i\\.e"
 def _sentences(t: str) -> str:
     held = f"regexp_replace({t}, '(?i)\\b({_ABBR})\\.', '\\1' || chr(2), 'g')"
     cut = f"regexp_replace({held}, '([.!?])\\s+([A-Z0-9\"''(\\[])', '\\1' || {_SEP} || '\\2', 'g')"
-    return f"list_filter(list_transform(string_split({cut}, {_SEP}), lambda x: trim(replace(x, chr(2), '.'))), lambda x: x <> '')"
+    return f"list_filter(list_transform(string_split({cut}, {_SEP}), lambda x: regexp_replace(replace(x, chr(2), '.'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 
 
 def _terms(t: str) -> str:
@@ -365,13 +365,13 @@ def consolidate_by_source(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source_file", "section_key", F.sha2("text", 256).alias("text_sha"), "page_start", "page_end", F.array_join("categories", ",").alias("categories"), "has_table", "has_list", "element_count", "modality", "language")
 
 
-@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)
 SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS pos, sha256(unnest(p)) AS text_sha FROM p""")
 def text_elements(spark: SparkSession, d: str) -> DataFrame:
     return files.text_elements(read(spark, d, "documents")).select("doc_id", "pos", F.sha2("text", 256).alias("text_sha"))
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), r AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, trim(unnest(l)) AS line FROM l)
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), r AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS line FROM l)
 SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^#{1,6}\\s') THEN 'Title' WHEN regexp_matches(line, '^(?:[-*+]|\\d+[.)])\\s') THEN 'ListItem' WHEN starts_with(line, '|') THEN 'Table' ELSE 'NarrativeText' END AS category
 FROM r WHERE line <> ''""")
 def markdown_elements(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import decoded
+from quillspark.functions.text import decoded, non_empty, strip
 
 # fixed values: the file kinds that are scanned
 EXTENSIONS = ("pdf", "docx", "md", "txt", "html", "png", "jpg", "jpeg")
@@ -44,15 +44,15 @@ def write_manifest(files: DataFrame, path: str) -> None:
 
 def text_elements(docs: DataFrame) -> DataFrame:
     """Paragraphs of plain text ``docs`` (doc_id, text): rows (doc_id, pos, category, depth, text)."""
-    parts = F.filter(F.transform(F.split("text", "\n\n"), F.trim), lambda x: x != "")
+    parts = non_empty(F.split("text", "\n\n"))
     rows = docs.select("doc_id", F.posexplode(parts).alias("pos", "text"))
     return rows.select("doc_id", "pos", F.lit("NarrativeText").alias("category"), F.lit(None).cast("int").alias("depth"), "text")
 
 
 def markdown_elements(docs: DataFrame) -> DataFrame:
     """Elements of Markdown ``docs`` (doc_id, text) by line: titles with depth, list items, table rows, text."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    line = F.trim("line")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(strip(F.col("line")) != "")
+    line = strip(F.col("line"))
     marks = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
     category = F.when(marks > 0, "Title").when(line.rlike(r"^(?:[-*+]|\d+[.)])\s"), "ListItem").when(line.startswith("|"), "Table").otherwise("NarrativeText")
     text = F.regexp_replace(line, r"^(?:#{1,6}|[-*+]|\d+[.)])\s+", "")

@@ -214,18 +214,21 @@ def _predict(net: Network | None, mark: str):
     return run
 
 
+def _judged(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, each under its name after an underscore, so that none clashes with lang_pred and score."""
+    texts = docs.select(*[F.col(k).alias(f"_{k}") for k in keep], "text")
+    kinds = "".join(f"`_{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+    mark = "none" if net is None else f"{net.languages} {float(sum(np.abs(v).sum() for v in net.w.values()))!r}"
+    return texts.mapInPandas(_predict(net, mark), f"{kinds}lang_pred string, score double")
+
+
 def predict(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred string and score double; the whole text is read.
 
     A null text, one without a letter, and any text where no language was learned: ``und`` and 0. Only the text
     decides; rows are handled one by one, so repeated rows get equal answers; an empty table gives no rows.
     """
-    # renamed, so that a column of the input called text, lang_pred or score is kept apart
-    texts = docs.select(*[F.col(k).alias(f"_{k}") for k in keep], "text")
-    kinds = ", ".join(f"`_{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    mark = "none" if net is None else f"{net.languages} {float(sum(np.abs(v).sum() for v in net.w.values()))!r}"
-    done = texts.mapInPandas(_predict(net, mark), f"{kinds}, lang_pred string, score double")
-    return done.select(*[F.col(f"_{k}").alias(k) for k in keep], "lang_pred", "score")
+    return _judged(docs, net, keep).select(*[F.col(f"_{k}").alias(k) for k in keep], "lang_pred", "score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,5 +246,5 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows and columns of those kept stay as they are.
     """
     net = train(training_sample(docs))
-    judged = predict(docs, net, docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW)).select(*docs.columns)
+    kept = _judged(docs, net, docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW))
+    return kept.select(*[F.col(f"_{k}").alias(k) for k in docs.columns])

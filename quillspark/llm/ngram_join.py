@@ -1,16 +1,20 @@
 """N-gram Jaccard join over prefix trees: near-duplicate classes of whole texts, exact at the threshold.
 
-The sets are kept in one global order, the widely shared shingles last, the others by their hash. Two sets
-that meet the threshold share a shingle among the first few of each (the prefix), so the work is:
+The sets are kept in one global order, the widely shared shingles last, the others by their hash. Two sets that
+meet the threshold share a shingle among the first few of each (the prefix; of the smaller set, among even fewer).
 
 1. Count, in every task over all texts, the shingles that repeat there; those with high totals are ordered last.
-   The order changes the cost only, never the result.
-2. Take each text's set size, a 128-bit mark of its set and its prefix. Equal sets collapse to one member.
-3. Members that share prefix shingles meet in buckets of bounded size (each goes where most others go; every part
-   of a large bucket also holds the bucket's pivot). A bucket's sets form a trie; each set is matched by a
-   traversal that shares partial overlaps and cuts subtrees that can no longer reach the threshold.
-4. What is left, pairs on a shared prefix shingle whose components differ, is joined with the length and position
-   bounds and verified: first only between components' smallest members, then all of it.
+   The order changes the cost only, never the result. The same pass takes each text's set size and a 128-bit mark
+   of its set; equal sets collapse to one member.
+2. Prefix shingles go, packed, to buckets of their range, where those that no other set of like size has are
+   dropped. Hot shingles need no such test and stay where they are.
+3. Members that share prefix shingles meet in parts of bounded size (each goes where most others go; every part
+   of a large group also holds the group's pivot). The sets come from a second pass over the texts, behind a
+   bitmap of the members. A part's sets form a trie; each set is matched by a traversal that shares partial
+   overlaps and cuts subtrees that can no longer reach the threshold.
+4. What is left, pairs on a shared prefix shingle whose components differ, is joined with the bounds on sizes and
+   places, bounded by small histograms of the sets, and verified: first only between components' smallest members,
+   then all of it. Sets are never stored; the few that a step needs come from a pass over the texts.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, materialize, table
+from quillspark.llm.common import components, materialize, shuffle_parts, table
 from quillspark.llm.textsets import shingle_sets
 
 #: A shingle is ordered last when its counted total reaches this.
@@ -34,7 +38,17 @@ COUNTED = 4_000_000
 #: Members of one part of a bucket, its trie held in memory.
 PART = 256
 #: Rounds of matching between the components' smallest members before all pairs that are left.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: Cells of a set's histogram.
+CELLS = 256
+#: Rows of a side that may be broadcast (some 40 bytes each); a longer one is shuffled.
+BROADCAST_ROWS = 200_000
+#: Prefix shingles of one bucket, at most about.
+BUCKET_ROWS = 600_000
+#: Steps of the size scale within the threshold.
+SIZE_STEPS = 4
+#: The members' bitmap has at most two to this power bits (32 MB).
+BITMAP_MOST = 28
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -55,6 +69,11 @@ class Order:
         place[np.lexsort((hot, counts))] = np.arange(len(hot))
         self.place = place[by]
 
+    def is_hot(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(s), dtype=bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)] == s
+
     def sort(self, s: np.ndarray) -> np.ndarray:
         """``s`` (ascending) in the global order."""
         if not len(self.hot) or not len(s):
@@ -65,30 +84,54 @@ class Order:
         return np.concatenate((s[~is_hot], hot[np.argsort(self.place[at[is_hot]])]))
 
 
-def _repeated(width: int):
+def _marks_of(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128-bit mark of a set."""
+    salt = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+    with np.errstate(over="ignore"):
+        mixed = [(s ^ k) * (s | np.uint64(1)) for k in salt]
+        return tuple(np.sum((m ^ (m >> np.uint64(29))) * salt[0], dtype=np.uint64) for m in mixed)
+
+
+def _signed(values: list) -> np.ndarray:
+    return np.array(values, dtype=np.uint64).view(np.int64)
+
+
+def _first_pass(width: int):
+    """Rows of the texts' marks (s null), and of the shingles that repeat within the task (n null)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
-        def flush() -> pd.DataFrame:
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"s": s[n > 1].view(np.int64), "n": n[n > 1]})
+        def repeated() -> pd.DataFrame:
+            s, c = np.unique(np.concatenate(held), return_counts=True)
+            s, c = s[c > 1].view(np.int64), c[c > 1]
+            none = pd.array([None] * len(s), dtype="Int64")
+            return pd.DataFrame({"doc_id": none, "n": none, "hi": none, "lo": none, "s": pd.array(s, dtype="Int64"), "c": pd.array(c, dtype="Int64")})
 
         for pdf in batches:
-            for one in shingle_sets(pdf["text"].tolist(), width):
-                held.append(one)
-                size += len(one)
+            n, hi, lo = [], [], []
+            for s in shingle_sets(pdf["text"].tolist(), width):
+                marks = _marks_of(s)
+                n.append(len(s))
+                hi.append(marks[0])
+                lo.append(marks[1])
+                held.append(s)
+                size += len(s)
                 if size >= COUNTED:
-                    yield flush()
+                    yield repeated()
                     held, size = [], 0
+            none = pd.array([None] * len(n), dtype="Int64")
+            ids = pdf["doc_id"].astype("Int64")
+            yield pd.DataFrame({"doc_id": ids, "n": pd.array(n, dtype="Int64"), "hi": pd.array(_signed(hi), dtype="Int64"), "lo": pd.array(_signed(lo), dtype="Int64"), "s": none, "c": none})
         if size:
-            yield flush()
+            yield repeated()
 
     return run
 
 
-def _order(docs: DataFrame, width: int) -> Order:
-    """Totals of the shingles that repeat within a task, over all texts; the list is cut by count, never by place."""
-    totals = docs.select("text").mapInPandas(_repeated(width), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+def _order(repeated: DataFrame) -> Order:
+    """The order from the repeated shingles (s, c) of all tasks; the list is cut by total, never by place."""
+    totals = repeated.groupBy("s").agg(F.sum("c").alias("n"))
     totals = materialize(totals.where(F.col("n") >= HOT_FROM), "hot")
     steps = {r["k"]: r["c"] for r in totals.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("c")).collect()}
     lowest, room = max(steps, default=0) + 1, HOT_MOST
@@ -100,36 +143,120 @@ def _order(docs: DataFrame, width: int) -> Order:
     return Order(hot["s"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64))
 
 
-def _marks(width: int, percent: int, order):
+def _step(n: int, percent: int) -> int:
+    """Size of a set on a scale where sizes within the threshold are at most SIZE_STEPS + 1 apart."""
+    return int(np.log(n) / -np.log(min(percent, 99.9) / 100) * SIZE_STEPS)
+
+
+def _prefixes(width: int, percent: int, order, buckets: int):
+    """Prefix shingles of the texts, packed by bucket; the hot ones, shared for certain, in further buckets by set."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        salt = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+        held, size = [], 0
+
+        def packed() -> pd.DataFrame:
+            s = np.concatenate([h[0] for h in held])
+            counts = [len(h[0]) for h in held]
+            hi = np.repeat(np.array([h[1] for h in held], dtype=np.uint64), counts)
+            step = np.repeat(np.array([h[2] for h in held], dtype=np.int16), counts)
+            near = np.concatenate([np.arange(len(h[0])) < h[3] for h in held])
+            bucket = ((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = np.where(order.value.is_hot(s), buckets + (hi % np.uint64(buckets)).astype(np.int64), bucket)
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[by])) + 1
+            rows = [(int(bucket[p[0]]), s[p].tobytes(), hi[p].tobytes(), step[p].tobytes(), near[p].tobytes()) for p in np.split(by, cuts)]
+            return pd.DataFrame(rows, columns=["bucket", "s", "hi", "step", "near"])
+
         for pdf in batches:
-            n, hi, lo, prefix = [], [], [], []
             for s in shingle_sets(pdf["text"].tolist(), width):
-                with np.errstate(over="ignore"):
-                    mixed = [(s ^ k) * (s | np.uint64(1)) for k in salt]
-                    mixed = [np.sum((m ^ (m >> np.uint64(29))) * salt[0], dtype=np.uint64) for m in mixed]
-                n.append(len(s))
-                hi.append(mixed[0])
-                lo.append(mixed[1])
-                prefix.append(order.value.sort(s)[: prefix_length(len(s), percent)].view(np.int64))
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n": n, "hi": np.array(hi, dtype=np.uint64).view(np.int64),
-                "lo": np.array(lo, dtype=np.uint64).view(np.int64), "prefix": prefix,
-            })
+                if n := len(s):
+                    prefix = order.value.sort(s)[: prefix_length(n, percent)]
+                    held.append((prefix, _marks_of(s)[0], _step(n, percent), n - least_overlap(n, n, percent) + 1))
+                    size += len(prefix)
+                    if size >= COUNTED // 4:
+                        yield packed()
+                        held, size = [], 0
+        if size:
+            yield packed()
 
     return run
 
 
-def _ordered_sets(width: int, order):
+def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), dtype=kind)
+    return join("s", np.int64), join("hi", np.int64), join("step", np.int16).astype(np.int64), join("near", np.bool_)
+
+
+def _shared_rows(buckets: int):
+    """Rows of a bucket whose shingle another set of like size has; one of the two must be in its nearer prefix."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, hi, step, near = _unpacked(pdf)
+        if pdf["bucket"].iloc[0] < buckets:
+            by = np.lexsort((hi, step, s))
+            s, hi, step, near = s[by], hi[by], step[by], near[by]
+            once = np.concatenate(([True], (s[1:] != s[:-1]) | (hi[1:] != hi[:-1])))
+            s, hi, step, near = s[once], hi[once], step[once], near[once]
+            group = np.cumsum(np.concatenate(([0], s[1:] != s[:-1]))) * 65536 + step
+            low = np.searchsorted(group, group - SIZE_STEPS - 1, side="left")
+            high = np.searchsorted(group, group + SIZE_STEPS + 1, side="right")
+            nears = np.concatenate(([0], np.cumsum(near)))
+            keep = np.where(near, high - low > 1, nears[high] - nears[low] > 0)
+            s, hi, near = s[keep], hi[keep], near[keep]
+        return pd.DataFrame({"s": s, "hi": hi, "near": near})
+
+    return run
+
+
+#: Bytes of a shingle's hash that travel with a set.
+_HASH_BYTES = 6
+
+
+def _narrow(s: np.ndarray) -> bytes:
+    return np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // _HASH_BYTES, 8), dtype=np.uint8)
+    out[:, :_HASH_BYTES] = np.frombuffer(b, dtype=np.uint8).reshape(-1, _HASH_BYTES)
+    return out.view(np.int64).reshape(-1)
+
+
+def _histogram(s: np.ndarray) -> bytes:
+    return np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes()
+
+
+def _of_members(width: int, bitmap, make):
+    """(hi, lo, value) of texts whose mark is in the bitmap, ``value`` made of the set; equal sets once per task."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, seen = bitmap.value, set()
+        mask = np.uint64(len(bits) * 8 - 1)
         for pdf in batches:
-            sets = [order.value.sort(s).tobytes() for s in shingle_sets(pdf["text"].tolist(), width)]
-            yield pd.DataFrame({"rep": pdf["rep"], "shingles": sets})
+            rows = []
+            for s in shingle_sets(pdf["text"].tolist(), width):
+                if len(s):
+                    hi, lo = _marks_of(s)
+                    at = int(hi & mask)
+                    if bits[at >> 3] >> (at & 7) & 1 and (hi, lo) not in seen:
+                        seen.add((hi, lo))
+                        rows.append((hi, lo, make(s)))
+            yield pd.DataFrame({"hi": _signed([r[0] for r in rows]), "lo": _signed([r[1] for r in rows]), "value": [r[2] for r in rows]})
 
     return run
 
 
+def _bitmap(members: DataFrame) -> bytes:
+    """Bitmap over the low bits of the members' marks: 16 bits or more a member, up to BITMAP_MOST; false hits only cost."""
+    bits = 1 << min(BITMAP_MOST, max(18, (16 * members.count()).bit_length()))
+    place = F.col("hi").bitwiseAND(bits - 1) + 1
+    parts = members.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b"))
+    out = bytearray(bits // 8)
+    for r in parts.toLocalIterator():
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["b"]
+    return bytes(out)
+
+
 class _Node:
     """A run of shingles shared by all sets below, with the bounds of their sizes and one of their members."""
 
@@ -224,7 +351,7 @@ def trie_join(sets: list[np.ndarray], percent: int) -> list[int]:
 def _join_part(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("rep").sort_values("rep", ignore_index=True)
-        sets = [np.frombuffer(b, dtype=np.int64) for b in pdf["shingles"]]
+        sets = [_wide(b) for b in pdf["value"]]
         first = trie_join(sets, percent)
         rep = pdf["rep"].to_numpy()
         out = pd.DataFrame({"a": rep, "b": rep[first]})
@@ -238,7 +365,7 @@ def _verified(percent: int):
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
+                x, y = _wide(x), _wide(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
@@ -246,6 +373,19 @@ def _verified(percent: int):
     return run
 
 
+def _possible(percent: int):
+    """Pairs whose histograms leave room for the least overlap: the sum of the smaller cells bounds the intersection."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, y = (np.frombuffer(b"".join(pdf[c]), dtype="<i4").reshape(-1, CELLS) for c in ("x", "y"))
+                both = np.minimum(x, y).sum(1)
+                yield pdf.loc[100 * both >= percent * (x.sum(1) + y.sum(1) - both), ["a", "b"]]
+
+    return run
+
+
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (rep, label) after the links (a, b) between members: components of the labels."""
     if links.isEmpty():
@@ -268,59 +408,85 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    order = spark.sparkContext.broadcast(_order(docs, width))
-    marks = docs.mapInPandas(_marks(width, percent, order), "doc_id long, n int, hi long, lo long, prefix array<long>")
-    marks = materialize(marks, "marks")
-    classes = marks.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes, "classes")
-    rows = classes.where("rep is not null").select("rep", "n", F.posexplode("prefix").alias("pos", "s"))
-    # the shingles that lead to anyone, and the smallest member there as the bucket's pivot
-    shared = rows.groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("pivot"), F.max("rep").alias("last"))
-    shared = shared.where("pivot <> last").select("s", "c", "pivot")
-    rows = materialize(rows.join(shared, "s"), "rows")
-
-    best = rows.groupBy("rep").agg(F.max(F.struct("c", "s", "pivot")).alias("k")).select("rep", "k.*")
+    first = docs.mapInPandas(_first_pass(width), "doc_id long, n long, hi long, lo long, s long, c long")
+    first = materialize(first, "marks")
+    order = spark.sparkContext.broadcast(_order(first.where("c is not null").select("s", "c")))
+    marks = first.where("c is null").select("doc_id", "n", "hi", "lo")
+    classes = materialize(marks.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
+    whole = marks.agg(F.sum("n")).first()[0] or 0
+    buckets = max(shuffle_parts(spark), whole * (100 - percent) // 100 // BUCKET_ROWS + 1)
+    packed = docs.select("text").mapInPandas(_prefixes(width, percent, order, buckets), "bucket int, s binary, hi binary, step binary, near binary")
+    met = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets), "s long, hi long, near boolean")
+    # by members; a mark's first half may stand for several classes, which then just meet more
+    rows = met.join(classes.where("rep is not null"), "hi").groupBy("s", "rep", "n", "hi", "lo").agg(F.max("near").alias("near"))
+    # the shingles that lead to anyone, and the smallest member there as the group's pivot
+    rows = materialize(rows, "rows-all")
+    shared = rows.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct("rep", "hi", "lo")).alias("pivot"), F.max("rep").alias("last"))
+    rows = materialize(rows.join(shared.where("pivot.rep <> last"), "s").drop("last"), "rows")
+
+    best = rows.groupBy("rep", "hi", "lo").agg(F.max(F.struct("c", "s", "pivot")).alias("k")).select("rep", "hi", "lo", "k.*")
     best = best.withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
-    best = materialize(best.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "buckets")
-    members = rows.select("rep").distinct()
-    sets = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text")
-    sets = materialize(sets.mapInPandas(_ordered_sets(width, order), "rep long, shingles binary"), "sets")
-    pivots = best.groupBy("s", "pivot", "part").agg(F.lit(1).alias("one")).select(F.col("pivot").alias("rep"), "s", "part")
-    placed = best.select("rep", "s", "part").union(pivots).join(sets, "rep")
-    links = placed.groupBy("s", "part").applyInPandas(_join_part(percent), "a long, b long")
-    labels = members.select("rep", F.col("rep").alias("label"))
+    best = materialize(best.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "groups")
+    members = best.select("rep", "hi", "lo")
+    pair = "a long, b long"
+
+    def values(wanted: DataFrame, make) -> DataFrame:
+        """``wanted`` (hi, lo, ...) with ``value`` made of each one's set, from a pass over the texts."""
+        few = wanted.count() <= BROADCAST_ROWS
+        bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
+        found = docs.select("text").mapInPandas(_of_members(width, bitmap, make), "hi long, lo long, value binary")
+        return found.join(F.broadcast(wanted) if few else wanted, ["hi", "lo"])
+
+    pivots = best.where("parts > 1").groupBy("s", "part", "pivot").agg(F.lit(1).alias("one")).select("pivot.*", "s", "part")
+    places = materialize(best.select("rep", "hi", "lo", "s", "part").union(pivots), "places")
+    placed = values(places, lambda x: _narrow(order.value.sort(x)))
+    links = placed.groupBy("s", "part").applyInPandas(_join_part(percent), pair)
+    labels = members.select("rep", F.col("rep").alias("label")).distinct()
     labels = _merge(labels, materialize(links.distinct(), "links"))
+    histograms = None
 
     def verified(pairs: DataFrame) -> DataFrame:
-        whole = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-        whole = whole.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        return materialize(whole.mapInPandas(_verified(percent), "a long, b long").distinct(), "links")
+        """The pairs (a, b) of members whose sets meet the threshold."""
+
+        def with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
+            side = lambda k, v: held.select(F.col("rep").alias(k), F.col("value").alias(v))
+            return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+        likely = materialize(with_both(pairs, histograms).mapInPandas(_possible(percent), pair).distinct(), "likely")
+        if likely.isEmpty():
+            return likely
+        ends = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
+        held = materialize(values(materialize(members.join(ends, "rep"), "ends"), _narrow), "sets")
+        return materialize(with_both(likely, held).mapInPandas(_verified(percent), pair).distinct(), "links")
 
     def undecided(labels: DataFrame) -> DataFrame:
         """Rows of the shingles whose members are in several components."""
         now = rows.join(labels, "rep")
         open_ = now.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("s")
-        return materialize(now.select("s", "rep", "n", "pos", "label").join(open_, "s"), "open")
+        return materialize(now.select("s", "rep", "n", "near", "label").join(open_, "s"), "open")
 
-    near = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
+    alike = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     for _ in range(PIVOT_ROUNDS):
         left = undecided(labels)
+        if histograms is None:
+            open_members = materialize(members.join(left.select("rep").distinct(), "rep"), "open-members")
+            histograms = materialize(values(open_members, _histogram), "histograms")
         firsts = left.groupBy("s", "label").agg(F.min(F.struct("rep", "n")).alias("m"))
         pivot = firsts.groupBy("s").agg(F.min("m").alias("p"))
-        pairs = firsts.join(pivot, "s").where("m.rep <> p.rep").selectExpr("p.rep a", "m.rep b", "p.n n1", "m.n n2").where(near)
+        pairs = firsts.join(pivot, "s").where("m.rep <> p.rep").selectExpr("p.rep a", "m.rep b", "p.n n1", "m.n n2").where(alike)
         links = verified(pairs.select("a", "b").distinct())
         if links.isEmpty():
             break
         labels = _merge(labels, links)
     left = undecided(labels)
-    one = left.selectExpr("s", "rep a", "n n1", "pos p1", "label l1")
-    two = left.selectExpr("s", "rep b", "n n2", "pos p2", "label l2")
-    reach = f"(100 + {percent}) * (1 + least(n1 - p1 - 1, n2 - p2 - 1)) >= {percent} * (n1 + n2)"
-    pairs = one.join(two, "s").where(f"a < b and l1 <> l2 and {near} and {reach}").select("a", "b").distinct()
+    one = left.selectExpr("s", "rep a", "n n1", "near p1", "label l1")
+    two = left.selectExpr("s", "rep b", "n n2", "near p2", "label l2")
+    # the smaller of the two has the shingle in its nearer prefix
+    pairs = one.join(two, "s").where(f"a < b and l1 <> l2 and {alike} and if(n1 < n2, p1, if(n2 < n1, p2, p1 and p2))").select("a", "b").distinct()
     labels = _merge(labels, verified(pairs))
 
     of_class = classes.join(labels, "rep", "left").select("n", "hi", "lo", F.coalesce("label", "rep").alias("component_id"))
-    return marks.drop("prefix").join(of_class, ["n", "hi", "lo"], "left").select(
+    return marks.join(of_class, ["n", "hi", "lo"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )

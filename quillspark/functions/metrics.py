@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import has_citation, words
 
-#: (model, input price, output price) in dollars per million tokens.
-PRICES = (("gpt-4o", 2.50, 10.00), ("gpt-4o-mini", 0.15, 0.60), ("gpt-4-turbo", 10.00, 30.00), ("gpt-3.5-turbo", 0.50, 1.50))
+# fixed values: (model, input price, output price) in dollars per million tokens
+PRICES = (
+    ("gpt-4-turbo", 10.00, 30.00),
+    ("gpt-4o", 2.50, 10.00),
+    ("gpt-4o-mini", 0.15, 0.60),
+    ("text-embedding-3-small", 0.02, 0.0),
+    ("text-embedding-3-large", 0.13, 0.0),
+    ("BAAI/bge-large-en-v1.5", 0.0, 0.0),
+)
 FALLBACK_MODEL = "gpt-4-turbo"
 RERANK_PER_1000 = 2.00
 
@@ -58,7 +65,7 @@ def squashed(logit: Column) -> Column:
     return F.tanh(logit)
 
 
-def reward(response: Column, context: Column, learned: Column | None = None, weights=(0.4, 0.2, 0.3, 0.1)) -> Column:
+def reward(response: Column, context: Column, learned: Column | None = None, weights=(0.7, 0.15, 0.1, 0.05)) -> Column:
     """Weighted sum of the learned reward, citation, overlap and length; without a learned one its weight is shared out."""
     learned_w, *rest = weights
     scale = 1.0 if learned is not None else 1 / sum(rest)

@@ -5,17 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import any_of
+from quillspark.functions.text import any_of, strip
 
 # fixed values: openings of answers that say nothing, and marks of non-answers
-UNANSWERED_PREFIXES = ("i don't know", "i do not know", "i could not find", "i couldn't find", "no relevant")
-NON_ANSWER_MARKS = ("i don't know", "i do not have", "could not find", "no information")
+UNANSWERED_PREFIXES = ("i'm sorry", "i was unable", "an internal error", "i cannot answer", "i could not find")
+NON_ANSWER_MARKS = (
+    "i cannot answer this from the available context",
+    "i've handed off your question to another agent",
+    "i don't know",
+    "i do not know",
+)
+
+# fixed values: what messages say that clear preferences, are small talk, or open a question
+CLEARING = (
+    r"forget (?:everything|all|all preferences)",
+    r"reset (?:your |all )?(?:instructions?|preferences?|settings?)",
+    r"start fresh",
+    r"clear (?:your |all )?(?:memory|preferences?|instructions?)",
+    r"ignore all (?:previous |prior )?preferences?",
+)
+SMALL_TALK = (
+    "ok", "okay", "thanks?", "thank you", "cool", "great", "nice", "sure", "interesting", "got it", "i see", "makes sense", "sounds good",
+    "no problem", "hello", "hi", "hey", "good", "alright", "perfect", "wonderful", "awesome",
+)
+QUESTION_OPENINGS = (
+    "what", "who", "why", "how", "when", "where", "which", "is ", "are ", "does ", "do ", "can ", "could ", "would ", "should ", "explain ",
+    "describe ", "tell me ", "show ", "find ", "list ", "give ", "help ", "summarize ", "summarise ", "compare ",
+)
 
 
 def unanswered(answer: Column, faithfulness: Column, least: float = 0.3) -> Column:
     """Empty, opening like a refusal, or of a faithfulness below ``least``."""
-    text = F.lower(F.trim(F.coalesce(answer, F.lit(""))))
-    return (text == "") | any_of([text.startswith(p) for p in UNANSWERED_PREFIXES]) | F.coalesce(faithfulness < least, F.lit(False))
+    text = F.lower(strip(F.coalesce(answer, F.lit(""))))
+    return (F.coalesce(answer, F.lit("")) == "") | any_of([text.startswith(p) for p in UNANSWERED_PREFIXES]) | F.coalesce(faithfulness < least, F.lit(False))
 
 
 def non_answer(answer: Column) -> Column:
@@ -62,9 +84,9 @@ def preference_kind(message: Column) -> Column:
     """Fast classification of a message: ``clear``, ``null`` or undecided (null)."""
     text = F.trim(message)
     words = F.size(F.split(text, r"\s+"))
-    clear = text.rlike(r"(?i)\b(?:clear|reset|forget|remove)\b.*\bpreferences?\b")
-    nothing = text.rlike(r"(?i)^(?:hi|hello|hey|thanks|thank you|ok|okay|yes|no)\b[.!]?$")
-    question = (words >= 5) & text.rlike(r"(?i)^(?:what|who|when|where|why|how|which|is|are|does|do|can)\b")
+    clear = text.rlike(rf"(?i)\b(?:{'|'.join(CLEARING)})\b")
+    nothing = text.rlike(rf"(?i)^(?:{'|'.join(SMALL_TALK)})\s*[.!?]?$")
+    question = (words >= 5) & text.rlike(rf"(?i)^(?:{'|'.join(QUESTION_OPENINGS)})")
     return F.when(clear, "clear").when(nothing | question, "null")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # fixed values: abbreviations after which no sentence ends, and honorifics
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "vs", "etc", "e.g", "i.e")
-HONORIFICS = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Sir", "Madam")
+HONORIFICS = (r"Mr\.?", r"Mrs\.?", r"Ms\.?", r"Dr\.?", r"Prof\.?", "Sir", "Lord", "Lady")
 
 _ABBREVIATION = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
 SENTENCE_END = rf"(?<=[.!?])(?<!\b(?i:{_ABBREVIATION})\.)\s+(?=[A-Z0-9\"'(\[])"
@@ -93,10 +93,11 @@ def format_element(category: Column, depth: Column, text: Column) -> Column:
     """An element as Markdown-like text by its category."""
     marks = F.repeat(F.lit("#"), F.least(F.greatest(F.coalesce(depth, F.lit(1)), F.lit(1)), F.lit(6)))
     return (
-        F.when(category == "Title", F.concat(marks, F.lit(" "), text))
+        F.when(F.coalesce(text, F.lit("")) == "", F.lit(""))
+        .when(category == "Title", F.concat(marks, F.lit(" "), text))
         .when(category == "Table", F.concat(F.lit("[TABLE]\n"), text, F.lit("\n[/TABLE]")))
-        .when(category == "Image", F.concat(F.lit("[IMAGE]\n"), text, F.lit("\n[/IMAGE]")))
-        .when(category == "ListItem", F.concat(F.lit("- "), text))
+        .when(category == "Image", F.concat(F.lit("[IMAGE_DESCRIPTION]\n"), text, F.lit("\n[/IMAGE_DESCRIPTION]")))
+        .when(category.startswith("ListItem") & ~text.startswith("-"), F.concat(F.lit("- "), text))
         .otherwise(text)
     )
 
@@ -124,7 +125,7 @@ def leading_id(hex_id: Column) -> Column:
 
 
 def strip_honorific(name: Column) -> Column:
-    return F.trim(F.regexp_replace(name, rf"(?i)^\s*(?:{'|'.join(HONORIFICS)})\.?\s+", ""))
+    return F.trim(F.regexp_replace(name, rf"(?i)^\s*(?:{'|'.join(HONORIFICS)})\s+", ""))
 
 
 def capitalised(text: Column) -> Column:
@@ -206,8 +207,10 @@ def preference_reply(reply: Column) -> Column:
 
 
 def version_of(name: Column, fallback: Column) -> Column:
-    """``v1.2`` in a file name, else the fallback (its date)."""
-    return F.coalesce(F.nullif(F.regexp_extract(name, r"(?i)(v\d+(?:\.\d+)*)", 1), F.lit("")), fallback)
+    """``v1.2`` or else a date in a file name without its ending, else the fallback."""
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    found = [F.nullif(F.regexp_extract(stem, p, 0), F.lit("")) for p in (r"(?i)v\d+(?:\.\d+)+", r"\d{4}-\d{2}-\d{2}")]
+    return F.coalesce(*found, fallback)
 
 
 def namespace_slug(namespace: Column) -> Column:

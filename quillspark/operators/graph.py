@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.text import capitalised, edge_id, entity_id
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder: cuts the lineage of an iteration, survives lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-            spark.sparkContext.setCheckpointDir(base)
-    path = f"{base}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillspark.tables import staged
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
@@ -113,7 +94,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 10) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 4) -> DataFrame:
     """(node, community) by weighted label propagation with a penalty on a label's total degree.
 
     ``edges``: (a, b, weight). In each round a node takes the label with the highest weight to it less

@@ -96,7 +96,7 @@ def test_predicates(spark):
     assert not value(spark, predicates.unanswered(F.col("t"), F.lit(0.9)), t="Fine")
     assert value(spark, predicates.violations(F.lit(20_000), F.lit(0.01), F.lit(7000)), t="") == ["latency", "tokens"]
     assert value(spark, predicates.violations(F.lit(20_000), F.lit(0.01), F.lit(7000), enabled=False), t="") == []
-    assert value(spark, predicates.preference_kind(F.col("t")), t="please clear my preferences") == "clear"
+    assert value(spark, predicates.preference_kind(F.col("t")), t="please clear your preferences") == "clear"
     assert value(spark, predicates.preference_kind(F.col("t")), t="what is the rate of this") == "null"
     assert value(spark, predicates.preference_kind(F.col("t")), t="shorter answers") is None
 

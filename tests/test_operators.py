@@ -121,6 +121,34 @@ def test_near_duplicates(spark):
     assert sorted(r["id"] for r in kept.collect()) == [1, 3, 5, 6]
 
 
+def test_near_pairs_and_keep_rules_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(8):
+        base = [rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(40)]
+        for _ in range(5):
+            t = list(base)
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(40)] = rng.choice(["xx", "yyy", "z"])
+            texts.append(" ".join(t))
+    grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    first = {t: min(i for i, u in enumerate(texts) if u == t) for t in texts}
+    ids = sorted(set(first.values()))
+    expected = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in ids for b in ids if a < b}
+    expected = {k: v for k, v in expected.items() if v >= 0.85}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = dedup.near_pairs(docs)
+    got = {(r["a"], r["b"]): r["jaccard"] for r in pairs.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-12 for k, v in expected.items())
+    one = docs.where(F.col("id").isin(ids))
+    assert {r["id"] for r in dedup.keep_earlier(one, pairs).collect()} == set(ids) - {b for _, b in expected}
+    kept = []
+    for i in ids:
+        if not any((k, i) in expected for k in kept):
+            kept.append(i)
+    assert sorted(r["id"] for r in dedup.keep_greedy(one, pairs).collect()) == kept
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "b", "R", 1.0), ("b", "c", "R", 2.0), ("c", "a", "S", 1.0), ("x", "y", "R", 1.0)], "source_id string, target_id string, relation_type string, weight double")
     starts = spark.createDataFrame([("a",)], "start string")

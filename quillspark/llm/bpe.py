@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, shuffle_parts, table
+from quillspark.llm.common import shuffle_parts, table
 
 #: Distinct pieces whose ids a Python worker keeps between batches.
 CACHED = 500_000
@@ -166,69 +166,84 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def _blocks(pattern: str, buckets: int):
-    """Blocks of documents: their sequences of local word numbers, and their distinct words by bucket."""
+def _bucketed(words: list[str], buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """A block's distinct words by bucket: (bucket, packed numbers, their compressed bytes in sorted order)."""
+    encoded = [w.encode("utf-8", "surrogatepass") for w in words]
+    if not encoded:
+        return []
+    bucket = np.fromiter(map(zlib.crc32, encoded), dtype=np.int64, count=len(encoded)) % buckets
+    order = np.lexsort((np.array([w[:12] for w in encoded], dtype="S12"), bucket))
+    out = []
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        head = _packed(np.array([len(encoded[i]) for i in part]))
+        blob = zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(encoded[i] for i in part), 3)
+        out.append((int(bucket[part[0]]), _packed(part), blob))
+    return out
+
+
+def _blocks(pattern: str, make):
+    """Rows ``make`` builds from each block of documents: its name, ids, and texts as lists of pieces with their words.
+
+    A block is named by its texts, so that a block computed again has the same name or, from changed input, another.
+    """
     import regex
 
     find = regex.compile(pattern).findall
 
-    def block(ids: list, texts: list, name: str) -> Iterator[pd.DataFrame]:
+    def block(ids: list, texts: list) -> pd.DataFrame:
+        name = hashlib.sha256()
         pieces: dict = {}
         words: dict = {}
         spelled: list[list[int]] = []
         rows = []
         for t in texts:
-            seq = []
-            for p in blank_pieces(t) if t else ():
-                k = pieces.get(p)
-                if k is None:
-                    k = pieces[p] = len(spelled)
+            name.update(hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest())
+            cut = blank_pieces(t) if t else []
+            for p in cut:
+                if p not in pieces:
+                    pieces[p] = len(spelled)
                     spelled.append([words.setdefault(w, len(words)) for w in find(" " + p if isinstance(p, str) else p[0])])
-                seq.append(k)
-            rows.append(np.array(seq, dtype=np.int64))
-        lengths = np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled))
-        flat = np.fromiter((w for s in spelled for w in s), dtype=np.int64, count=int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        # frequent words get small numbers, so the sequences compress
-        uses = np.zeros(len(words), dtype=np.int64)
-        seqs = []
-        for r in rows:
-            n = lengths[r]
-            ends = np.cumsum(n)
-            seqs.append(flat[np.repeat(starts[r] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)])
-            np.add.at(uses, seqs[-1], 1)
-        by = np.argsort(-uses, kind="stable")
-        number = np.empty(len(words), dtype=np.int64)
-        number[by] = np.arange(len(words))
-        yield pd.DataFrame({"block": name, "bucket": -1, "doc_id": pd.array(ids, dtype="Int64"), "a": [_packed(number[s]) for s in seqs], "b": b""})
-        encoded = [w.encode("utf-8", "surrogatepass") for w in words]
-        bucket = np.fromiter((zlib.crc32(w) for w in encoded), dtype=np.int64, count=len(encoded)) % buckets
-        order = np.lexsort((np.array([w[:12] for w in encoded], dtype="S12"), bucket)) if encoded else np.empty(0, dtype=np.int64)
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        out = []
-        for part in np.split(order, cuts) if len(order) else ():
-            sizes = np.array([len(encoded[i]) for i in part])
-            head = _packed(sizes)
-            joined = zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(encoded[i] for i in part), 3)
-            out.append((int(bucket[part[0]]), _packed(number[part]), joined))
-        yield pd.DataFrame({"block": name, "bucket": [o[0] for o in out], "doc_id": pd.array([None] * len(out), dtype="Int64"), "a": [o[1] for o in out], "b": [o[2] for o in out]})
+            rows.append(cut)
+        return make(name.hexdigest(), ids, rows, pieces, spelled, list(words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, size, count = [], [], 0, 0
+        ids, texts, size = [], [], 0
         for pdf in batches:
-            for part, i, t in zip(pdf["part"], pdf["doc_id"].tolist(), pdf["text"], strict=True):
+            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
                 ids.append(None if pd.isna(i) else int(i))
                 texts.append(t)
                 size += len(t or "")
                 if size >= BLOCK_CHARS:
-                    yield from block(ids, texts, f"{part}-{count}")
-                    ids, texts, size, count = [], [], 0, count + 1
+                    yield block(ids, texts)
+                    ids, texts, size = [], [], 0
         if ids:
-            yield from block(ids, texts, f"{part}-{count}")
+            yield block(ids, texts)
 
     return run
 
 
+def _dictionary(buckets: int):
+    def make(name: str, ids: list, rows: list, pieces: dict, spelled: list, words: list) -> pd.DataFrame:
+        out = _bucketed(words, buckets)
+        return pd.DataFrame({"block": name, "bucket": [o[0] for o in out], "numbers": [o[1] for o in out], "words": [o[2] for o in out]})
+
+    return make
+
+
+def _sequences(name: str, ids: list, rows: list, pieces: dict, spelled: list, words: list) -> pd.DataFrame:
+    """The places of each document's words, as numbers of its block's dictionary."""
+    lengths = np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled))
+    flat = np.fromiter((w for s in spelled for w in s), dtype=np.int64, count=int(lengths.sum()))
+    starts = np.cumsum(lengths) - lengths
+    packed = []
+    for cut in rows:
+        k = np.fromiter(map(pieces.__getitem__, cut), dtype=np.int64, count=len(cut))
+        n = lengths[k]
+        ends = np.cumsum(n)
+        packed.append(_packed(flat[np.repeat(starts[k] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]))
+    return pd.DataFrame({"block": name, "doc_id": pd.array(ids, dtype="Int64"), "places": packed})
+
+
 def _words_of(blob: bytes) -> list[bytes]:
     raw = zstandard.decompress(blob)
     head = int.from_bytes(raw[:4], "little")
@@ -244,7 +259,7 @@ def _encode_words(vocab, pattern: str):
         one = _HELD["encoding"].encode_ordinary
         known: dict[bytes, list[int]] = {}
         counts, ids = [], []
-        for blob in pdf["b"]:
+        for blob in pdf["words"]:
             words = _words_of(blob)
             for w in words:
                 if w not in known:
@@ -252,7 +267,7 @@ def _encode_words(vocab, pattern: str):
             found = [known[w] for w in words]
             counts.append(_packed(np.fromiter(map(len, found), dtype=np.int64, count=len(found))))
             ids.append(_packed(np.array([i for x in found for i in x], dtype=np.int64)))
-        return pd.DataFrame({"block": pdf["block"], "numbers": pdf["a"], "counts": counts, "ids": ids})
+        return pd.DataFrame({"block": pdf["block"], "numbers": pdf["numbers"], "counts": counts, "ids": ids})
 
     return run
 
@@ -273,8 +288,10 @@ def _reassemble(token_bytes):
                 texts[k] = ",".join(map(str, ids[a:b])).encode()
                 raws[k] = b"".join([decode[i] for i in ids[a:b]])
         n_tokens, id_marks, raw_marks = [], [], []
-        for blob in docs["a"]:
+        for blob in docs["places"]:
             seq = _unpacked(blob)
+            if len(seq) and int(seq.max()) >= total:
+                raise ValueError("the dictionary of a block is missing: its input changed between two reads")
             order = seq.tolist()
             n_tokens.append(int(sizes[seq].sum()))
             id_marks.append(hashlib.sha256(b",".join([texts[k] for k in order])).hexdigest())
@@ -300,13 +317,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     token_bytes = spark.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])
     shared_vocab = spark.sparkContext.broadcast(vocab)
     buckets = 4 * shuffle_parts(spark)
-    cut = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    cut = cut.mapInPandas(_blocks(pattern, buckets), "block string, bucket int, doc_id long, a binary, b binary")
-    cut = materialize(cut, "blocks")
-    words = cut.where("bucket >= 0").groupBy("bucket").applyInPandas(
-        _encode_words(shared_vocab, pattern), "block string, numbers binary, counts binary, ids binary"
-    )
-    sequences = cut.where("bucket < 0").select("block", "doc_id", "a")
+    # two passes over the texts cost less than a stored copy of all places
+    docs = docs.select("doc_id", "text")
+    cut = docs.mapInPandas(_blocks(pattern, _dictionary(buckets)), "block string, bucket int, numbers binary, words binary")
+    words = cut.groupBy("bucket").applyInPandas(_encode_words(shared_vocab, pattern), "block string, numbers binary, counts binary, ids binary")
+    sequences = docs.mapInPandas(_blocks(pattern, _sequences), "block string, doc_id long, places binary")
     return sequences.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(
         _reassemble(token_bytes), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

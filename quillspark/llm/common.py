@@ -60,15 +60,21 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Edges that one task of a components round writes.
+_EDGES = 20_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, component), component the smallest node.
 
     Alternates large-star and small-star steps until a round changes nothing. Every step is a partial
     aggregate per node plus a join, so a hub is never gathered; each round is a table in the shared folder.
     """
+    parts = shuffle_parts(edges.sparkSession)
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
+    parts = min(parts, 1 + now.count() // _EDGES)  # as few files as the edges need; they never grow in number
     seen = None
     while True:
         # large-star: each node links its larger neighbours to the smallest node near it
@@ -83,13 +89,13 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        large = materialize(large, "large")
+        large = materialize(large.coalesce(parts), "large")
         # small-star: each node and its smaller neighbours link to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")
         )
-        now = materialize(small.select("e.*").where("a <> b").distinct(), "edges")
+        now = materialize(small.select("e.*").where("a <> b").distinct().coalesce(parts), "edges")
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if mark == seen:
             break

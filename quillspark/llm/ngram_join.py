@@ -38,7 +38,7 @@ COUNTED = 4_000_000
 #: Members of one part of a bucket, its trie held in memory.
 PART = 256
 #: Rounds of matching between the components' smallest members before all pairs that are left.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 #: Cells of a set's histogram.
 CELLS = 256
 #: Rows of a side that may be broadcast (some 40 bytes each); a longer one is shuffled.
@@ -149,10 +149,13 @@ def _step(n: int, percent: int) -> int:
 
 
 def _prefixes(width: int, percent: int, order, buckets: int):
-    """Prefix shingles of the texts, packed by bucket; the hot ones, shared for certain, in further buckets by set."""
+    """Prefix shingles of the texts, packed by bucket; the hot ones, shared for certain, in further buckets by set.
+
+    Equal sets give theirs once per task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size, seen = [], 0, set()
 
         def packed() -> pd.DataFrame:
             s = np.concatenate([h[0] for h in held])
@@ -169,9 +172,10 @@ def _prefixes(width: int, percent: int, order, buckets: int):
 
         for pdf in batches:
             for s in shingle_sets(pdf["text"].tolist(), width):
-                if n := len(s):
+                if (n := len(s)) and (marks := _marks_of(s)) not in seen:
+                    seen.add(marks)
                     prefix = order.value.sort(s)[: prefix_length(n, percent)]
-                    held.append((prefix, _marks_of(s)[0], _step(n, percent), n - least_overlap(n, n, percent) + 1))
+                    held.append((prefix, marks[0], _step(n, percent), n - least_overlap(n, n, percent) + 1))
                     size += len(prefix)
                     if size >= COUNTED // 4:
                         yield packed()

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from quillspark.llm.common import shuffle_parts, table
 
 #: Distinct pieces whose ids a Python worker keeps between batches.
 CACHED = 500_000
+#: Distinct folded words that it keeps.
+KNOWN = 800_000
 #: Texts whose pieces are looked up together.
 TOGETHER = 256
 
@@ -57,47 +60,34 @@ def space_pieces(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    """Ids of texts from the ids of their distinct pieces, kept between calls in a bounded dictionary."""
+    """Ids of texts from the ids of their distinct pieces, kept between calls in a bounded dictionary.
 
-    def __init__(self, split: Callable[[str], list], encode: Callable[[list], list]) -> None:
+    Ids are below 65,536; a piece's are held as bytes, so that a text's are one join.
+    """
+
+    def __init__(self, split: Callable[[str], list], encode: Callable[[list], list[bytes]]) -> None:
         self.split, self.encode = split, encode
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict = {}
-        self.flat = np.empty(1 << 16, dtype=np.int32)
-        self.ends = np.zeros(1 << 14, dtype=np.int64)
-
-    def _learn(self, new: list) -> None:
-        ids = self.encode(new)
-        n, k = int(self.ends[len(self.place)]), len(self.place)
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total = n + int(lengths.sum())
-        if total > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(total, dtype=np.int32)))
-        if k + len(new) + 1 > len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros(k + len(new) + 1, dtype=np.int64)))
-        self.flat[n:total] = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=total - n)
-        self.ends[k + 1 : k + 1 + len(new)] = n + np.cumsum(lengths)
-        self.place.update(zip(new, range(k, k + len(new)), strict=True))
+        self.of: dict = {}
 
     def __call__(self, texts: list) -> Iterator[np.ndarray]:
-        """The ids of each text; those of a null text are empty."""
+        """The ids of each text as uint16; those of a null text are empty."""
         for at in range(0, len(texts), TOGETHER):
-            pieces = [self.split(t) if t else [] for t in texts[at : at + TOGETHER]]
-            new = set().union(*pieces).difference(self.place)
-            if len(self.place) + len(new) > CACHED and self.place:
-                self._clear()
-                new = set().union(*pieces)
+            cut = [self.split(t) if t else [] for t in texts[at : at + TOGETHER]]
+            if len(self.of) > CACHED:
+                self.of.clear()
+            found = [list(map(self.of.get, c)) for c in cut]
+            new: dict = {}
+            for c, f in zip(cut, found, strict=True):
+                if None in f:
+                    new.update((p, None) for p, ids in zip(c, f, strict=True) if ids is None)
             if new:
-                self._learn(list(new))
-            for p in pieces:
-                k = np.fromiter(map(self.place.__getitem__, p), dtype=np.int64, count=len(p))
-                starts = self.ends[k]
-                lengths = self.ends[k + 1] - starts
-                ends = np.cumsum(lengths)
-                total = int(ends[-1]) if len(ends) else 0
-                yield self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
+                self.of.update(zip(new, self.encode(list(new)), strict=True))
+            for c, f in zip(cut, found, strict=True):
+                yield np.frombuffer(b"".join(map(self.of.__getitem__, c) if None in f else f), dtype="<u2")
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes()
 
 
 def tiktoken_encoding(vocab: bytes, pattern: str):
@@ -109,32 +99,48 @@ def tiktoken_encoding(vocab: bytes, pattern: str):
 def byte_encoder(vocab: bytes, pattern: str) -> PieceEncoder:
     """Encoder by a file of byte-level ranks."""
     one = tiktoken_encoding(vocab, pattern).encode_ordinary
-    return PieceEncoder(blank_pieces, lambda new: [one(" " + p) if isinstance(p, str) else one(p[0]) for p in new])
+    return PieceEncoder(blank_pieces, lambda new: [_as_bytes(one(" " + p) if isinstance(p, str) else one(p[0])) for p in new])
 
 
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The pre-tokens of a word vocabulary.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words encoded as one text.
+JOINED = 400
 
 
-def word_encoder(vocab: bytes) -> PieceEncoder:
+def word_encoder(vocab: bytes, pattern: str = WORDS) -> PieceEncoder:
     """Encoder by a tokenizers file whose pre-tokens never hold white space; case is folded by the file's normaliser.
 
-    A plain ASCII piece is lower-cased and cut by the pre-token pattern here, so its pre-tokens are shared.
+    A printable piece of characters below U+0130 is in normal form and folds character by character, so it is folded
+    and cut into pre-tokens here, and these are shared and encoded many at a time: a token that ends a word says so.
     """
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocab.decode())
     tokenizer.encode_special_tokens = True
-    known: dict[str, list[int]] = {}
-
-    def encode(new: list[str]) -> list[list[int]]:
-        cut = [_ASCII_WORD.findall(p.lower()) if p.isascii() and p.isprintable() else [p] for p in new]
-        if len(known) > CACHED:
+    end_mark = tokenizer.model.end_of_word_suffix
+    ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        ends[i] = token.endswith(end_mark)
+    find = regex.compile(pattern).findall
+    known: dict[str, bytes] = {}
+
+    def learn(words: list[str]) -> None:
+        texts = [" ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
+        ids = np.array([i for e in tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids], dtype="<u2")
+        cuts = (np.flatnonzero(ends[ids]) + 1) * 2
+        raw = ids.tobytes()
+        known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+
+    def encode(new: list[str]) -> list[bytes]:
+        cut = [find(p.lower()) if p and max(p) < "\u0130" and p.isprintable() else None for p in new]
+        if len(known) > KNOWN:
             known.clear()
-        words = list({w for c in cut for w in c if w not in known})
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
-            known.update((w, e.ids) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return [[i for w in c for i in known[w]] for c in cut]
+        words = list(dict.fromkeys(w for c in cut if c is not None for w in c if w not in known))
+        if words:
+            learn(words)
+        return [_as_bytes(tokenizer.encode(p, add_special_tokens=False).ids) if c is None else b"".join([known[w] for w in c]) for p, c in zip(new, cut, strict=True)]
 
     return PieceEncoder(space_pieces, encode)
 

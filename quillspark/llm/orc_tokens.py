@@ -44,7 +44,7 @@ def _token_batches(vocab, end_id: int):
             for key, place, one in zip(keys, places, encode(batch.column("text").to_pylist()), strict=True):
                 doc_ids.append(key)
                 parts.append(place)
-                ids.append(np.append(one, np.int32(end_id)))
+                ids.append(np.append(one.astype(np.int32), np.int32(end_id)))
                 held += len(one) + 1
                 if held >= BATCH_TOKENS:
                     yield flush()

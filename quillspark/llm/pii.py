@@ -23,7 +23,8 @@ _NAME = r"\p{Lu}[\p{Ll}']+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp_|sk-)[A-Za-z0-9]{20,}"
-    r"|(?<=(?:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}\"?)[A-Za-z0-9+/_-]{8,}",
+    # the first two look-arounds only spare most places the third
+    r"|(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{8})(?<=(?i:password|passwd|token|secret|api_key|apikey)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
     "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
     "iban": r"(?<![\w])[A-Z]{2}\d{2} ?(?:[A-Z]{4}|\d{4})(?: ?\d{4}){1,6}(?: ?\d{1,4})?(?![\w])",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])",
@@ -73,7 +74,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _kind(e: Column) -> Column:
-    """Type of a matched string; null where it is no valid entity (a failed check sum, an octet over 255)."""
+    """Type of a matched string; null where it is no valid entity (a failed check sum, an octet over 255, a mere line)."""
     whole = lambda k: e.rlike(f"^(?:{PATTERNS[k]})$")
     octets = F.forall(F.split(e, r"\."), lambda x: x.cast("int") <= 255)
     return (
@@ -84,7 +85,7 @@ def _kind(e: Column) -> Column:
         .when(whole("ip"), F.when(octets, "ip"))
         .when(whole("phone"), "phone")
         .when(whole("card"), F.when(_luhn(_digits(e)) == 0, "card"))
-        .otherwise("secret")
+        .when(e.rlike("[A-Za-z0-9]"), "secret")
     )
 
 

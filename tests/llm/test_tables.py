@@ -52,6 +52,16 @@ def test_keys_without_digits(spark):
         assert n == 1 and key not in text and re.fullmatch(f"the key {shape} is here", text)
 
 
+def test_keyword_secrets_in_any_case_and_quotes(spark):
+    value = "9233A8ECF7C5b09f"
+    contexts = ['TOKEN = "{}"', "Password: {}", '{{"password": "{}"}}', "{{'api_key':'{}'}}", "Secret='{}'", "API_KEY={}", 'passwd : "{}"', "apikey\n=\n{}"]
+    got = replaced(spark, [c.format(value) for c in contexts] + ["PASSWORD: ________", "Passwords are short: yes, tokenised text"])
+    for (text, n), c in zip(got, contexts, strict=False):
+        assert n == 1 and re.fullmatch(re.escape(c.format("X" * 9)).replace("X" * 9, r"\d{4}[A-Z]\d[A-Z]{3}\d[A-Z]\d[a-z]\d\d[a-z]"), text), c
+        assert value not in text
+    assert got[8:] == [("PASSWORD: ________", 0), ("Passwords are short: yes, tokenised text", 0)]
+
+
 def test_url_rules_and_reputation(spark):
     urls = [
         "https://Www.A.example.ORG/es/1?x", "http://b.org", "http://b.org/", "ftp://x.com/fr/a#b", "http://x.com/de/1", "http://example.org/en/12", "no scheme", None, "",

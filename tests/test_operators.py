@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quillspark import queries
 from quillspark.functions.text import token_count
 from quillspark.operators import chunk, context, datasets, dedup, evaluation, graph, search
 from quillspark.plans import models, retrieval
@@ -149,6 +150,14 @@ def test_near_pairs_and_keep_rules_equal_brute_force(spark):
     assert sorted(r["id"] for r in dedup.keep_greedy(one, pairs).collect()) == kept
 
 
+def test_near_dup_keep_keeps_short_texts(spark, tmp_path):
+    base = "the quick brown fox jumps over the lazy dog near the river bank today"
+    data = [(1, base), (2, base + "s"), (3, base.upper()), (4, "A."), (5, "  "), (6, None), (7, ""), (8, " a. "), (9, "b")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("near_dup_keep", "near_dup_greedy"):
+        assert rows(queries.QUERIES[name](spark, str(tmp_path)), "id") == [(1,), (4,), (5,), (6,), (9,)]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "b", "R", 1.0), ("b", "c", "R", 2.0), ("c", "a", "S", 1.0), ("x", "y", "R", 1.0)], "source_id string, target_id string, relation_type string, weight double")
     starts = spark.createDataFrame([("a",)], "start string")

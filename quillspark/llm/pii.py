@@ -21,7 +21,8 @@ _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{Ll}']+(?:-\p{Lu}\p{Ll}+)?"
 
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
+    # a label may give back hyphens and what follows them, never part of a word
+    "email": r"(?<![A-Za-z0-9._%+\-\p{L}\p{M}])[A-Za-z0-9._%+\-\p{L}\p{M}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+(?![A-Za-z0-9]))*(?<=\.[A-Za-z]{2,24})",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp_|sk-)[A-Za-z0-9]{20,}"
     # the first two look-arounds only spare most places the third
     r"|(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{8})(?<=(?i:password|passwd|token|secret|api_key|apikey)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
@@ -133,7 +134,10 @@ def _at(hexes: Column, i: Column, base: int) -> Column:
 
 
 def _in_shape(word: Column, hexes: Column) -> Column:
-    """Each digit to a digit, each letter to a letter of its case (of a hexadecimal word, to such a letter), others as they are."""
+    """Each digit to a digit, each letter to a letter of its case (of a hexadecimal word, to such a letter), others as they are.
+
+    Letters beyond A-Z become lower-case ones: Cyrillic or Greek if they are so, else of a-z.
+    """
     one = lambda i: F.substring(word, i, F.lit(1))
     pick = lambda chars, i: F.substring(F.lit(chars), (_at(hexes, i, len(chars)) + 1).cast("int"), F.lit(1))
     return F.when(F.length(word) == 0, F.lit("")).otherwise(
@@ -143,6 +147,9 @@ def _in_shape(word: Column, hexes: Column) -> Column:
                 lambda i: F.when(one(i).rlike("[0-9]"), pick("0123456789", i))
                 .when(one(i).rlike("[a-z]"), F.when(word.rlike("^[0-9a-f]{12,}$"), pick("abcdef", i)).otherwise(pick("abcdefghijklmnopqrstuvwxyz", i)))
                 .when(one(i).rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
+                .when(one(i).rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя", i))
+                .when(one(i).rlike(r"\p{IsGreek}"), pick("αβγδεζηθικλμνξοπρστυφχψω", i))
+                .when(one(i).rlike(r"\p{L}"), pick("abcdefghijklmnopqrstuvwxyz", i))
                 .otherwise(one(i)),
             ),
             "",

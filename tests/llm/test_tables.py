@@ -62,6 +62,21 @@ def test_keyword_secrets_in_any_case_and_quotes(spark):
     assert got[8:] == [("PASSWORD: ________", 0), ("Passwords are short: yes, tokenised text", 0)]
 
 
+def test_addresses_before_hyphens_and_beyond_ascii(spark):
+    texts = [
+        "bob@example.com--thanks", "bob@example.com- and", "rgen@example.de", "jürgen@example.de", "иван@example.ru", "a@sub-one.example-.org.", "bob@example.com9", "no@at",
+        "BOB@EXAMPLE.COM",
+    ]
+    got = replaced(spark, texts)
+    assert [n for _, n in got] == [1, 1, 1, 1, 1, 1, 0, 0, 1] and got[6][0] == texts[6] and got[7][0] == texts[7]
+    bob = re.fullmatch(r"([a-z]{3}@[a-z]{7}\.com)--thanks", got[0][0])[1]
+    assert bob != "bob@example.com" and got[1][0] == f"{bob}- and" and got[8][0] == bob.upper()
+    rgen, jürgen = re.fullmatch(r"([a-z]{4})@[a-z]{7}\.de", got[2][0])[1], re.fullmatch(r"([a-z]{6})@[a-z]{7}\.de", got[3][0])[1]
+    assert rgen != "rgen" and not jürgen.endswith(rgen)
+    assert re.fullmatch(r"([а-я]{4})@[a-z]{7}\.ru", got[4][0]) and "иван" not in got[4][0]
+    assert re.fullmatch(r"[a-z]@[a-z]{3}-[a-z]{3}\.[a-z]{7}-\.org\.", got[5][0])
+
+
 def test_url_rules_and_reputation(spark):
     urls = [
         "https://Www.A.example.ORG/es/1?x", "http://b.org", "http://b.org/", "ftp://x.com/fr/a#b", "http://x.com/de/1", "http://example.org/en/12", "no scheme", None, "",

@@ -60,15 +60,21 @@ def markdown_elements(docs: DataFrame) -> DataFrame:
 
 
 class _Elements(HTMLParser):
-    """Titles, paragraphs, list items and tables of a page; scripts, styles and navigation are left out."""
+    """Titles, paragraphs, list items and tables of a page; scripts, styles and navigation are left out.
+
+    A head without end tag ends at the body or its first element or text; a table does at the next one or the page's
+    end. ``unclosed``: places of elements that are never closed, which are not left out.
+    """
 
     BLOCKS = {"p": "Text", "li": "ListItem", "td": "Cell", "th": "Cell", "div": "Text", "article": "Text", "blockquote": "Text"}
     SKIPPED = {"script", "style", "nav", "head", "noscript"}
+    IN_HEAD = {"title", "meta", "link", "base", "template", "html"}
 
-    def __init__(self) -> None:
+    def __init__(self, unclosed: frozenset[tuple[int, int]] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[tuple[str, int | None, str]] = []
-        self.skip, self.rows, self.open = 0, None, ("Text", None)
+        self.skip: list[tuple[str, tuple[int, int]]] = []
+        self.unclosed, self.rows, self.open = unclosed, None, ("Text", None)
         self.held: list[str] = []
 
     def _flush(self) -> None:
@@ -81,10 +87,33 @@ class _Elements(HTMLParser):
         else:
             self.out.append((*self.open, text))
 
+    def _end_table(self) -> None:
+        self._flush()
+        text = "\n".join("| " + " | ".join(r) + " |" for r in self.rows if r)
+        self.rows = None
+        if text:
+            self.out.append(("Table", None, text))
+
+    def _end_head(self) -> None:
+        at = [t for t, _ in self.skip].index("head")
+        del self.skip[at:]
+
+    def close(self) -> None:
+        super().close()
+        self._flush()
+        if self.rows is not None:
+            self._end_table()
+
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in self.SKIPPED:
-            self.skip += 1
+        tags = [t for t, _ in self.skip]
+        if "head" in tags and (tag == "body" or tags[-1] in ("head", "title") and tag not in (self.SKIPPED - {"nav"}) | self.IN_HEAD):
+            self._end_head()
+        if tag in self.SKIPPED or tag == "title" and self.skip and self.skip[-1][0] == "head":
+            if self.getpos() not in self.unclosed:
+                self.skip.append((tag, self.getpos()))
         elif tag == "table":
+            if self.rows is not None:
+                self._end_table()
             self._flush()
             self.rows = []
         elif tag == "tr" and self.rows is not None:
@@ -100,32 +129,40 @@ class _Elements(HTMLParser):
             self.held.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIPPED:
-            self.skip = max(0, self.skip - 1)
+        tags = [t for t, _ in self.skip]
+        if tag in tags:
+            del self.skip[len(tags) - 1 - tags[::-1].index(tag) :]
         elif tag == "table" and self.rows is not None:
-            self._flush()
-            text = "\n".join("| " + " | ".join(r) + " |" for r in self.rows if r)
-            self.rows = None
-            if text:
-                self.out.append(("Table", None, text))
+            self._end_table()
         elif tag in self.BLOCKS or (len(tag) == 2 and tag[0] == "h"):
             self._flush()
             self.open = ("Text", None)
 
     def handle_data(self, data: str) -> None:
+        if self.skip and self.skip[-1][0] == "head" and data.strip():
+            self._end_head()
         if not self.skip:
             self.held.append(data)
 
 
+def _elements(html: str) -> list[tuple[str, int | None, str]]:
+    """Elements of a page; it is read again where a navigation or noscript is never closed, as content may follow."""
+    unclosed: frozenset[tuple[int, int]] = frozenset()
+    while True:
+        parser = _Elements(unclosed)
+        parser.feed(html)
+        parser.close()
+        more = {at for tag, at in parser.skip if tag in ("nav", "noscript")} - unclosed
+        if not more:
+            return parser.out
+        unclosed |= more
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for key, html in zip(pdf["doc_id"], pdf["html"], strict=True):
-            parser = _Elements()
-            parser.feed(html or "")
-            parser.close()
-            parser._flush()
-            rows += [(key, i, *e) for i, e in enumerate(parser.out)]
+            rows += [(key, i, *e) for i, e in enumerate(_elements(html or ""))]
         frame = pd.DataFrame(rows, columns=["doc_id", "pos", "category", "depth", "text"])
         yield frame.astype({"depth": "Int32", "pos": "int32"})
 

@@ -201,6 +201,22 @@ def test_html(spark):
     assert rows(out.select("category", "depth", "text"), "pos") == [("Title", 1, "A & B"), ("Text", None, "one two"), ("ListItem", None, "x"), ("Table", None, "| h |\n| 1 |")]
 
 
+def test_html_keeps_what_follows_unclosed_elements(spark):
+    pages = {
+        "<html><head><title>t</title><meta charset=x><body><p>one</p>": ["one"],
+        "<head><title>t</title><script>no()</script><noscript><img src=x></noscript><link href=x><p>one</p>": ["one"],
+        "<head><title>t</title><style>no</style> bare <p>one": ["bare", "one"],
+        "<head><title>t</title><nav><li>no</li></nav><h1>A</h1>": ["A"],
+        "<body><nav><li>home</li><p>one</p><nav>no</nav><p>two</p>": ["home", "one", "two"],
+        "<head><noscript>no<body><p>one</p>": ["one"],
+        "<p>one</p><table><tr><td>a<td>b<tr><td>c": ["one", "| a | b |\n| c |"],
+        "<table><tr><td>a</td></tr><table><tr><td>b</td></tr></table><p>one</p>": ["| a |", "| b |", "one"],
+        "<head><title>t</title></head><nav>no</nav></nav></head><p>one</p><script>no()": ["one"],
+    }
+    out = files.html_elements(spark.createDataFrame(list(enumerate(pages)), "doc_id long, html string")).orderBy("doc_id", "pos").collect()
+    assert [[r["text"] for r in out if r["doc_id"] == i] for i in range(len(pages))] == list(pages.values())
+
+
 def test_files_and_feedback(spark, tmp_path):
     for name in ("ns1/a.TXT", "ns1/sub/b.md", "ns2/c.html", "ns2/d.exe", ".hidden/e.txt"):
         p = tmp_path / "docs" / name

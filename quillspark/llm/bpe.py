@@ -62,17 +62,20 @@ def space_pieces(text: str) -> list[str]:
 class PieceEncoder:
     """Ids of texts from the ids of their distinct pieces, kept between calls in a bounded dictionary.
 
-    Ids are below 65,536; a piece's are held as bytes, so that a text's are one join.
+    Ids are below 65,536; a piece's are held as bytes, so that a text's are one join. A text that holds one of the
+    ``special`` strings is encoded as a whole.
     """
 
-    def __init__(self, split: Callable[[str], list], encode: Callable[[list], list[bytes]]) -> None:
-        self.split, self.encode = split, encode
+    def __init__(self, split: Callable[[str], list], encode: Callable[[list], list[bytes]], special: list[str], whole: Callable[[str], list[int]]) -> None:
+        self.split, self.encode, self.special, self.whole = split, encode, special, whole
         self.of: dict = {}
 
     def __call__(self, texts: list) -> Iterator[np.ndarray]:
         """The ids of each text as uint16; those of a null text are empty."""
         for at in range(0, len(texts), TOGETHER):
-            cut = [self.split(t) if t else [] for t in texts[at : at + TOGETHER]]
+            part = texts[at : at + TOGETHER]
+            apart = [bool(t) and any(s in t for s in self.special) for t in part]
+            cut = [self.split(t) if t and not a else [] for t, a in zip(part, apart, strict=True)]
             if len(self.of) > CACHED:
                 self.of.clear()
             found = [list(map(self.of.get, c)) for c in cut]
@@ -82,8 +85,11 @@ class PieceEncoder:
                     new.update((p, None) for p, ids in zip(c, f, strict=True) if ids is None)
             if new:
                 self.of.update(zip(new, self.encode(list(new)), strict=True))
-            for c, f in zip(cut, found, strict=True):
-                yield np.frombuffer(b"".join(map(self.of.__getitem__, c) if None in f else f), dtype="<u2")
+            for t, a, c, f in zip(part, apart, cut, found, strict=True):
+                if a:
+                    yield np.array(self.whole(t), dtype="<u2")
+                else:
+                    yield np.frombuffer(b"".join(map(self.of.__getitem__, c) if None in f else f), dtype="<u2")
 
 
 def _as_bytes(ids: list[int]) -> bytes:
@@ -96,10 +102,19 @@ def tiktoken_encoding(vocab: bytes, pattern: str):
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks_of(vocab), special_tokens={})
 
 
-def byte_encoder(vocab: bytes, pattern: str) -> PieceEncoder:
-    """Encoder by a file of byte-level ranks."""
-    one = tiktoken_encoding(vocab, pattern).encode_ordinary
-    return PieceEncoder(blank_pieces, lambda new: [_as_bytes(one(" " + p) if isinstance(p, str) else one(p[0])) for p in new])
+def _tokenizer(vocab: bytes):
+    """The tokenizer of a tokenizers file, the strings of its special tokens, and its ids of a text."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(vocab.decode())
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return tokenizer, special, lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def byte_encoder(vocab: bytes) -> PieceEncoder:
+    """Encoder by a tokenizers file of byte-level tokens whose pre-tokens never cross the place before a lone blank."""
+    _, special, whole = _tokenizer(vocab)
+    return PieceEncoder(blank_pieces, lambda new: [_as_bytes(whole(" " + p if isinstance(p, str) else p[0])) for p in new], special, whole)
 
 
 #: The pre-tokens of a word vocabulary.
@@ -115,10 +130,8 @@ def word_encoder(vocab: bytes, pattern: str = WORDS) -> PieceEncoder:
     and cut into pre-tokens here, and these are shared and encoded many at a time: a token that ends a word says so.
     """
     import regex
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(vocab.decode())
-    tokenizer.encode_special_tokens = True
+    tokenizer, special, whole = _tokenizer(vocab)
     end_mark = tokenizer.model.end_of_word_suffix
     ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
@@ -140,9 +153,9 @@ def word_encoder(vocab: bytes, pattern: str = WORDS) -> PieceEncoder:
         words = list(dict.fromkeys(w for c in cut if c is not None for w in c if w not in known))
         if words:
             learn(words)
-        return [_as_bytes(tokenizer.encode(p, add_special_tokens=False).ids) if c is None else b"".join([known[w] for w in c]) for p, c in zip(new, cut, strict=True)]
+        return [_as_bytes(whole(p)) if c is None else b"".join([known[w] for w in c]) for p, c in zip(new, cut, strict=True)]
 
-    return PieceEncoder(space_pieces, encode)
+    return PieceEncoder(space_pieces, encode, special, whole)
 
 
 _HELD: dict = {}

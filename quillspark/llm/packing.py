@@ -89,9 +89,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def _pieces(vocab, pattern: str, end_id: int, capacity: int):
+def _pieces(vocab, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = held_encoder(("byte", len(vocab.value)), lambda: byte_encoder(vocab.value, pattern))
+        encode = held_encoder(("byte", len(vocab.value)), lambda: byte_encoder(vocab.value))
         for batch in batches:
             doc_id, piece, start, length, crc = [], [], [], [], []
             for key, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
@@ -111,9 +111,10 @@ def _pieces(vocab, pattern: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, vocab_path: str, pattern: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocab_path: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Pack the token ids of ``docs`` (doc_id, text), ``end_id`` last, into sequences of at most ``capacity`` ids.
 
+    The ids are those of the tokenizers file, strings of its special tokens in a text included.
     Rows per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A longer document is cut into
     pieces of ``capacity``, the first of which may be shorter. Best-fit decreasing over all pieces: the driver gets
     only the counts by length. A null or empty text is its end id alone; rows that share or lack a doc_id are packed
@@ -122,7 +123,7 @@ def pack(docs: DataFrame, vocab_path: str, pattern: str, end_id: int = END_ID, c
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(vocabulary(vocab_path))
     pieces = docs.select("doc_id", "text").mapInArrow(
-        _pieces(vocab, pattern, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"
+        _pieces(vocab, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
     pieces = materialize(pieces, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -146,9 +147,10 @@ def pack(docs: DataFrame, vocab_path: str, pattern: str, end_id: int = END_ID, c
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the pieces of all texts of ``docs`` with their places; the tokenizer's end id is 0. Cases as in ``pack``."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import tiktoken
 from tokenizers import Tokenizer
 
 from quillspark.llm import bpe, lid, ngram_join, orc_tokens, packing
@@ -130,15 +129,14 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in lid.predict(odd_docs, lid.train([]), ["doc_id"]).collect()} == {"und"}
 
 
-ODD = ["It's DON'T we'LL", "naïve café ÀÉ ß ½ ²", "ΑΣΣ Привет İstanbul é", "a b\x1cc d  \n\t x", "<|endoftext|>", "日本語 テスト 123456", "", "   ", "\n", "  lead and trail \n ", "x" * 300, "l'été 's 'S", "tab\tend\r\n"]
+ODD = ["It's DON'T we'LL", "a <|endoftext|> b", "x<|startoftext|>  <|ENDOFTEXT|>y", "tail<|endoftext|>", "naïve café ÀÉ ß ½ ²", "ΑΣΣ Привет İstanbul é", "a b\x1cc d  \n\t x", "<|endoftext|>", "日本語 テスト 123456", "", "   ", "\n", "  lead and trail \n ", "x" * 300, "l'été 's 'S", "tab\tend\r\n"]
 
 
 def test_piece_encoders_equal_the_libraries():
     words = bpe.word_encoder(bpe.vocabulary(public_tokenizers.path("word_bpe_49k.json")))
-    by_ranks = bpe.byte_encoder(bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    for encoder, name in ((words, "word_bpe_49k.json"), (by_ranks, "byte_bpe_50k.json")):
+    by_bytes = bpe.byte_encoder(bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    for encoder, name in ((words, "word_bpe_49k.json"), (by_bytes, "byte_bpe_50k.json")):
         library = Tokenizer.from_file(public_tokenizers.path(name))
-        library.encode_special_tokens = True
         assert [ids.tolist() for ids in encoder(ODD)] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
         assert [ids.tolist() for ids in encoder([None])] == [[]]
 
@@ -160,7 +158,6 @@ def test_distinct_word_encoding(spark, odd_docs, no_docs, monkeypatch):
 def test_orc_round_trip(spark, odd_docs, no_docs):
     name = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(name)
-    library.encode_special_tokens = True
     path = shared_path(spark, "orc-test")
     docs = spark.createDataFrame([(50 - i, t) for i, t in enumerate([*ODD, None])], "doc_id long, text string").repartition(3)
     orc_tokens.write_tokens(docs, path, name, 1)
@@ -211,14 +208,13 @@ def test_plan_equals_best_fit_decreasing():
 
 
 def test_packing(spark, odd_docs, no_docs):
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    got = packing.pack(odd_docs, path, public_tokenizers.PATTERN, capacity=64).toPandas()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = packing.pack(odd_docs, path, capacity=64).toPandas()
     assert got["length"].max() == 64 and (got["length"] + got["offset"]).max() <= 64
     assert got[got["doc_id"] == 1][["start", "length"]].values.tolist() == [[0, 1]]
     for _, x in got.sort_values("offset").groupby("sequence_id"):
         assert x["offset"].tolist() == [0, *x["length"].cumsum().tolist()[:-1]]
     assert got["sequence_id"].nunique() == best_fit(got["length"].tolist(), 64)
-    assert packing.pack(no_docs, path, public_tokenizers.PATTERN).count() == 0
-    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(bpe.vocabulary(path)), special_tokens={})
-    ids = np.array([*enc.encode_ordinary("one two"), 0], dtype="<u4")
+    assert packing.pack(no_docs, path).count() == 0
+    ids = np.array([*Tokenizer.from_file(path).encode("one two", add_special_tokens=False).ids, 0], dtype="<u4")
     assert got[got["doc_id"] == 4]["ids_crc32"].tolist() == [zlib.crc32(ids.tobytes())]

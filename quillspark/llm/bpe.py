@@ -11,18 +11,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import shuffle_parts, table
 
-#: Distinct pieces whose ids a Python worker keeps between batches.
-CACHED = 500_000
-#: Distinct folded words that it keeps.
-KNOWN = 800_000
-#: Texts whose pieces are looked up together.
-TOGETHER = 256
+#: Distinct pieces whose ids a Python worker keeps between batches, in either generation.
+CACHED = 700_000
+#: Bytes of the texts whose pieces are looked up together.
+SLICE_BYTES = 8 << 20
 
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 _WIDE_BLANK = re.compile(r"\s ")
@@ -54,108 +55,208 @@ def blank_pieces(text: str) -> list:
     return parts[1:]
 
 
-def space_pieces(text: str) -> list[str]:
-    """Pieces of a text between ASCII blanks and line ends, for encoders that drop white space."""
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+class Known(dict):
+    """Ids of pieces in two generations: once the young one is full it becomes the old one, whose pieces return when met.
+
+    A lookup of an unknown piece gives None and notes the piece, to be learned.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.old, self.missed = most, {}, []
+
+    def __missing__(self, piece) -> bytes | None:
+        ids = self.old.get(piece)
+        if ids is None:
+            self.missed.append(piece)
+        else:
+            self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+#: Letters below U+0130, then ASCII marks: two pre-tokens of any pattern used here.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-/:-@\[-`{-~]*)").fullmatch
+#: How byte-level vocabularies write each byte: those that are no printable Latin-1 character from U+0100 on.
+_UNSHOWN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+SHOWN = [chr(0x100 + _UNSHOWN.index(b)) if b in _UNSHOWN else chr(b) for b in range(256)]
+
+
+def shown(word: str) -> str:
+    return word if word.isascii() and word.isprintable() and " " not in word else "".join([SHOWN[b] for b in word.encode()])
+
+
 
 
 class PieceEncoder:
-    """Ids of texts from the ids of their distinct pieces, kept between calls in a bounded dictionary.
+    """Ids of texts by a tokenizers file, from the ids of their distinct pieces.
 
-    Ids are below 65,536; a piece's are held as bytes, so that a text's are one join. A text that holds one of the
-    ``special`` strings is encoded as a whole.
+    Texts are cut at places that no pre-token crosses; the distinct pieces of a slice of texts are looked up in a
+    dictionary kept between calls, what is new is encoded, and the texts' ids are put together by place. Ids are
+    below 65,536. A text that holds the string of a special token is encoded as a whole, and one that Arrow can't
+    cut at the right places is cut here.
     """
 
-    def __init__(self, split: Callable[[str], list], encode: Callable[[list], list[bytes]], special: list[str], whole: Callable[[str], list[int]]) -> None:
-        self.split, self.encode, self.special, self.whole = split, encode, special, whole
-        self.of: dict = {}
-
-    def __call__(self, texts: list) -> Iterator[np.ndarray]:
+    #: A regular expression (RE2) of the texts that Arrow can't cut.
+    odd: str
+
+    def __init__(self, vocab: bytes) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(vocab.decode())
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.known = Known(CACHED)
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        raise NotImplementedError
+
+    def pieces(self, text: str) -> list:
+        """The pieces of one odd text."""
+        raise NotImplementedError
+
+    def words(self, piece) -> list[str] | None:
+        """The pre-tokens of a piece in the bytes' shown form; None for a piece to be encoded as a text."""
+        raise NotImplementedError
+
+    def text_of(self, piece) -> str:
+        return piece
+
+    def whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _lookup(self, pieces: list) -> list[bytes]:
+        known = self.known
+        known.age()
+        found = list(map(known.__getitem__, pieces))
+        if not known.missed:
+            return found
+        new = list(dict.fromkeys(known.missed))
+        known.missed.clear()
+        by_word: dict[str, bytes] = {}
+        tokenize = self.model.tokenize
+        for p in new:
+            words = self.words(p)
+            if words is None:
+                known[p] = self.whole(self.text_of(p))
+                continue
+            for w in words:
+                if w not in by_word:
+                    by_word[w] = array("H", [t.id for t in tokenize(w)]).tobytes()
+            known[p] = by_word[words[0]] if len(words) == 1 else b"".join([by_word[w] for w in words])
+        return [known[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        apart = special | pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        alone = {}
+        for i in np.flatnonzero(apart).tolist():
+            text = texts[i].as_py()
+            alone[i] = self.whole(text) if special[i] else b"".join(self._lookup(self.pieces(text)))
+        lists = self.cut(pc.if_else(pa.array(apart), "", texts) if alone else texts)
+        places = lists.flatten().dictionary_encode()
+        at, ends = self._ids(places, np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))))
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            yield np.frombuffer(alone[i], dtype="<u2") if i in alone else at[a:b]
+
+    def _ids(self, places: pa.DictionaryArray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and where in them the ids of each text begin and end."""
+        found = self._lookup(places.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return self._gather(found, places.indices.to_numpy(), cuts)
+
+    @staticmethod
+    def _gather(found: list[bytes], k: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        table = np.frombuffer(b"".join(found), dtype="<u2")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[k]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        return table[np.repeat(starts[k] - ends[:-1], n) + np.arange(ends[-1])], ends[cuts]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text as uint16; those of a null text are empty."""
-        for at in range(0, len(texts), TOGETHER):
-            part = texts[at : at + TOGETHER]
-            apart = [bool(t) and any(s in t for s in self.special) for t in part]
-            cut = [self.split(t) if t and not a else [] for t, a in zip(part, apart, strict=True)]
-            if len(self.of) > CACHED:
-                self.of.clear()
-            found = [list(map(self.of.get, c)) for c in cut]
-            new: dict = {}
-            for c, f in zip(cut, found, strict=True):
-                if None in f:
-                    new.update((p, None) for p, ids in zip(c, f, strict=True) if ids is None)
-            if new:
-                self.of.update(zip(new, self.encode(list(new)), strict=True))
-            for t, a, c, f in zip(part, apart, cut, found, strict=True):
-                if a:
-                    yield np.array(self.whole(t), dtype="<u2")
-                else:
-                    yield np.frombuffer(b"".join(map(self.of.__getitem__, c) if None in f else f), dtype="<u2")
-
-
-def _as_bytes(ids: list[int]) -> bytes:
-    return array("H", ids).tobytes()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+        a = 0
+        while a < len(texts):  # a text over SLICE_BYTES is a slice of its own
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, side="right")))
+            yield from self._slice(texts.slice(a, b - a))
+            a = b
 
 
-def tiktoken_encoding(vocab: bytes, pattern: str):
-    import tiktoken
+class WordEncoder(PieceEncoder):
+    """For a vocabulary whose pre-tokens never hold white space; case is folded by the file's normaliser.
 
-    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks_of(vocab), special_tokens={})
+    Pieces lie between ASCII white space. A printable one of characters below U+0130 is in normal form and folds
+    character by character, so its pre-tokens are found here; any other is encoded as a text.
+    """
 
+    find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+    odd = r"[\x1c-\x1f]"
 
-def _tokenizer(vocab: bytes):
-    """The tokenizer of a tokenizers file, the strings of its special tokens, and its ids of a text."""
-    from tokenizers import Tokenizer
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(texts)
 
-    tokenizer = Tokenizer.from_str(vocab.decode())
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return tokenizer, special, lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    def pieces(self, text: str) -> list:
+        return re.split(r"[ \t\n\v\f\r]+", text)
 
+    def words(self, piece: str) -> list[str] | None:
+        if plain := PLAIN(piece):
+            word, marks = plain.groups()
+            word = shown(word.lower())
+            return [word, marks] if marks else [word]
+        if piece and max(piece) < "\u0130" and piece.isprintable():
+            return list(map(shown, self.find(piece.lower())))
+        return None
 
-def byte_encoder(vocab: bytes) -> PieceEncoder:
-    """Encoder by a tokenizers file of byte-level tokens whose pre-tokens never cross the place before a lone blank."""
-    _, special, whole = _tokenizer(vocab)
-    return PieceEncoder(blank_pieces, lambda new: [_as_bytes(whole(" " + p if isinstance(p, str) else p[0])) for p in new], special, whole)
 
+class ByteEncoder(PieceEncoder):
+    """For byte-level vocabularies whose pre-tokens never cross the place before a lone blank.
 
-#: The pre-tokens of a word vocabulary.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words encoded as one text.
-JOINED = 400
+    A piece stands for itself with a blank before it; the first of a text, which has none, is a one-tuple. Where all
+    characters are below U+0250, so that any version of Unicode has the same classes, pre-tokens are found here.
+    """
 
+    find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+    odd = r"[\s\v\x1c-\x1f\x{85}\p{Z}] "
 
-def word_encoder(vocab: bytes, pattern: str = WORDS) -> PieceEncoder:
-    """Encoder by a tokenizers file whose pre-tokens never hold white space; case is folded by the file's normaliser.
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(texts, " ")
 
-    A printable piece of characters below U+0130 is in normal form and folds character by character, so it is folded
-    and cut into pre-tokens here, and these are shared and encoded many at a time: a token that ends a word says so.
-    """
-    import regex
+    def pieces(self, text: str) -> list:
+        return blank_pieces(text)
 
-    tokenizer, special, whole = _tokenizer(vocab)
-    end_mark = tokenizer.model.end_of_word_suffix
-    ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
-    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
-        ends[i] = token.endswith(end_mark)
-    find = regex.compile(pattern).findall
-    known: dict[str, bytes] = {}
+    def text_of(self, piece) -> str:
+        return " " + piece if isinstance(piece, str) else piece[0]
 
-    def learn(words: list[str]) -> None:
-        texts = [" ".join(words[a : a + JOINED]) for a in range(0, len(words), JOINED)]
-        ids = np.array([i for e in tokenizer.encode_batch(texts, add_special_tokens=False) for i in e.ids], dtype="<u2")
-        cuts = (np.flatnonzero(ends[ids]) + 1) * 2
-        raw = ids.tobytes()
-        known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+    def words(self, piece) -> list[str] | None:
+        lead, text = (SHOWN[32], piece) if isinstance(piece, str) else ("", piece[0])
+        if plain := PLAIN(text):
+            word, marks = plain.groups()
+            word = lead + shown(word)
+            return [word, marks] if marks else [word]
+        text = self.text_of(piece)
+        return list(map(shown, self.find(text))) if max(text) < "\u0250" else None
 
-    def encode(new: list[str]) -> list[bytes]:
-        cut = [find(p.lower()) if p and max(p) < "\u0130" and p.isprintable() else None for p in new]
-        if len(known) > KNOWN:
-            known.clear()
-        words = list(dict.fromkeys(w for c in cut if c is not None for w in c if w not in known))
-        if words:
-            learn(words)
-        return [_as_bytes(whole(p)) if c is None else b"".join([known[w] for w in c]) for p, c in zip(new, cut, strict=True)]
+    def _ids(self, places: pa.DictionaryArray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        k = places.indices.to_numpy().astype(np.int64)
+        first = cuts[:-1][np.diff(cuts) > 0]
+        distinct, inverse = np.unique(k[first], return_inverse=True)
+        found = self._lookup(names) + [self._lookup([(names[i],)])[0] if names[i] else b"" for i in distinct.tolist()]
+        k[first] = len(names) + inverse
+        return self._gather(found, k, cuts)
 
-    return PieceEncoder(space_pieces, encode, special, whole)
+
+def tiktoken_encoding(vocab: bytes, pattern: str):
+    import tiktoken
+
+    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks_of(vocab), special_tokens={})
 
 
 _HELD: dict = {}
@@ -205,8 +306,6 @@ def _blocks(pattern: str, make):
 
     A block is named by its texts, so that a block computed again has the same name or, from changed input, another.
     """
-    import regex
-
     find = regex.compile(pattern).findall
 
     def block(ids: list, texts: list) -> pd.DataFrame:

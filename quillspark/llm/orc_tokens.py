@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.bpe import held_encoder, vocabulary, word_encoder
+from quillspark.llm.bpe import WordEncoder, held_encoder, vocabulary
 from quillspark.llm.common import materialize, shared_path, table
 
 #: Stripes are the unit of parallel reads; an index entry covers INDEX_ROWS rows.
@@ -24,7 +24,7 @@ SCHEMA = "doc_id long, part int, local_start long, ids array<int>"
 
 def _token_batches(vocab, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = held_encoder(("word", len(vocab.value)), lambda: word_encoder(vocab.value))
+        encode = held_encoder(("word", len(vocab.value)), lambda: WordEncoder(vocab.value))
         start, doc_ids, parts, ids, held = 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -41,7 +41,7 @@ def _token_batches(vocab, end_id: int):
 
         for batch in batches:
             keys, places = batch.column("doc_id").to_pylist(), batch.column("part").to_pylist()
-            for key, place, one in zip(keys, places, encode(batch.column("text").to_pylist()), strict=True):
+            for key, place, one in zip(keys, places, encode(batch.column("text")), strict=True):
                 doc_ids.append(key)
                 parts.append(place)
                 ids.append(np.append(one.astype(np.int32), np.int32(end_id)))

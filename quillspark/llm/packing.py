@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.bpe import byte_encoder, held_encoder, vocabulary
+from quillspark.llm.bpe import ByteEncoder, held_encoder, vocabulary
 from quillspark.llm.common import materialize, table
 
 CAPACITY = 2048
@@ -91,10 +91,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 def _pieces(vocab, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = held_encoder(("byte", len(vocab.value)), lambda: byte_encoder(vocab.value))
+        encode = held_encoder(("byte", len(vocab.value)), lambda: ByteEncoder(vocab.value))
         for batch in batches:
             doc_id, piece, start, length, crc = [], [], [], [], []
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 ids = np.append(ids, end_id).astype("<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from quillspark.llm import bpe, lid, ngram_join, orc_tokens, packing
@@ -133,12 +134,12 @@ ODD = ["It's DON'T we'LL", "a <|endoftext|> b", "x<|startoftext|>  <|ENDOFTEXT|>
 
 
 def test_piece_encoders_equal_the_libraries():
-    words = bpe.word_encoder(bpe.vocabulary(public_tokenizers.path("word_bpe_49k.json")))
-    by_bytes = bpe.byte_encoder(bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    words = bpe.WordEncoder(bpe.vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    by_bytes = bpe.ByteEncoder(bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
     for encoder, name in ((words, "word_bpe_49k.json"), (by_bytes, "byte_bpe_50k.json")):
         library = Tokenizer.from_file(public_tokenizers.path(name))
-        assert [ids.tolist() for ids in encoder(ODD)] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
-        assert [ids.tolist() for ids in encoder([None])] == [[]]
+        assert [ids.tolist() for ids in encoder(pa.array(ODD))] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
+        assert [ids.tolist() for ids in encoder(pa.array([None], pa.string()))] == [[]]
 
 
 def test_distinct_word_encoding(spark, odd_docs, no_docs, monkeypatch):

@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import shuffle_parts, table
 
 #: Distinct pieces whose ids a Python worker keeps between batches, in either generation.
-CACHED = 700_000
+CACHED = 400_000
 #: Bytes of the texts whose pieces are looked up together.
 SLICE_BYTES = 8 << 20
 
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
-_WIDE_BLANK = re.compile(r"\s ")
 
 
 def vocabulary(path: str) -> bytes:
@@ -45,14 +44,7 @@ def blank_pieces(text: str) -> list:
     The pre-token pattern never matches across such a place, so pieces are encoded apart. A piece that begins with
     the blank is given without it, any other as a one-tuple.
     """
-    parts = text.split(" ") if not _WIDE_BLANK.search(text) else None
-    if parts is None:
-        parts = _BEFORE_BLANK.split(text)
-        return [p[1:] if p[0] == " " else (p,) for p in parts if p]
-    if parts[0]:
-        parts[0] = (parts[0],)
-        return parts
-    return parts[1:]
+    return [p[1:] if p[0] == " " else (p,) for p in _BEFORE_BLANK.split(text) if p]
 
 
 class Known(dict):
@@ -78,6 +70,8 @@ class Known(dict):
             self.clear()
 
 
+#: The pre-tokens of the usual byte-level vocabularies.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters below U+0130, then ASCII marks: two pre-tokens of any pattern used here.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: How byte-level vocabularies write each byte: those that are no printable Latin-1 character from U+0100 on.
@@ -91,6 +85,56 @@ def shown(word: str) -> str:
 
 
 
+def numbered_pieces(texts: pa.Array, cut: Callable[[pa.Array], pa.ListArray], odd: str, pieces: Callable[[str], list], first_apart: bool) -> tuple[list, np.ndarray, np.ndarray]:
+    """The distinct pieces of ``texts``, the numbers of all pieces in their order, and where in those each text begins and ends.
+
+    Texts are cut by ``cut``, those that match the expression ``odd`` (RE2) by ``pieces``. With ``first_apart`` a
+    text's first piece is numbered as a one-tuple. The numbering depends on the texts alone.
+    """
+    apart = pc.match_substring_regex(texts, odd).to_numpy(zero_copy_only=False)
+    lists = cut(pc.if_else(pa.array(apart), "", texts) if apart.any() else texts)
+    places = lists.flatten().dictionary_encode()
+    cuts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)))
+    names, k = places.dictionary.to_numpy(zero_copy_only=False).tolist(), places.indices.to_numpy().astype(np.int64)
+    if first_apart:
+        first = cuts[:-1][np.diff(cuts) > 0]
+        distinct, inverse = np.unique(k[first], return_inverse=True)
+        k[first] = len(names) + inverse
+        names += [(names[i],) for i in distinct.tolist()]
+    if apart.any():
+        number = {p: i for i, p in enumerate(names)}
+        runs, n, at = [], np.diff(cuts), 0
+        for i in np.flatnonzero(apart).tolist():
+            own = [number.setdefault(p, len(number)) for p in pieces(texts[i].as_py())]
+            runs += [k[at : cuts[i]], np.array(own, dtype=np.int64)]
+            at, n[i] = cuts[i + 1], len(own)
+        names, k, cuts = list(number), np.concatenate([*runs, k[at:]]), np.concatenate(([0], np.cumsum(n)))
+    return names, k, cuts
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of ``texts`` of at most ``size`` bytes: first, last + 1. A longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield a, b
+        a = b
+
+
+#: A blank that follows white space, of any kind.
+_WIDE = r"[\s\v\x1c-\x1f\x{85}\p{Z}] "
+
+
+def numbered_blank_pieces(texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+    return numbered_pieces(texts, lambda t: pc.split_pattern(t, " "), _WIDE, blank_pieces, True)
+
+
+def piece_text(piece) -> str:
+    """The text that a piece of ``blank_pieces`` stands for."""
+    return " " + piece if isinstance(piece, str) else piece[0]
+
+
 class PieceEncoder:
     """Ids of texts by a tokenizers file, from the ids of their distinct pieces.
 
@@ -100,9 +144,6 @@ class PieceEncoder:
     cut at the right places is cut here.
     """
 
-    #: A regular expression (RE2) of the texts that Arrow can't cut.
-    odd: str
-
     def __init__(self, vocab: bytes) -> None:
         from tokenizers import Tokenizer
 
@@ -111,11 +152,7 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.known = Known(CACHED)
 
-    def cut(self, texts: pa.Array) -> pa.ListArray:
-        raise NotImplementedError
-
-    def pieces(self, text: str) -> list:
-        """The pieces of one odd text."""
+    def numbered(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
         raise NotImplementedError
 
     def words(self, piece) -> list[str] | None:
@@ -150,43 +187,26 @@ class PieceEncoder:
         return [known[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
 
     def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        texts = pc.fill_null(texts, "")
         special = np.zeros(len(texts), dtype=bool)
         for s in self.special:
             special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        apart = special | pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
-        alone = {}
-        for i in np.flatnonzero(apart).tolist():
-            text = texts[i].as_py()
-            alone[i] = self.whole(text) if special[i] else b"".join(self._lookup(self.pieces(text)))
-        lists = self.cut(pc.if_else(pa.array(apart), "", texts) if alone else texts)
-        places = lists.flatten().dictionary_encode()
-        at, ends = self._ids(places, np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))))
-        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-            yield np.frombuffer(alone[i], dtype="<u2") if i in alone else at[a:b]
-
-    def _ids(self, places: pa.DictionaryArray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces, one after the other, and where in them the ids of each text begin and end."""
-        found = self._lookup(places.dictionary.to_numpy(zero_copy_only=False).tolist())
-        return self._gather(found, places.indices.to_numpy(), cuts)
-
-    @staticmethod
-    def _gather(found: list[bytes], k: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, k, cuts = self.numbered(pc.if_else(pa.array(special), "", texts) if special.any() else texts)
+        found = self._lookup(names)
         table = np.frombuffer(b"".join(found), dtype="<u2")
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
         starts = np.cumsum(sizes) - sizes
         n = sizes[k]
         ends = np.concatenate(([0], np.cumsum(n)))
-        return table[np.repeat(starts[k] - ends[:-1], n) + np.arange(ends[-1])], ends[cuts]
+        ids = table[np.repeat(starts[k] - ends[:-1], n) + np.arange(ends[-1])]
+        ends = ends[cuts].tolist()
+        for i, whole in enumerate(special.tolist()):
+            yield np.frombuffer(self.whole(texts[i].as_py()), dtype="<u2") if whole else ids[ends[i] : ends[i + 1]]
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text as uint16; those of a null text are empty."""
-        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
-        a = 0
-        while a < len(texts):  # a text over SLICE_BYTES is a slice of its own
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, side="right")))
+        texts = pc.fill_null(texts, "")
+        for a, b in slices(texts, SLICE_BYTES):
             yield from self._slice(texts.slice(a, b - a))
-            a = b
 
 
 class WordEncoder(PieceEncoder):
@@ -197,13 +217,9 @@ class WordEncoder(PieceEncoder):
     """
 
     find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-    odd = r"[\x1c-\x1f]"
-
-    def cut(self, texts: pa.Array) -> pa.ListArray:
-        return pc.ascii_split_whitespace(texts)
 
-    def pieces(self, text: str) -> list:
-        return re.split(r"[ \t\n\v\f\r]+", text)
+    def numbered(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        return numbered_pieces(texts, pc.ascii_split_whitespace, r"[\x1c-\x1f]", lambda t: re.split(r"[ \t\n\v\f\r]+", t), False)
 
     def words(self, piece: str) -> list[str] | None:
         if plain := PLAIN(piece):
@@ -222,17 +238,11 @@ class ByteEncoder(PieceEncoder):
     characters are below U+0250, so that any version of Unicode has the same classes, pre-tokens are found here.
     """
 
-    find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-    odd = r"[\s\v\x1c-\x1f\x{85}\p{Z}] "
-
-    def cut(self, texts: pa.Array) -> pa.ListArray:
-        return pc.split_pattern(texts, " ")
+    find = regex.compile(BYTE_PATTERN).findall
+    text_of = staticmethod(piece_text)
 
-    def pieces(self, text: str) -> list:
-        return blank_pieces(text)
-
-    def text_of(self, piece) -> str:
-        return " " + piece if isinstance(piece, str) else piece[0]
+    def numbered(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        return numbered_blank_pieces(texts)
 
     def words(self, piece) -> list[str] | None:
         lead, text = (SHOWN[32], piece) if isinstance(piece, str) else ("", piece[0])
@@ -240,17 +250,8 @@ class ByteEncoder(PieceEncoder):
             word, marks = plain.groups()
             word = lead + shown(word)
             return [word, marks] if marks else [word]
-        text = self.text_of(piece)
-        return list(map(shown, self.find(text))) if max(text) < "\u0250" else None
-
-    def _ids(self, places: pa.DictionaryArray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        names = places.dictionary.to_numpy(zero_copy_only=False).tolist()
-        k = places.indices.to_numpy().astype(np.int64)
-        first = cuts[:-1][np.diff(cuts) > 0]
-        distinct, inverse = np.unique(k[first], return_inverse=True)
-        found = self._lookup(names) + [self._lookup([(names[i],)])[0] if names[i] else b"" for i in distinct.tolist()]
-        k[first] = len(names) + inverse
-        return self._gather(found, k, cuts)
+        text = piece_text(piece)
+        return list(map(shown, self.find(text))) if not text or max(text) < "\u0250" else None
 
 
 def tiktoken_encoding(vocab: bytes, pattern: str):
@@ -270,8 +271,13 @@ def held_encoder(key: tuple, make: Callable[[], PieceEncoder]) -> PieceEncoder:
     return _HELD[key]
 
 
-#: Characters of the texts of one block, whose distinct words go to the shuffle once; a longer text is one block.
-BLOCK_CHARS = 12_000_000
+def release() -> None:
+    """Give up what the worker holds; called by operators that hold much else."""
+    _HELD.clear()
+
+
+#: Bytes of the texts of one block, whose distinct words go to the shuffle once; a longer text is one block.
+BLOCK_BYTES = 12 << 20
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -288,7 +294,7 @@ def _unpacked(b: bytes) -> np.ndarray:
 
 def _bucketed(words: list[str], buckets: int) -> list[tuple[int, bytes, bytes]]:
     """A block's distinct words by bucket: (bucket, packed numbers, their compressed bytes in sorted order)."""
-    encoded = [w.encode("utf-8", "surrogatepass") for w in words]
+    encoded = [w.encode() for w in words]
     if not encoded:
         return []
     bucket = np.fromiter(map(zlib.crc32, encoded), dtype=np.int64, count=len(encoded)) % buckets
@@ -301,65 +307,78 @@ def _bucketed(words: list[str], buckets: int) -> list[tuple[int, bytes, bytes]]:
     return out
 
 
-def _blocks(pattern: str, make):
-    """Rows ``make`` builds from each block of documents: its name, ids, and texts as lists of pieces with their words.
+class _Block:
+    """The documents of one block: its name, the pieces of its texts with their words, and all its distinct words.
 
     A block is named by its texts, so that a block computed again has the same name or, from changed input, another.
     """
-    find = regex.compile(pattern).findall
-
-    def block(ids: list, texts: list) -> pd.DataFrame:
-        name = hashlib.sha256()
-        pieces: dict = {}
-        words: dict = {}
-        spelled: list[list[int]] = []
-        rows = []
+
+    def __init__(self, texts: pa.Array, pattern: str) -> None:
+        texts = pc.fill_null(texts, "")
+        name = hashlib.sha256(pc.binary_length(texts).to_numpy().tobytes())
         for t in texts:
-            name.update(hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest())
-            cut = blank_pieces(t) if t else []
-            for p in cut:
-                if p not in pieces:
-                    pieces[p] = len(spelled)
-                    spelled.append([words.setdefault(w, len(words)) for w in find(" " + p if isinstance(p, str) else p[0])])
-            rows.append(cut)
-        return make(name.hexdigest(), ids, rows, pieces, spelled, list(words))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, size = [], [], 0
-        for pdf in batches:
-            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
-                ids.append(None if pd.isna(i) else int(i))
-                texts.append(t)
-                size += len(t or "")
-                if size >= BLOCK_CHARS:
-                    yield block(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield block(ids, texts)
+            name.update(t.as_buffer())
+        self.name = name.hexdigest()
+        self.pieces, self.k, self.cuts = numbered_blank_pieces(texts)
+        find, plain = regex.compile(pattern).findall, PLAIN if pattern == BYTE_PATTERN else lambda text: None
+        number: dict[str, int] = {}
+        self.spelled: list[list[int]] = []
+        for p in self.pieces:
+            lead, text = (" ", p) if isinstance(p, str) else ("", p[0])
+            if found := plain(text):
+                word, marks = found.groups()
+                words = (lead + word, marks) if marks else (lead + word,)
+            else:
+                words = find(lead + text)
+            self.spelled.append([number.setdefault(w, len(number)) for w in words])
+        self.words = list(number)
+
+
+def _blocks(pattern: str, make):
+    """Record batches that ``make`` builds from each block's ids and _Block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            ids, texts = (pa.concat_arrays([h[i] for h in held]) for i in (0, 1))
+            for a, b in slices(texts, BLOCK_BYTES):
+                yield make(ids.slice(a, b - a), _Block(texts.slice(a, b - a), pattern))
+
+        for batch in batches:
+            held.append((batch.column("doc_id"), batch.column("text")))
+            size += batch.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield from blocks()
+                held, size = [], 0
+        if held:
+            yield from blocks()
 
     return run
 
 
 def _dictionary(buckets: int):
-    def make(name: str, ids: list, rows: list, pieces: dict, spelled: list, words: list) -> pd.DataFrame:
-        out = _bucketed(words, buckets)
-        return pd.DataFrame({"block": name, "bucket": [o[0] for o in out], "numbers": [o[1] for o in out], "words": [o[2] for o in out]})
+    def make(ids: pa.Array, block: _Block) -> pa.RecordBatch:
+        out = _bucketed(block.words, buckets)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block.name] * len(out), pa.string()), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())],
+            names=["block", "bucket", "numbers", "words"],
+        )
 
     return make
 
 
-def _sequences(name: str, ids: list, rows: list, pieces: dict, spelled: list, words: list) -> pd.DataFrame:
+def _sequences(ids: pa.Array, block: _Block) -> pa.RecordBatch:
     """The places of each document's words, as numbers of its block's dictionary."""
-    lengths = np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled))
-    flat = np.fromiter((w for s in spelled for w in s), dtype=np.int64, count=int(lengths.sum()))
+    lengths = np.fromiter(map(len, block.spelled), dtype=np.int64, count=len(block.spelled))
+    flat = np.fromiter((w for s in block.spelled for w in s), dtype=np.int64, count=int(lengths.sum()))
     starts = np.cumsum(lengths) - lengths
-    packed = []
-    for cut in rows:
-        k = np.fromiter(map(pieces.__getitem__, cut), dtype=np.int64, count=len(cut))
-        n = lengths[k]
-        ends = np.cumsum(n)
-        packed.append(_packed(flat[np.repeat(starts[k] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]))
-    return pd.DataFrame({"block": name, "doc_id": pd.array(ids, dtype="Int64"), "places": packed})
+    n = lengths[block.k]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    places = flat[np.repeat(starts[block.k] - ends[:-1], n) + np.arange(ends[-1])]
+    cuts = ends[block.cuts].tolist()
+    packed = [_packed(places[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([block.name] * len(ids), pa.string()), ids, pa.array(packed, pa.binary())], names=["block", "doc_id", "places"])
 
 
 def _words_of(blob: bytes) -> list[bytes]:
@@ -381,7 +400,7 @@ def _encode_words(vocab, pattern: str):
             words = _words_of(blob)
             for w in words:
                 if w not in known:
-                    known[w] = one(w.decode("utf-8", "surrogatepass"))
+                    known[w] = one(w.decode())
             found = [known[w] for w in words]
             counts.append(_packed(np.fromiter(map(len, found), dtype=np.int64, count=len(found))))
             ids.append(_packed(np.array([i for x in found for i in x], dtype=np.int64)))
@@ -437,15 +456,16 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     buckets = 4 * shuffle_parts(spark)
     # two passes over the texts cost less than a stored copy of all places
     docs = docs.select("doc_id", "text")
-    cut = docs.mapInPandas(_blocks(pattern, _dictionary(buckets)), "block string, bucket int, numbers binary, words binary")
+    cut = docs.mapInArrow(_blocks(pattern, _dictionary(buckets)), "block string, bucket int, numbers binary, words binary")
     words = cut.groupBy("bucket").applyInPandas(_encode_words(shared_vocab, pattern), "block string, numbers binary, counts binary, ids binary")
-    sequences = docs.mapInPandas(_blocks(pattern, _sequences), "block string, doc_id long, places binary")
+    sequences = docs.mapInArrow(_blocks(pattern, _sequences), "block string, doc_id long, places binary")
     return sequences.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(
         _reassemble(token_bytes), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of every document's ids and of the bytes they decode to. Cases as in ``encode_decode``."""
     import public_tokenizers
 
     return encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -107,3 +107,18 @@ def sampled(key: Column, rate: float = 0.05) -> Column:
 def in_namespace(namespace: str | None, column: str = "namespace") -> Column:
     """Rows of the namespace; all rows where it is None or ``default``."""
     return F.lit(True) if namespace in (None, "default") else F.col(column) == namespace
+
+
+def searchable(namespace: str | None = None, level: str | None = "paragraph", **metadata) -> Column:
+    """What a search may return: the level, the namespace and equal metadata columns; None restricts nothing."""
+    test = in_namespace(namespace)
+    if level is not None:
+        test = test & (F.col("level") == level)
+    for name, value in metadata.items():
+        test = test & (F.col(name) == value)
+    return test
+
+
+def extractable(modality: Column, text: Column) -> Column:
+    """Whether a chunk's entities can be extracted: plain text that is not empty."""
+    return (modality == "text") & (F.trim(F.coalesce(text, F.lit(""))) != "")

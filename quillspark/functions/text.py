@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -79,9 +80,9 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def token_count(text: Column) -> Column:
-    """Words, as the default tokenizer; a model's tokenizer can stand in its place."""
-    return F.size(words(text))
+def token_count(text: Column, tokenize: Callable[[Column], Column] = words) -> Column:
+    """Tokens of a text by ``tokenize``, which makes an array of a text column; words by default."""
+    return F.size(tokenize(text))
 
 
 def budget_tokens(text: Column) -> Column:
@@ -128,11 +129,24 @@ def strip_honorific(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, rf"(?i)^\s*(?:{'|'.join(HONORIFICS)})\s+", ""))
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used (even inside lambdas)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def capital_words(text: Column) -> Column:
+    """All capitalised words of at least three letters."""
+    return F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-zA-Z]{2,}(?![\p{L}\p{N}_])"), F.lit(0))
+
+
 def capitalised(text: Column) -> Column:
-    """Capitalised words of at least three letters, first spelling of each, case-insensitively distinct."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-zA-Z]{2,}(?![\p{L}\p{N}_])"), F.lit(0))
-    lowered = F.transform(found, F.lower)
-    return F.filter(found, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    """Capitalised words of at least three letters, first spelling of each, case-insensitively distinct.
+
+    The words are sorted by lower case and place, so that one scan tells the first of each; then by place again.
+    """
+    placed = F.array_sort(F.transform(capital_words(text), lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = held(placed, lambda s: F.filter(s, lambda e, i: (i == 0) | (F.get(s, i - 1)["k"] != e["k"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"], e["x"]))), lambda e: e["x"])
 
 
 _CITE = r"\[CITE:([^\]]+)\]"
@@ -161,7 +175,7 @@ def has_citation(answer: Column) -> Column:
 
 def has_phrase(text: Column, phrase: Column) -> Column:
     """Whole-word presence, case-insensitive; the phrase is taken literally."""
-    return F.regexp_like(F.lower(text), F.concat(F.lit(r"\b\Q"), F.lower(phrase), F.lit(r"\E\b")))
+    return F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)\b\Q"), F.lower(phrase), F.lit(r"\E\b")))
 
 
 def condensed(text: Column, must: Column, must_not: Column) -> Column:
@@ -174,6 +188,12 @@ def numbered_lines(reply: Column, most: int = 4) -> Column:
     return F.slice(non_empty(F.transform(F.split(reply, "\n"), lambda x: F.regexp_replace(strip(x), r"^\d+[.)]\s*", ""))), 1, most)
 
 
+def numbered_choice(reply: Column, n: Column) -> Column:
+    """The distinct whole numbers from 1 to ``n`` of a model's list, in order."""
+    numbers = F.transform(F.regexp_extract_all(reply, F.lit(r"\d{1,9}"), F.lit(0)), lambda x: x.cast("int"))
+    return F.array_distinct(F.filter(numbers, lambda x: (x >= 1) & (x <= n)))
+
+
 def date_range(text: Column) -> Column:
     """(gte, lte) dates of a quarter (``Q3 2024``) or else a year (``2024``) named in a text; null without either."""
     quarter = F.regexp_extract(text, r"(?i)\bQ([1-4])\s+(20\d{2})\b", 1)
@@ -245,6 +265,11 @@ def keyword_coverage(answer: Column, keywords: Column) -> Column:
     return F.when(F.size(keywords) == 0, F.lit(1.0)).otherwise(hits / F.size(keywords))
 
 
+def scalar_payload(fields: Column) -> Column:
+    """A map of JSON texts cut to its strings, numbers and booleans; lists, objects and nulls go."""
+    return F.map_filter(fields, lambda k, v: v.isNotNull() & ~F.ltrim(v).rlike(r"^(?:[\[{]|null$)"))
+
+
 def assembled_prompt(items: Column, conflict: Column | None = None) -> Column:
     """The context items (chunk_id, source_name, ingestion_ts, text) under headers, parted by rules."""
     unknown = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))

@@ -61,3 +61,9 @@ def prompt_pool(feedback: DataFrame, golden: DataFrame) -> DataFrame:
     """Prompts of both (prompt, seq), feedback first, each once at its first place."""
     both = feedback.select("prompt", "seq", F.lit(0).alias("source_no")).unionByName(golden.select("prompt", "seq", F.lit(1).alias("source_no")))
     return both.groupBy("prompt").agg(F.min(F.struct("source_no", "seq")).alias("first")).select("prompt", "first.source_no", "first.seq")
+
+
+def without(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct ``rows`` whose keys ``known`` lacks; null keys count as equal."""
+    same = [rows[k].eqNullSafe(known[k]) for k in keys]
+    return rows.distinct().join(known, same, "left_anti")

@@ -8,18 +8,23 @@ from pyspark.sql.window import Window
 
 from quillspark.functions.metrics import nearest_rank
 from quillspark.functions.text import jaccard
+from quillspark.tables import staged
 
 
-def retrieval_metrics(results: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+def retrieval_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, cut: bool = False) -> DataFrame:
     """Per query of ``qrels`` (query_id, chunk_id): precision, recall and hit at k, reciprocal rank and NDCG of ``results`` (query_id, chunk_id, rank)."""
     relevant = qrels.distinct()
     judged = results.join(relevant.withColumn("rel", F.lit(1)), ["query_id", "chunk_id"], "left").fillna({"rel": 0})
-    return judged_metrics(judged, relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant")), k)
+    return judged_metrics(judged, relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant")), k, cut)
 
 
-def judged_metrics(judged: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """The same from judged results (query_id, rank, rel 0/1) and the number of relevant chunks (query_id, n_relevant)."""
+def judged_metrics(judged: DataFrame, relevant: DataFrame, k: int = 10, cut: bool = False) -> DataFrame:
+    """The same from judged results (query_id, rank, rel 0/1) and the number of relevant chunks (query_id, n_relevant).
+
+    With ``cut`` the reciprocal rank, too, looks at the first ``k`` only.
+    """
     top = F.col("rank") <= k
+    judged = judged.where(top) if cut else judged
     found = judged.groupBy("query_id").agg(
         F.sum(F.when(top, F.col("rel")).otherwise(0)).alias("hits"),
         F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"),
@@ -47,11 +52,18 @@ def lift(system: DataFrame, baseline: DataFrame, metric: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, ps: tuple[float, ...], *by: str) -> DataFrame:
-    """Nearest-rank percentiles per group, exact, from the counts of distinct values: no group's rows are gathered."""
+    """Nearest-rank percentiles per group, exact, from the counts of distinct values.
+
+    The values are dealt out by ranges, so a large group is sorted in many tasks; a table of each group's totals by
+    range says how many values lie below each range.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    ranged = staged(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_part").agg(F.sum("c").alias("own"))  # a row per group and range
     group = Window.partitionBy(*by)
-    below = F.sum("c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"n": F.sum("c").over(group), "upto": below})
+    totals = totals.withColumns({"n": F.sum("own").over(group), "before": F.sum("own").over(group.orderBy("_part")) - F.col("own")})
+    within = F.sum("c").over(Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.withColumn("within", within).join(totals, [*by, "_part"]).withColumn("upto", F.col("before") + F.col("within"))
 
     def at(p: float) -> Column:
         rank = F.least(F.col("n"), F.greatest(F.lit(1), F.bround(F.lit(p / 100.0) * F.col("n"), 0).cast("long")))
@@ -75,6 +87,37 @@ def stage_times(rows: DataFrame) -> DataFrame:
     return sums.groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "ms")))).alias("stages"), F.sum("ms").alias("total_ms"))
 
 
+#: The token counters of a request, which its total adds up.
+TOKEN_COUNTERS = ("prompt_tokens", "completion_tokens", "judge_prompt_tokens", "judge_completion_tokens", "embedding_tokens")
+
+
+def total_tokens(records: DataFrame) -> DataFrame:
+    """``records`` with the sum of those token counters that they have; null counters are 0."""
+    have = [F.coalesce(F.col(c), F.lit(0)) for c in TOKEN_COUNTERS if c in records.columns]
+    return records.withColumn("total_tokens", sum(have, F.lit(0)))
+
+
+def rolling_drift(rows: DataFrame, every: int = 100, width: int = 1000, recent: int = 20, dims: int = 32, threshold: float = 0.15) -> DataFrame:
+    """Drift checks over (namespace, seq, vector): after each ``every`` vectors of a namespace the mean of the last
+    ``recent`` against the mean of the last ``width``, both cut to ``dims`` and normalised: (namespace, seen, distance, drifted).
+    """
+    order = Window.partitionBy("namespace").orderBy("seq")
+    parts = rows.withColumn("seen", F.row_number().over(order))
+    # each vector counts in the checks at the next multiples of ``every``, as long as it is among the last ``width``
+    first = F.ceil(F.col("seen") / every).cast("int")
+    last = F.floor((F.col("seen") + width - 1) / every).cast("int")
+    checks = parts.withColumn("check", F.explode(F.sequence(first, F.greatest(first, last)))).where(F.col("check") * every - F.col("seen") < width)
+    total = parts.groupBy("namespace").agg(F.max("seen").alias("_all"))
+    checks = checks.join(total, "namespace").where(F.col("check") * every <= F.col("_all"))
+    x = checks.select("namespace", "check", (F.col("check") * every - F.col("seen") < recent).alias("new"), F.posexplode(F.slice("vector", 1, dims)).alias("d", "x"))
+    x = x.withColumn("x", F.col("x").cast("double"))
+    means = x.groupBy("namespace", "check", "d").agg(F.avg("x").alias("a"), F.avg(F.when(F.col("new"), F.col("x"))).alias("b"))
+    per = means.groupBy("namespace", "check").agg(F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum(F.col("a") * F.col("b")).alias("ab"))
+    cosine = F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))
+    distance = F.sqrt(F.greatest(2 - 2 * cosine, F.lit(0.0)))  # of two unit vectors
+    return per.select("namespace", (F.col("check") * every).alias("seen"), distance.alias("distance"), (distance > threshold).alias("drifted"))
+
+
 def drift(reference: DataFrame, recent: DataFrame, dims: int = 32, threshold: float = 0.15, least: int = 50) -> DataFrame:
     """Distance of the two normalised mean vectors over the first ``dims`` components; no verdict below ``least`` references."""
 
@@ -120,8 +163,13 @@ def conversation_report(turns: DataFrame) -> DataFrame:
 
 
 def coherence_report(rows: DataFrame, low: float = 0.6) -> DataFrame:
-    """Mean of (chunk_id, coherence), and the ids below ``low``."""
-    return rows.agg(F.coalesce(F.avg("coherence"), F.lit(0.0)).alias("mean_coherence"), F.array_sort(F.collect_list(F.when(F.col("coherence") < low, F.col("chunk_id")))).alias("low_ids"))
+    """Mean of (chunk_id, coherence) and the number of chunks below ``low``, which ``incoherent`` lists."""
+    return rows.agg(F.coalesce(F.avg("coherence"), F.lit(0.0)).alias("mean_coherence"), F.count_if(F.col("coherence") < low).alias("n_low"))
+
+
+def incoherent(rows: DataFrame, low: float = 0.6) -> DataFrame:
+    """The chunks (chunk_id, coherence) below ``low``."""
+    return rows.where(F.col("coherence") < low)
 
 
 def pair_checks(pairs: DataFrame, vectors: DataFrame, related: float = 0.65, unrelated: float = 0.35) -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import capitalised, edge_id, entity_id
+from quillspark.functions.text import capital_words, capitalised, edge_id, entity_id
 from quillspark.tables import staged
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
     """(chunk_id, node_id, name) of the capitalised words of ``chunks`` (chunk_id, text)."""
-    named = chunks.select("chunk_id", F.explode(capitalised(F.col("text"))).alias("name"))
-    return named.select("chunk_id", entity_id(F.lit("TERM"), F.col("name")).alias("node_id"), F.lower("name").alias("name"))
+    named = chunks.select("chunk_id", F.explode(F.array_distinct(F.transform(capital_words(F.col("text")), F.lower))).alias("name"))
+    return named.select("chunk_id", entity_id(F.lit("TERM"), F.col("name")).alias("node_id"), "name")
 
 
 def merge_entities(rows: DataFrame) -> DataFrame:
@@ -30,6 +33,11 @@ def merge_edges(rows: DataFrame) -> DataFrame:
     return out.withColumn("edge_id", edge_id(F.col("source_id"), F.col("relation_type"), F.col("target_id")))
 
 
+def chunk_edges(rows: DataFrame) -> DataFrame:
+    """Edges of (chunk_id, source_id, relation_type, target_id, weight) once per chunk, with the weights of repeats summed."""
+    return rows.groupBy("chunk_id", "source_id", "relation_type", "target_id").agg(F.sum("weight").alias("weight"))
+
+
 def resolve_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges (chunk_id, source, target, ...) whose two names are both entities (chunk_id, name, node_id) of the same chunk."""
     known = entities.select("chunk_id", F.lower(F.trim("name")).alias("k"), "node_id").distinct()
@@ -94,33 +102,48 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 4) -> DataFrame:
-    """(node, community) by weighted label propagation with a penalty on a label's total degree.
+def modularity(labels: DataFrame, edges: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of ``labels`` (node, community) over ``edges`` (a, b, weight), each edge given once."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    both = edges.join(a, "a").join(b, "b")
+    inside = both.agg(F.sum("weight").alias("m"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("own")).first()
+    if not inside["m"]:
+        return 0.0
+    ends = both.select(F.col("ca").alias("c"), "weight").union(both.select("cb", "weight"))
+    spread = ends.groupBy("c").agg(F.sum("weight").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("s")).first()["s"]
+    return inside["own"] / inside["m"] - resolution * spread / (2 * inside["m"]) ** 2
+
 
-    ``edges``: (a, b, weight). In each round a node takes the label with the highest weight to it less
-    ``resolution`` * degree * label degree / (2 * total weight); ties to the smaller label, every other hash class of
-    nodes moving in turn, so that neighbours don't swap. Ends when a pair of rounds changes nothing. Not modularity-optimal.
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, community) by greedy moves that raise the modularity, all nodes of a hash class at a time.
+
+    ``edges``: (a, b, weight). In each turn the nodes of one of two hash classes may move to the label with the highest
+    weight to them less ``resolution`` * degree * label degree / (2 * total weight), their own degree left out; ties to
+    one label by its hash. Turns go on until a pair of them has not raised the modularity (simultaneous moves may lower
+    it), and the best labels seen are the result. A local optimum, not the greatest modularity.
     """
     both = staged(edges.select("a", "b", "weight").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     degree = staged(both.groupBy("a").agg(F.sum("weight").alias("degree")))
     total = degree.agg(F.sum("degree")).first()[0] or 1.0
     labels = staged(nodes.select("node").distinct().withColumn("community", F.col("node")))
-    still = 0
-    for turn in range(2 * rounds):
+    best_labels, best, since, turn = labels, modularity(labels, edges, resolution), 0, 0
+    while since < 2:
         sized = labels.join(degree.withColumnRenamed("a", "node"), "node", "left").fillna({"degree": 0.0})
         mass = sized.groupBy("community").agg(F.sum("degree").alias("mass"))
         pull = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        pull = pull.join(mass, "community").join(degree, "a")
-        gain = F.round(F.col("w") - resolution * F.col("degree") * F.col("mass") / total, 9)
-        best = pull.groupBy("a").agg(F.max(F.struct(gain.alias("g"), (-F.hash("community")).alias("h"), F.col("community").alias("c"))).alias("x"))
-        moved = labels.join(best.select(F.col("a").alias("node"), "x.c", "x.g"), "node", "left")
+        pull = pull.join(mass, "community").join(degree, "a").join(labels.select(F.col("node").alias("a"), F.col("community").alias("own")), "a")
+        others = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * F.col("degree") * others / total, 9)
+        choice = pull.groupBy("a").agg(F.max(F.struct(gain.alias("g"), (-F.hash("community")).alias("h"), F.col("community").alias("c"))).alias("x"))
+        moved = labels.join(choice.select(F.col("a").alias("node"), "x.c", "x.g"), "node", "left")
         mine = F.pmod(F.hash("node"), F.lit(2)) == turn % 2
         moved = staged(moved.select("node", F.when(mine & (F.col("g") > 0), F.col("c")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")))
-        labels = moved.select("node", "community")
-        still = still + 1 if moved.where("community <> old").isEmpty() else 0
-        if still == 2:
-            break
-    return labels
+        labels, turn = moved.select("node", "community"), turn + 1
+        now = modularity(labels, edges, resolution)
+        since = 0 if now > best + 1e-9 else since + 1
+        if now > best + 1e-9:
+            best_labels, best = labels, now
+    return best_labels
 
 
 def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] = (1.0, 0.5), least: int = 2) -> DataFrame:
@@ -146,19 +169,73 @@ def local_search(queries: DataFrame, entities: DataFrame, edges: DataFrame, ment
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def entity_search(queries: DataFrame, entities: DataFrame, k: int = 10, entity_type: str | None = None) -> DataFrame:
+    """The ``k`` entities (node bigint, vector, entity_type) nearest to each query (query_id, vector): (query_id, node, score, rank).
+
+    The type is tested after the search, so a query may keep fewer than ``k``.
+    """
+    from quillspark.operators.search import dense_topk
+
+    hits = dense_topk(queries, entities.select(F.col("node").alias("chunk_id"), "vector"), k).withColumnRenamed("chunk_id", "node")
+    return hits if entity_type is None else hits.join(entities.where(F.col("entity_type") == entity_type).select("node"), "node", "left_semi")
+
+
+def community_members(members: DataFrame, entities: DataFrame) -> DataFrame:
+    """The metadata of the members (level, community, node) of communities: entities joined by node."""
+    return members.join(entities, "node")
+
+
+def hybrid_search(local: DataFrame, communities_found: DataFrame, vector: DataFrame, k: int = 5) -> DataFrame:
+    """Reciprocal rank fusion of local hits, community summaries and vector hits (each query_id, key, rank); ties as in ``fuse``."""
+    from quillspark.operators.search import fuse
+
+    return fuse([one.select("query_id", F.col("key").alias("chunk_id"), "rank") for one in (local, communities_found, vector)], k).withColumnRenamed("chunk_id", "key")
+
+
 def global_search(entity_hits: DataFrame, members: DataFrame, summaries: DataFrame) -> DataFrame:
     """Summaries of the communities of entity hits (query_id, node, score): (query_id, community, score, summary)."""
     found = entity_hits.join(members, "node").groupBy("query_id", "community").agg(F.max("score").alias("score"))
     return found.join(summaries, "community")
 
 
+def _holding(names):
+    """Which of the names each text holds, by one pass of an automaton over the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in names.value:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        for pdf in batches:
+            found = [(i, k) for i, t in zip(pdf["chunk_id"], pdf["t"], strict=True) if t for k in {k for _, k in automaton.iter(t)}]
+            yield pd.DataFrame(found, columns=["chunk_id", "k"])
+
+    return run
+
+
+#: Names that one pass over the texts looks for.
+NAMES_A_PASS = 200_000
+
+
 def entity_coverage(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Chunks that contain each wanted name (name), any case: (name, n_chunks, covered). Names meet the terms of the texts."""
-    from quillspark.functions.text import terms
+    """Chunks whose text holds each wanted name (name) anywhere, even within words, any case: (name, n_chunks, covered).
 
-    seen = chunks.select("chunk_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("k"))
-    hits = wanted.select("name", F.lower("name").alias("k")).join(seen, "k").groupBy("name").agg(F.count("*").alias("n_chunks"))
-    return wanted.join(hits, "name", "left").select("name", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.col("n_chunks").isNotNull().alias("covered"))
+    The names are broadcast NAMES_A_PASS at a time, with a pass over the texts for each such part. An empty or null name
+    is in no chunk.
+    """
+    spark = chunks.sparkSession
+    keyed = wanted.select("name", F.lower("name").alias("k"))
+    keys = staged(keyed.where("k <> ''").select("k").distinct())
+    parts = -(-keys.count() // NAMES_A_PASS)
+    texts = chunks.select("chunk_id", F.lower("text").alias("t"))
+    seen = spark.createDataFrame([], "k string, n_chunks long")
+    for part in range(parts):
+        names = spark.sparkContext.broadcast([r["k"] for r in keys.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == part).collect()])
+        found = texts.mapInPandas(_holding(names), f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, k string")
+        seen = seen.union(found.groupBy("k").agg(F.count("*").alias("n_chunks")))
+    return keyed.join(seen, "k", "left").select("name", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.col("n_chunks").isNotNull().alias("covered"))
 
 
 def missing_embeddings(entities: DataFrame) -> DataFrame:
@@ -169,3 +246,16 @@ def missing_embeddings(entities: DataFrame) -> DataFrame:
 def ordered_limit(rows: DataFrame, per: str, n: int, *order: str | Column) -> DataFrame:
     """The first ``n`` rows of each group in an explicit order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def level_counts(members: DataFrame, least: int = 2) -> DataFrame:
+    """Communities and members by level of (level, label, node), of communities with ``least`` members."""
+    sizes = members.groupBy("level", "label").agg(F.count("*").alias("members")).where(F.col("members") >= least)
+    return sizes.groupBy("level").agg(F.count("*").alias("n_communities"), F.sum("members").alias("n_members"))
+
+
+def entity_groups(rows: DataFrame) -> DataFrame:
+    """A map from label to the texts found, in order of place, of each query's entities (query_id, label, pos, text)."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    by_label = rows.groupBy("query_id", "label").agg(listed.alias("texts"))
+    return by_label.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "texts"))).alias("groups"))

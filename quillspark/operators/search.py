@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import terms
+from quillspark.functions.predicates import searchable
+from quillspark.functions.text import numbered_choice, terms
+from quillspark.tables import staged
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 #: Vectors, and queries, that meet in one task.
 BLOCK_VECTORS, BLOCK_QUERIES = 4000, 1000
+#: Asked terms that are broadcast; more are joined by shuffles.
+BROADCAST_TERMS = 500_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -47,8 +51,10 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, exclude_self: bool
     """Exact inner-product top-k of ``queries`` (query_id, vector) over ``chunks`` (chunk_id, vector) of unit vectors.
 
     Both sides are cut into blocks by hash; each pair of blocks keeps its k best, so no pair of rows is ever
-    shuffled. Scores have six decimals and ties go to the smaller chunk_id. Ids are whole numbers.
+    shuffled. Scores have six decimals and ties go to the smaller chunk_id. Ids are whole numbers. Both sides are
+    written once, so that what they come from is not run again for the counts.
     """
+    queries, chunks = staged(queries.select("query_id", "vector")), staged(chunks.select("chunk_id", "vector"))
     n_vectors, n_queries = chunks.count(), queries.count()
     vb, qb = max(1, -(-n_vectors // BLOCK_VECTORS)), max(1, -(-n_queries // BLOCK_QUERIES))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -59,7 +65,7 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, exclude_self: bool
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, dl) of ``docs`` (chunk_id, text): terms are counted within their row, without a shuffle."""
+    """(term, chunk_id, tf, dl) of ``docs`` (chunk_id, text): the whole index; terms are summed by task before the shuffle."""
     listed = docs.select("chunk_id", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     each = listed.select("chunk_id", "dl", F.explode("t").alias("term"))
     return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
@@ -82,10 +88,31 @@ def bm25(query_terms: DataFrame, posted: DataFrame, stats: DataFrame) -> DataFra
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def asked_postings(docs: DataFrame, query_terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``postings`` of the asked terms only, and the ``corpus_stats`` of all ``docs``, from one scan of the texts.
+
+    Terms that nobody asks for go before the shuffle, against a broadcast list where that is of a checked size. The
+    empty term, which no text has, is asked for in every text: its rows carry the lengths.
+    """
+    wanted = staged(query_terms.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string")))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    listed = docs.select("chunk_id", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    each = listed.select("chunk_id", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
+    counted = staged(each.join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")))
+    lengths = counted.where("term = ''")
+    stats = lengths.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    return counted.where("term <> ''"), stats
+
+
+def _searched(query_terms: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    query_terms = staged(query_terms.distinct())
+    posted, stats = asked_postings(docs, query_terms)
+    return ranked(bm25(query_terms, posted, stats), k)
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """BM25 top-k of ``queries`` (query_id, text) over ``docs`` (chunk_id, text)."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    return ranked(bm25(asked, postings(docs), corpus_stats(docs)), k)
+    return _searched(queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")), docs, k)
 
 
 def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame, most: int = 50) -> DataFrame:
@@ -103,10 +130,10 @@ def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame, most: int = 50) -
 
 
 def bm25_fuzzy_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    posted = postings(docs)
-    vocabulary = posted.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    return ranked(bm25(fuzzy_terms(asked, vocabulary), posted, corpus_stats(docs)), k)
+    """BM25 over the query terms and their near spellings in the corpus."""
+    vocabulary = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).distinct()
+    return _searched(fuzzy_terms(asked, vocabulary), docs, k)
 
 
 def fuse(lists: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -122,6 +149,12 @@ def fuse(lists: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
+def filtered(chunks: DataFrame, namespace: str | None = None, level: str | None = "paragraph", **metadata) -> DataFrame:
+    """The ``chunks`` that a search may return: of the namespace (any for None or ``default``), the hierarchy level and
+    the metadata given. Columns of the table, so the filters reach its scan."""
+    return chunks.where(searchable(namespace, level, **metadata))
+
+
 def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 20, overfetch: int = 2, method: tuple = ("dense", "sparse")) -> DataFrame:
     """Hybrid search of ``queries`` (query_id, text, vector) over ``chunks`` (chunk_id, text, vector): both legs, fused."""
     lists = []
@@ -154,3 +187,29 @@ def reranked(hits: DataFrame, order_reply: str = "order") -> DataFrame:
     key = F.struct((place == 0).alias("unmentioned"), F.when(place == 0, F.col("rank").cast("long")).otherwise(place).alias("place"))
     new = F.row_number().over(Window.partitionBy("query_id").orderBy(key))
     return hits.withColumn("rank", new)
+
+
+def listed_order(hits: DataFrame, replies: DataFrame) -> DataFrame:
+    """Hits in the order of a model's textual list (query_id, reply), e.g. ``[3, 1]``: numbers out of range are dropped,
+    unmentioned hits follow as they were, a reply without a number leaves the order."""
+    n = hits.groupBy("query_id").agg(F.count("*").cast("int").alias("_n"))
+    orders = replies.join(n, "query_id").select("query_id", numbered_choice(F.col("reply"), F.col("_n")).alias("order"))
+    joined = hits.join(orders, "query_id", "left").withColumn("order", F.coalesce("order", F.array().cast("array<int>")))
+    return reranked(joined).drop("order")
+
+
+def dual(queries: DataFrame, hypotheses: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
+    """Fusion of the search for each query and the search for its hypothetical document (both query_id, text, vector).
+
+    A query without a hypothesis is searched for twice, as its own hypothesis.
+    """
+    h = hypotheses.select("query_id", F.col("text").alias("_t"), F.col("vector").alias("_v"))
+    second = queries.join(h, "query_id", "left").select("query_id", F.coalesce("_t", "text").alias("text"), F.coalesce("_v", "vector").alias("vector"), F.lit(1).alias("leg"))
+    return multi_query(queries.select("query_id", "text", "vector", F.lit(0).alias("leg")).unionByName(second), chunks, k)
+
+
+def keyword_hits(hits: DataFrame, chunks: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Candidates (query_id, chunk_id, rank) with the number of the query's keywords (query_id, keywords) that the chunk holds."""
+    joined = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(keywords, "query_id")
+    found = F.size(F.filter("keywords", lambda w: F.contains(F.lower("text"), F.lower(w))))
+    return joined.select("query_id", "chunk_id", "rank", found.alias("n_keywords"))

@@ -28,3 +28,26 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 20, cut: int = 5, b
     items = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source_name", F.lit(None).cast("string").alias("ingestion_ts"), "text")))
     out = kept.groupBy("query_id").agg(items.alias("items"))
     return out.select("query_id", assembled_prompt(F.col("items")).alias("prompt"), F.transform("items", lambda x: x["chunk_id"]).alias("chunk_ids"))
+
+
+def context_items(hits: DataFrame, nodes: DataFrame, texts: DataFrame, replies: DataFrame | None = None, cut: int = 5, budget: int = 8192, windows: DataFrame | None = None) -> DataFrame:
+    """Context of ranked ``hits`` (query_id, chunk_id, rank, score): parents in place of their first hits (``nodes``:
+    node_id, parent_id), texts (chunk_id, text) or the texts around them (``windows``: chunk_id, surrounding_text), a
+    model's order (``replies``: query_id, reply), the first ``cut``, order by position, and the budget.
+    """
+    rows = context.expand_parents(hits, nodes).join(texts, "chunk_id")
+    if windows is not None:
+        rows = rows.join(windows, "chunk_id", "left").withColumn("text", F.coalesce("surrounding_text", "text")).drop("surrounding_text")
+    # places are counted anew, as a parent without a text is left out
+    if replies is not None:
+        rows = search.listed_order(rows, replies)
+    else:
+        rows = search.reranked(rows.withColumn("order", F.array().cast("array<int>"))).drop("order")
+    placed = context.position_order(rows.where(F.col("rank") <= cut)).withColumn("rank", F.col("position"))
+    return context.within_budget(placed, budget)
+
+
+def ingest_counts(docs: DataFrame) -> DataFrame:
+    """Documents scanned, those kept as first of their text, and those skipped."""
+    kept = dedup.exact_first(docs).agg(F.count("*").alias("indexed"))
+    return docs.agg(F.count("*").alias("scanned")).crossJoin(kept).withColumn("skipped", F.col("scanned") - F.col("indexed"))  # one row each

@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from quillspark.functions import metrics, predicates, text
 from quillspark.operators import chunk, context, datasets, dedup, evaluation, graph, search
 from quillspark.sources import files, records
-from quillspark.tables import staged
 
 QUERIES, SQL = {}, {}
 
@@ -155,13 +154,7 @@ _BENCH_QUERIES = f"SELECT item_id AS query_id, unnest({_terms('text')}) AS term
 @query(f"WITH {_POSTED}, {_bm25(10, _BENCH_QUERIES)} SELECT query_id, chunk_id, score, rank FROM sparse")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25_topk(asked, _chunks(spark, d).select("chunk_id", "text"), 10)
-
-
-@query()
-def bm25_fuzzy_topk(spark: SparkSession, d: str) -> DataFrame:
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25_fuzzy_topk(asked, _chunks(spark, d).select("chunk_id", "text"), 10)
+    return search.bm25_topk(asked, read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), 10)
 
 
 @query(f"WITH {_POSTED}, df AS (SELECT term, count(*) AS df FROM posted GROUP BY term) SELECT p.term, p.chunk_id, p.tf, p.dl::INTEGER AS dl, df.df FROM posted p JOIN df USING (term)")
@@ -297,31 +290,6 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact_first(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "content_hash", "copies")
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-
-
-# the pairwise SQL takes minutes on whole tables; the tests hold these three against brute force
-@query()
-def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.near_pairs(_texts(spark, d)).withColumn("jaccard", F.round("jaccard", 9))
-
-
-@query()
-def near_dup_keep(spark: SparkSession, d: str) -> DataFrame:
-    docs = _texts(spark, d)
-    unique = docs.select("id", text.normalize(F.col("text")).alias("t")).groupBy("t").agg(F.min("id").alias("id"))
-    return dedup.keep_earlier(unique.select("id"), dedup.near_pairs(docs))
-
-
-@query()
-def near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
-    docs = _texts(spark, d)
-    pairs = staged(dedup.near_pairs(docs))
-    unique = docs.select("id", text.normalize(F.col("text")).alias("t")).groupBy("t").agg(F.min("id").alias("id"))
-    return dedup.keep_greedy(unique.select("id"), pairs)
-
-
 @query(f"""WITH w AS (SELECT doc_id, {_words('text')} AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 448)) AS start FROM w WHERE len(w) > 0)
 SELECT doc_id, start::INTEGER AS start, least(512, len(w) - start)::INTEGER AS n_tokens, sha256(array_to_string(w[start + 1:start + 512], ' ')) AS text_sha
 FROM s WHERE least(512, len(w) - start) >= 50 OR start + 512 >= len(w)""")
@@ -495,20 +463,11 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return graph.levels(nodes, edges)
 
 
-@query()
-def graph_local_search(spark: SparkSession, d: str) -> DataFrame:
-    mentioned = staged(graph.mentions(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")))
-    order = Window.partitionBy("chunk_id").orderBy("name")
-    edges = mentioned.select(F.col("node_id").alias("source_id"), F.lead("node_id").over(order).alias("target_id"), F.lit("NEXT").alias("relation_type")).where("target_id is not null")
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return graph.local_search(asked, mentioned.select("node_id", "name").distinct(), edges, mentioned, hops=1)
-
-
 @query(f"""WITH w AS (SELECT DISTINCT unnest({_capitalised('text')}) AS name FROM benchmark), one AS (SELECT min(name) AS name FROM w GROUP BY lower(name)),
-t AS (SELECT doc_id, unnest(list_distinct({_terms('text')})) AS k FROM documents), n AS (SELECT k, count(*) AS n FROM t GROUP BY k)
-SELECT name, coalesce(n, 0) AS n_chunks, n IS NOT NULL AS covered FROM one LEFT JOIN n ON k = lower(name)""")
+n AS (SELECT name, count(*) AS n FROM one JOIN documents ON contains(lower(text), lower(name)) GROUP BY name)
+SELECT name, coalesce(n, 0) AS n_chunks, n IS NOT NULL AS covered FROM one LEFT JOIN n USING (name)""")
 def entity_coverage(spark: SparkSession, d: str) -> DataFrame:
-    names = read(spark, d, "benchmark").select(F.explode(text.capitalised(F.col("text"))).alias("name"))
+    names = read(spark, d, "benchmark").select(F.explode(text.capital_words(F.col("text"))).alias("name"))
     wanted = names.groupBy(F.lower("name").alias("k")).agg(F.min("name").alias("name")).select("name")
     return graph.entity_coverage(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), wanted)
 
@@ -553,11 +512,6 @@ def retrieval_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 9).alias(c) for c in _ROUNDED], "n_queries")
 
 
-@query()
-def baseline_lift(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.lift(_judged_metrics(spark, d, 10), _judged_metrics(spark, d, 5), "recall")
-
-
 _RANKED = "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)"
 
 
@@ -626,12 +580,6 @@ def drift_score(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("distance", F.round("distance", 6))
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) + 1e-9, 5) AS rolling FROM events")
-def rolling_reference(spark: SparkSession, d: str) -> DataFrame:
-    out = evaluation.rolling_mean(read(spark, d, "events"), "event_id", "value", "user_id", 100)
-    return out.select("event_id", F.round(F.col("rolling") + 1e-9, 5).alias("rolling"))
-
-
 @query("""WITH p AS (SELECT vec_id AS a, lead(vec_id) OVER (ORDER BY vec_id) AS b FROM embeddings), s AS (
   SELECT a, b, CASE WHEN x.label = y.label THEN 'related' ELSE 'unrelated' END AS expected, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity
   FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b)
@@ -689,7 +637,7 @@ def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_dense(50)} SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM dense
-JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id WHERE a.label <> b.label AND score BETWEEN 0.3 AND 0.85 QUALIFY rank <= 5""")
+JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id WHERE a.label <> b.label AND score BETWEEN 0.3 AND 0.85 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 5""")
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     labels = _vectors(spark, d).select("chunk_id", "label")
     hits = _dense_hits(spark, d, 50)

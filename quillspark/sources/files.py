@@ -21,8 +21,9 @@ ELEMENT = "doc_id long, pos int, category string, depth int, text string"
 
 def scan(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFrame:
     """All files below ``root`` with these extensions (any case): path, content, modificationTime, sha256, source_name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    kept = files.where(F.lower(F.substring_index("path", ".", -1)).isin(*extensions))
+    any_case = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    pattern = f"*.{{{','.join(map(any_case, extensions))}}}"  # other files are not even opened
+    kept = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return kept.select("path", "content", "modificationTime", F.sha2("content", 256).alias("sha256"), F.element_at(F.split("path", "/"), -2).alias("source_name"))
 
 

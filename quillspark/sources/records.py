@@ -75,3 +75,10 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], seq: Column) ->
 def cache_rows(rows: DataFrame, now: Column, ttl_seconds: int = 3600) -> DataFrame:
     """Rows of a cache with the time at which they expire."""
     return rows.withColumns({"cached_at": now, "expires_at": now + F.make_dt_interval(secs=F.lit(float(ttl_seconds)))})
+
+
+def stamped(rows: DataFrame, file_name: Column, fallback: Column, now: Column | None = None) -> DataFrame:
+    """``rows`` with the time of their ingestion and the version that their file's name gives, else the fallback."""
+    from quillspark.functions.text import version_of
+
+    return rows.withColumns({"ingestion_ts": F.current_timestamp() if now is None else now, "doc_version": version_of(file_name, fallback)})

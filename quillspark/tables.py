@@ -12,23 +12,32 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the context's checkpoint folder; a temporary one where neither is set."""
+    """``spark.checkpoint.dir``, or the context's checkpoint folder. Where neither is set, a temporary folder in local
+    mode; on a cluster, whose executors could not read one, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     spark.sparkContext.setCheckpointDir(base)
     return base
 
 
-def staged(df: DataFrame) -> DataFrame:
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage of an iteration, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

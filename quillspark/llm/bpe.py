@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import shuffle_parts, table
+from quillspark.llm.common import bounded_batches, shuffle_parts, table
 
 #: Distinct pieces whose ids a Python worker keeps between batches, in either generation.
 CACHED = 400_000
@@ -449,6 +449,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     and the digests of nothing; repeated rows stay repeated; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     vocab = vocabulary(path)
     by_id = {i: b for b, i in ranks_of(vocab).items()}
     token_bytes = spark.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id) + 1)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -60,6 +61,113 @@ def grounded(prompts: list[str]) -> list[str]:
     return out
 
 
+@task
+def expansion(prompts: list[str]) -> list[str]:
+    """The query and its distinct longer words, as a passage that a query is widened by."""
+    return [" ".join([p, *dict.fromkeys(w for w in re.findall(r"\w+", p.lower()) if len(w) > 3)]) for p in prompts]
+
+
+@task
+def condensation(prompts: list[str]) -> list[str]:
+    """The last line of the history and question, without the speaker's name."""
+    return [re.sub(r"^\w+:\s*", "", p.strip().split("\n")[-1]) for p in prompts]
+
+
+@task
+def entities(prompts: list[str]) -> list[str]:
+    """Lines ``LABEL: text`` of years, numbers and capitalised words."""
+    out = []
+    for p in prompts:
+        rows = [("DATE", m) for m in re.findall(r"\b(?:19|20)\d\d\b", p)] + [("NAME", m) for m in re.findall(r"\b[A-Z][a-z]{2,}\b", p)]
+        out.append("\n".join(f"{a}: {b}" for a, b in dict.fromkeys(rows)))
+    return out
+
+
+@task
+def extraction(prompts: list[str]) -> list[str]:
+    """A JSON graph: the capitalised words, each linked to the next."""
+    out = []
+    for p in prompts:
+        names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-zA-Z]{2,}\b", p)))
+        links = [{"source": a, "target": b, "relation": "NEXT", "weight": 1.0} for a, b in zip(names, names[1:], strict=False)]
+        out.append(json.dumps({"entities": [{"name": n, "entity_type": "TERM"} for n in names], "relationships": links}))
+    return out
+
+
+@task
+def conflict(prompts: list[str]) -> list[str]:
+    """``YES`` where passages parted by rules hold different numbers and nothing in common."""
+    out = []
+    for p in prompts:
+        found = [set(re.findall(r"\d+", part)) for part in p.split("---")]
+        found = [f for f in found if f]
+        out.append("YES" if len(found) > 1 and not set.intersection(*found) else "NO")
+    return out
+
+
+@task
+def claims(prompts: list[str]) -> list[str]:
+    """JSON of the answer's sentences with whether half of their longer words are in the context (answer first, then ``CONTEXT:``)."""
+    out = []
+    for p in prompts:
+        answer, _, context = p.partition("CONTEXT:")
+        known = set(re.findall(r"\w+", context.lower()))
+        rows = []
+        for c in filter(None, re.split(r"(?<=[.!?])\s+", answer.strip())):
+            words = [w for w in re.findall(r"\w+", c.lower()) if len(w) > 3]
+            rows.append({"claim": c, "grounded": sum(w in known for w in words) * 2 >= len(words)})
+        out.append(json.dumps({"claims": rows}))
+    return out
+
+
+@task
+def judgement(prompts: list[str]) -> list[str]:
+    """A score between 0 and 1: the share of distinct words, as a measure that needs no model."""
+    return [f"score: {len(set(w)) / len(w):.3f}" if (w := p.lower().split()) else "no score" for p in prompts]
+
+
+@task
+def questions(prompts: list[str]) -> list[str]:
+    """JSON pairs of a question and an answer, one for each of the first two sentences."""
+    rows = [[{"question": f"What is said about {' '.join(s.split()[:3])}?", "answer": s} for s in re.split(r"(?<=[.!?])\s+", p)[:2] if s] for p in prompts]
+    return [json.dumps({"pairs": r}) for r in rows]
+
+
+@task
+def variants(prompts: list[str]) -> list[str]:
+    """The query asked in two other ways."""
+    return [f"1. Please tell me: {p}\n2. {p} Answer briefly." for p in prompts]
+
+
+@task
+def history_answer(prompts: list[str]) -> list[str]:
+    """The line after the last earlier asking of the same question (last line), else ``NEEDS_RETRIEVAL``."""
+    out = []
+    for p in prompts:
+        lines = [line.strip() for line in p.strip().split("\n")]
+        seen = [i for i, line in enumerate(lines[:-2]) if line == lines[-1]]
+        out.append(re.sub(r"^\w+:\s*", "", lines[seen[-1] + 1]) if seen else "NEEDS_RETRIEVAL")
+    return out
+
+
+@task
+def language(prompts: list[str]) -> list[str]:
+    """The language whose commonest words a text has most of, else empty."""
+    common = {"en": {"the", "and", "of", "to", "is"}, "de": {"der", "die", "und", "ist", "das"}, "fr": {"le", "les", "et", "est", "des"}, "es": {"el", "los", "y", "es", "que"}}
+    out = []
+    for p in prompts:
+        words = re.findall(r"\w+", p.lower())
+        best = max(common, key=lambda k: sum(w in common[k] for w in words))
+        out.append(best if any(w in common[best] for w in words) else "")
+    return out
+
+
+@task
+def caption(prompts: list[str]) -> list[str]:
+    """A caption that names the image's file."""
+    return [f"Image {p.rsplit('/', 1)[-1]}" for p in prompts]
+
+
 def embed(texts: list[str], dim: int = 64) -> np.ndarray:
     """Hashed bag of words, unit length."""
     out = np.zeros((len(texts), dim), dtype=np.float32)

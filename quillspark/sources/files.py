@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -173,6 +176,42 @@ def html_elements(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "html").mapInPandas(_parse, ELEMENT)
 
 
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _docx_elements(content: bytes) -> list[tuple[str, int | None, str]]:
+    """Headings, list items, paragraphs and tables of a DOCX file's body, in order; none of a file that is no DOCX."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_WORD}body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return []
+    text = lambda node: "".join(t.text or "" for t in node.iter(f"{_WORD}t")).strip()
+    out = []
+    for node in body if body is not None else ():
+        if node.tag == f"{_WORD}tbl":
+            rows = ["| " + " | ".join(text(c) for c in r.iter(f"{_WORD}tc")) + " |" for r in node.iter(f"{_WORD}tr")]
+            out += [("Table", None, "\n".join(rows))] if rows else []
+        elif node.tag == f"{_WORD}p" and (said := text(node)):
+            style = node.find(f"{_WORD}pPr/{_WORD}pStyle")
+            name = style.get(f"{_WORD}val", "") if style is not None else ""
+            heading = re.fullmatch(r"Heading([1-6])", name)
+            listed = node.find(f"{_WORD}pPr/{_WORD}numPr") is not None or name.startswith("List")
+            out.append(("Title", int(heading[1]), said) if heading else ("Title", 1, said) if name == "Title" else ("ListItem" if listed else "NarrativeText", None, said))
+    return out
+
+
+def docx_elements(files: DataFrame) -> DataFrame:
+    """Elements of DOCX ``files`` (path, content): rows (path, pos, category, depth, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(path, i, *e) for path, content in zip(pdf["path"], pdf["content"], strict=True) for i, e in enumerate(_docx_elements(content or b""))]
+            yield pd.DataFrame(rows, columns=["path", "pos", "category", "depth", "text"]).astype({"depth": "Int32", "pos": "int32"})
+
+    return files.select("path", "content").mapInPandas(run, ELEMENT.replace("doc_id long", "path string"))
+
+
 def decoded_files(files: DataFrame) -> DataFrame:
     """Texts of scanned files: path, source_name, text."""
     return files.select("path", "source_name", decoded(F.col("content")).alias("text"))

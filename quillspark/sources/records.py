@@ -44,8 +44,8 @@ def append_ledger(report: DataFrame, path: str, kind: str) -> None:
 
 
 def ledger(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Reports of one kind; only that kind's files are read."""
-    return spark.read.json(path).where(F.col("report_type") == kind)
+    """Reports of one kind; only that kind's folder is read, for its schema too."""
+    return spark.read.json(f"{path}/report_type={kind}").withColumn("report_type", F.lit(kind))
 
 
 def training_set(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -82,3 +82,27 @@ def stamped(rows: DataFrame, file_name: Column, fallback: Column, now: Column |
     from quillspark.functions.text import version_of
 
     return rows.withColumns({"ingestion_ts": F.current_timestamp() if now is None else now, "doc_version": version_of(file_name, fallback)})
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Write the postings of the paragraphs of ``chunks`` (namespace, level, chunk_id, text), a folder per namespace."""
+    from quillspark.functions.text import terms
+
+    rows = chunks.where("level = 'paragraph'").select("namespace", "chunk_id", terms(F.col("text")).alias("t"))
+    each = rows.select("namespace", "chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    posted = each.groupBy("namespace", "term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    posted.sortWithinPartitions("namespace", "term").write.mode("append").partitionBy("namespace").parquet(path)
+
+
+def route_unanswered(rows: DataFrame, path: str, least: float = 0.3) -> None:
+    """Append the queries whose answers (query, answer, faithfulness, ...) say nothing to the file of unanswerable ones."""
+    from quillspark.functions.predicates import unanswered
+
+    rows.where(unanswered(F.col("answer"), F.col("faithfulness"), least)).write.mode("append").json(path)
+
+
+def write_preferences(rows: DataFrame, path: str) -> None:
+    """Append preferences (namespace, ...) in a folder per namespace, named by letters a file name may have."""
+    from quillspark.functions.text import file_slug
+
+    rows.withColumn("slug", file_slug(F.col("namespace"))).write.mode("append").partitionBy("slug").json(path)

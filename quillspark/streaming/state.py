@@ -102,11 +102,10 @@ def expiring_cache(stream: DataFrame, ttl: str = "1 hour") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values("ts")
+        rows = pd.concat(list(frames)).sort_values("_ms")
         hits = []
         last = state.get[0] if state.exists else None
-        for t in rows["ts"]:
-            now = int(t.timestamp() * 1000)
+        for now in rows["_ms"].tolist():
             hits.append(last is not None and now - last < seconds * 1000)
             last = now if not hits[-1] else last
         state.update((last,))
@@ -115,7 +114,9 @@ def expiring_cache(stream: DataFrame, ttl: str = "1 hour") -> DataFrame:
 
     number, unit = ttl.split()
     seconds = int(number) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")]
-    return stream.withWatermark("ts", ttl).groupBy("key").applyInPandasWithState(
+    # milliseconds as the watermark counts them, whatever the session's time zone
+    timed = stream.withWatermark("ts", ttl).withColumn("_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return timed.groupBy("key").applyInPandasWithState(
         step, "key string, ts timestamp, hit boolean", "at long", "append", GroupStateTimeout.EventTimeTimeout
     )
 

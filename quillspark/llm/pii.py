@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import materialize, shuffle_parts, table
 
 #: Key of the surrogates in the registered query; a real run passes its own secret.
 KEY = "quillspark-demo-key"
@@ -18,7 +18,7 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Don", "Господин", "госп
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Doña", "Госпожа", "госпожа", "Κυρία")
 NEUTRAL = ("Dr", "Prof", "Доктор", "доктор")
 _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{Ll}']+(?:-\p{Lu}\p{Ll}+)?"
+_NAME = r"(?:\p{Lu}')?\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 
 PATTERNS = {
     # a label may give back hyphens and what follows them, never part of a word
@@ -28,13 +28,13 @@ PATTERNS = {
     r"|(?<=[=:\s\"'])(?=[A-Za-z0-9+/_-]{8})(?<=(?i:password|passwd|token|secret|api_key|apikey)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
     "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
     "iban": r"(?<![\w])[A-Z]{2}\d{2} ?(?:[A-Z]{4}|\d{4})(?: ?\d{4}){1,6}(?: ?\d{1,4})?(?![\w])",
-    "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])",
+    "card": r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d(?:[ -]?\d){12,18})(?![\w])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?![\w])|(?<![\w])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w])",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity holds; texts without it skip the full pattern. Keys may lack digits. The titles' first letters
+#: What every match of the patterns holds (a test proves it); texts without it skip the full pattern. Keys may lack digits. The titles' first letters
 #: come first, as a position fails on them at once.
 _HINT = rf"[0-9@=:]|AKIA|ghp_|sk-|(?<!\p{{L}})(?=[{''.join(sorted({t[0] for t in (*MALE, *FEMALE, *NEUTRAL)}))}])(?:{_TITLES})\.? \p{{Lu}}"
 
@@ -200,9 +200,11 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """
     space = F.regexp_extract("type", "^[a-z]+(?::[a-z]+)?", 0)
     entities = materialize(entities.distinct().withColumn("space", space), "entities")
+    parts = shuffle_parts(entities.sparkSession)
     done, pending = [], entities
     for attempt in range(MAX_DRAWS):
-        drawn = pending.withColumn("surrogate", _candidate(secret, attempt))
+        # few rows, much work for each: dealt out, as they may come in one small file
+        drawn = pending.repartition(parts, "type", "key").withColumn("surrogate", _candidate(secret, attempt))
         taken = entities.select("space", F.when(F.col("type").startswith("given") | F.col("type").startswith("surname"), F.initcap("key")).otherwise(F.col("key")).alias("surrogate"))
         taken = reduce(DataFrame.unionByName, [d.select("space", "surrogate") for d in done], taken).distinct()
         free = drawn.join(taken, ["space", "surrogate"], "left_anti")
@@ -227,12 +229,17 @@ def _layout(original: Column, fill: Column) -> Column:
     return F.array_join(chars, "")
 
 
-def _render(kind: Column, e: Column, held: Column) -> Column:
-    """The text that stands for entity ``e``; ``held`` maps type:key to surrogates."""
-    parts = _parts(kind, e)
-    of = F.transform(parts, lambda p: held[F.concat_ws(":", p["type"], p["key"])])
+def _titled(entity: Column) -> Column:
+    """The string of an entity struct; an untitled name with the title that it goes by elsewhere in its text."""
+    return F.concat(F.coalesce(entity["title"], F.lit("")), entity["e"])
+
+
+def _render(entity: Column, held: Column) -> Column:
+    """The text that stands for an entity struct (kind, e, title); ``held`` maps type:key to surrogates."""
+    kind, e, whole = entity["kind"], entity["e"], _titled(entity)
+    of = F.transform(_parts(kind, whole), lambda p: held[F.concat_ws(":", p["type"], p["key"])])
     title = F.regexp_extract(e, rf"^(?:{_TITLES})\.? ", 0)
-    female = (_gender(e) == "f") & e.rlike(r"\p{IsCyrillic}$")
+    female = (_gender(whole) == "f") & e.rlike(r"\p{IsCyrillic}$")
     return (
         F.when(kind.isNull(), e)
         .when(kind == "person", F.concat(title, F.array_join(of, " "), F.when(female, "а").otherwise("")))
@@ -242,42 +249,79 @@ def _render(kind: Column, e: Column, held: Column) -> Column:
     )
 
 
+def _name_pattern(titles: Column) -> Column:
+    """A pattern of the untitled names that are the keys of ``titles``; the longest come first."""
+    longest_first = F.array_sort(F.map_keys(titles), lambda a, b: F.length(b) - F.length(a))
+    return F.concat(F.lit(r"|(?<![\p{L}\p{M}])(?:"), F.array_join(longest_first, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+
+
+def _untitled(found: Column) -> Column:
+    """The names that a text's titled persons go by without their title, each with that title."""
+    persons = F.filter(found, lambda e: e.rlike(rf"^(?:{_TITLES})\.? {_NAME}"))
+    title = lambda e: F.regexp_extract(e, rf"^(?:{_TITLES})\.? ", 0)
+    whole = F.transform(persons, lambda e: F.struct(F.array_join(_names(e), " ").alias("key"), title(e).alias("value")))
+    last = F.transform(persons, lambda e: F.struct(F.element_at(_names(e), -1).alias("key"), title(e).alias("value")))
+    both = F.concat(whole, last)
+    # of several titles of a name the first counts
+    first = F.filter(both, lambda x, i: F.array_position(F.transform(both, lambda y: y["key"]), x["key"]) == i + 1)
+    return F.map_from_entries(first)
+
+
 def surrogate_texts(docs: DataFrame, secret: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace the personal data in ``text_col`` by surrogates; all columns stay, ``n_entities`` int is added.
 
     Found: e-mail and IPv4 addresses, phone, card (Luhn-valid), social security and account numbers, credentials
-    and titled names (Latin, Cyrillic, Greek). The same entity gets the same surrogate in every document and in
-    every spelling of its separators; a surname keeps its surrogate with or without a given name. Digits stay
-    digits, letters letters, separators stay; card check sums hold; names keep gender and script.
+    and titled names (Latin, Cyrillic, Greek); in a text with a titled name also that name without its title and its
+    bare surname. The same entity gets the same surrogate in every document and in every spelling of its separators;
+    a surname keeps its surrogate with or without a given name or title. Digits stay digits, letters letters,
+    separators stay; card check sums hold; names keep gender and script.
     Null texts stay null with 0 entities, as do texts without an entity; an empty table stays empty; rows that
-    share or lack an id are handled one by one. A column n_entities of the input is replaced.
-    Only rows with entities are shuffled: the others pass straight through.
+    share or lack an id are handled one by one, as ``id_col`` is not read. A column n_entities of the input is replaced.
+    Rows with entities are written once, cut at their entities; the others pass straight through.
     """
     text = F.col(text_col)
     docs = docs.drop("n_entities")
     columns = docs.columns
+    hinted = F.coalesce(text.rlike(_HINT), F.lit(False))
     # nulls must land on one side; a text with the hint alone may still lack an entity
-    has = F.coalesce(text.rlike(_HINT) & (F.regexp_count(text, F.lit(_ANY)) > 0), F.lit(False))
-    plain = docs.where(~has).withColumn("n_entities", F.lit(0))
-    marked = docs.where(has).withColumn("_e", F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
-    marked = marked.withColumn("_e", F.transform("_e", lambda e: F.struct(_kind(e).alias("kind"), e.alias("e"))))
-    found = materialize(marked.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct("_e")).alias("_e")).select("_id", F.explode(_parts(F.col("_e.kind"), F.col("_e.e"))).alias("p")).select("_id", "p.type", "p.key").distinct(), "found")
+    plain = docs.where(~(hinted & (F.regexp_count(text, F.lit(_ANY)) > 0))).withColumn("n_entities", F.lit(0))
+    # explode keeps each step from being computed again for the next
+    once = lambda df, column, name: df.select("*", F.explode(F.array(column)).alias(name))
+    marked = once(docs.where(hinted), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), "_found").where(F.size("_found") > 0)
+    marked = once(marked, _untitled(F.col("_found")), "_titles")
+    named = F.size(F.map_keys("_titles")) > 0
+    pattern = F.when(named, F.concat(F.lit(_ANY), _name_pattern(F.col("_titles")))).otherwise(F.lit(_ANY))
+    marked = once(marked, pattern, "_pattern")
+    marked = marked.withColumn("_found", F.when(named, F.regexp_extract_all(text, F.col("_pattern"), F.lit(0))).otherwise(F.col("_found")))
+
+    def entity(e: Column) -> Column:
+        title = F.try_element_at(F.col("_titles"), e)
+        kind = F.when(title.isNotNull(), F.lit("person")).otherwise(_kind(e))
+        return F.struct(kind.alias("kind"), e.alias("e"), title.alias("title"))
+
+    marked = marked.select(
+        *[c for c in columns if c != text_col], F.transform("_found", entity).alias("_e"), F.split(text, F.col("_pattern"), -1).alias("_gaps"), F.monotonically_increasing_id().alias("_row")
+    )
+    marked = materialize(marked, "marked")  # from here on a row is known by its number
+    parts = F.explode(_parts(F.col("_e.kind"), _titled(F.col("_e"))))
+    found = marked.select("_row", F.explode(F.array_distinct("_e")).alias("_e")).select("_row", parts.alias("p")).select("_row", "p.type", "p.key").distinct()
+    found = materialize(found, "found")
     mapping = surrogates(found.select("type", "key"), secret)
     held = (
         found.join(mapping, ["type", "key"])
-        .groupBy("_id")
+        .groupBy("_row")
         .agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "type", "key"), "surrogate"))).alias("_held"))
     )
-    joined = marked.join(held, marked[id_col].eqNullSafe(held["_id"]), "left").withColumn("_held", F.coalesce("_held", F.create_map().cast("map<string,string>")))
-    new = F.transform("_e", lambda x: _render(x["kind"], x["e"], F.col("_held")))
-    gaps = F.split(text, _ANY, -1)
-    rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(new, i + 1), F.lit("")))), "")
+    joined = marked.join(held, "_row", "left").withColumn("_held", F.coalesce("_held", F.create_map().cast("map<string,string>")))
+    new = F.transform("_e", lambda x: _render(x, F.col("_held")))
+    rebuilt = F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.try_element_at(new, i + 1), F.lit("")))), "")
     count = F.size(F.filter("_e", lambda x: x["kind"].isNotNull()))
     changed = joined.withColumns({"n_entities": count, text_col: rebuilt}).select(*columns, "n_entities")
     return plain.unionByName(changed)
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in its text: doc_id, text, n_entities. Cases as in ``surrogate_texts``."""
     return surrogate_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 

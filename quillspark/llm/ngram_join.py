@@ -23,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, materialize, shuffle_parts, table
+from quillspark.llm.bpe import release
+from quillspark.llm.common import bounded_batches, components, materialize, shuffle_parts, table
 from quillspark.llm.textsets import shingle_sets
 
 #: A shingle is ordered last when its counted total reaches this.
@@ -34,7 +36,7 @@ HOT_FROM = 32
 #: At most this many shingles are ordered last (the list is broadcast: 16 bytes each).
 HOT_MOST = 400_000
 #: Shingles counted together in a task before the repeated ones are passed on.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Members of one part of a bucket, its trie held in memory.
 PART = 256
 #: Rounds of matching between the components' smallest members before all pairs that are left.
@@ -99,18 +101,25 @@ def _signed(values: list) -> np.ndarray:
 def _first_pass(width: int):
     """Rows of the texts' marks (s null), and of the shingles that repeat within the task (n null)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+    names = ["doc_id", "n", "hi", "lo", "s", "c"]
 
-        def repeated() -> pd.DataFrame:
-            s, c = np.unique(np.concatenate(held), return_counts=True)
-            s, c = s[c > 1].view(np.int64), c[c > 1]
-            none = pd.array([None] * len(s), dtype="Int64")
-            return pd.DataFrame({"doc_id": none, "n": none, "hi": none, "lo": none, "s": pd.array(s, dtype="Int64"), "c": pd.array(c, dtype="Int64")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held, size = [], 0
 
-        for pdf in batches:
+        def repeated() -> pa.RecordBatch:
+            s = np.concatenate(held)
+            held.clear()
+            s.sort()
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            c = np.diff(np.concatenate((first, [len(s)])))
+            s, c = s[first[c > 1]].view(np.int64), c[c > 1]
+            none = pa.nulls(len(s), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(s), pa.array(c)], names=names)
+
+        for batch in batches:
             n, hi, lo = [], [], []
-            for s in shingle_sets(pdf["text"].tolist(), width):
+            for s in shingle_sets(batch.column("text"), width):
                 marks = _marks_of(s)
                 n.append(len(s))
                 hi.append(marks[0])
@@ -119,10 +128,9 @@ def _first_pass(width: int):
                 size += len(s)
                 if size >= COUNTED:
                     yield repeated()
-                    held, size = [], 0
-            none = pd.array([None] * len(n), dtype="Int64")
-            ids = pdf["doc_id"].astype("Int64")
-            yield pd.DataFrame({"doc_id": ids, "n": pd.array(n, dtype="Int64"), "hi": pd.array(_signed(hi), dtype="Int64"), "lo": pd.array(_signed(lo), dtype="Int64"), "s": none, "c": none})
+                    size = 0
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(_signed(hi)), pa.array(_signed(lo)), none, none], names=names)
         if size:
             yield repeated()
 
@@ -154,10 +162,11 @@ def _prefixes(width: int, percent: int, order, buckets: int):
     Equal sets give theirs once per task.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, size, seen = [], 0, set()
 
-        def packed() -> pd.DataFrame:
+        def packed() -> pa.RecordBatch:
             s = np.concatenate([h[0] for h in held])
             counts = [len(h[0]) for h in held]
             hi = np.repeat(np.array([h[1] for h in held], dtype=np.uint64), counts)
@@ -167,17 +176,18 @@ def _prefixes(width: int, percent: int, order, buckets: int):
             bucket = np.where(order.value.is_hot(s), buckets + (hi % np.uint64(buckets)).astype(np.int64), bucket)
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-            rows = [(int(bucket[p[0]]), s[p].tobytes(), hi[p].tobytes(), step[p].tobytes(), near[p].tobytes()) for p in np.split(by, cuts)]
-            return pd.DataFrame(rows, columns=["bucket", "s", "hi", "step", "near"])
+            parts = np.split(by, cuts)
+            columns = [pa.array([v[p].tobytes() for p in parts], pa.binary()) for v in (s, hi, step, near)]
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *columns], names=["bucket", "s", "hi", "step", "near"])
 
-        for pdf in batches:
-            for s in shingle_sets(pdf["text"].tolist(), width):
+        for batch in batches:
+            for s in shingle_sets(batch.column("text"), width):
                 if (n := len(s)) and (marks := _marks_of(s)) not in seen:
                     seen.add(marks)
                     prefix = order.value.sort(s)[: prefix_length(n, percent)]
                     held.append((prefix, marks[0], _step(n, percent), n - least_overlap(n, n, percent) + 1))
                     size += len(prefix)
-                    if size >= COUNTED // 4:
+                    if size >= COUNTED // 2:
                         yield packed()
                         held, size = [], 0
         if size:
@@ -233,19 +243,19 @@ def _histogram(s: np.ndarray) -> bytes:
 def _of_members(width: int, bitmap, make):
     """(hi, lo, value) of texts whose mark is in the bitmap, ``value`` made of the set; equal sets once per task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = bitmap.value, set()
         mask = np.uint64(len(bits) * 8 - 1)
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for s in shingle_sets(pdf["text"].tolist(), width):
+            for s in shingle_sets(batch.column("text"), width):
                 if len(s):
                     hi, lo = _marks_of(s)
                     at = int(hi & mask)
                     if bits[at >> 3] >> (at & 7) & 1 and (hi, lo) not in seen:
                         seen.add((hi, lo))
                         rows.append((hi, lo, make(s)))
-            yield pd.DataFrame({"hi": _signed([r[0] for r in rows]), "lo": _signed([r[1] for r in rows]), "value": [r[2] for r in rows]})
+            yield pa.RecordBatch.from_arrays([pa.array(_signed([r[0] for r in rows])), pa.array(_signed([r[1] for r in rows])), pa.array([r[2] for r in rows], pa.binary())], names=["hi", "lo", "value"])
 
     return run
 
@@ -411,15 +421,16 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     component unless its set equals that of another row. Shingles are 64-bit hashes. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    first = docs.mapInPandas(_first_pass(width), "doc_id long, n long, hi long, lo long, s long, c long")
+    first = docs.mapInArrow(_first_pass(width), "doc_id long, n long, hi long, lo long, s long, c long")
     first = materialize(first, "marks")
     order = spark.sparkContext.broadcast(_order(first.where("c is not null").select("s", "c")))
     marks = first.where("c is null").select("doc_id", "n", "hi", "lo")
     classes = materialize(marks.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
     whole = marks.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_parts(spark), whole * (100 - percent) // 100 // BUCKET_ROWS + 1)
-    packed = docs.select("text").mapInPandas(_prefixes(width, percent, order, buckets), "bucket int, s binary, hi binary, step binary, near binary")
+    packed = docs.select("text").mapInArrow(_prefixes(width, percent, order, buckets), "bucket int, s binary, hi binary, step binary, near binary")
     met = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets), "s long, hi long, near boolean")
     # by members; a mark's first half may stand for several classes, which then just meet more
     rows = met.join(classes.where("rep is not null"), "hi").groupBy("s", "rep", "n", "hi", "lo").agg(F.max("near").alias("near"))
@@ -438,7 +449,7 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         """``wanted`` (hi, lo, ...) with ``value`` made of each one's set, from a pass over the texts."""
         few = wanted.count() <= BROADCAST_ROWS
         bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
-        found = docs.select("text").mapInPandas(_of_members(width, bitmap, make), "hi long, lo long, value binary")
+        found = docs.select("text").mapInArrow(_of_members(width, bitmap, make), "hi long, lo long, value binary")
         return found.join(F.broadcast(wanted) if few else wanted, ["hi", "lo"])
 
     pivots = best.where("parts > 1").groupBy("s", "part", "pivot").agg(F.lit(1).alias("one")).select("pivot.*", "s", "part")
@@ -497,6 +508,7 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of all ``documents``: four words, 85 %. Cases as in ``ngram_classes``."""
     return ngram_classes(table(spark, sf_dir, "documents", "doc_id", "text"), width=4, percent=85)
 
 

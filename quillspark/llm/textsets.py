@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from quillspark.llm.bpe import slices
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -55,22 +59,23 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h + (ends - starts).astype(np.uint64) * _MIX[1]), starts
 
 
-def shingle_sets(texts: list, width: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes (uint64) of each text's ``width``-word shingles, words lower-cased in A-Z.
 
-    A text with fewer words has its whole sequence as one; one without words, or null, has none.
+    A text with fewer words has its whole sequence as one; one without words, or null, has none. The texts' bytes are
+    read where Arrow holds them.
     """
-    at = 0
-    while at < len(texts):
-        buffers, size = [], 0
-        while at < len(texts) and (not buffers or size + len(texts[at] or "") < BATCH_BYTES):
-            buffers.append((texts[at] or "").encode("utf-8", "surrogatepass"))
-            size += len(buffers[-1]) + 1
-            at += 1
-        yield from _sets(buffers, width)
+    texts = pc.fill_null(texts, "")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    for a, b in slices(texts, BATCH_BYTES):
+        part = texts.slice(a, b - a)
+        _, offsets, data = part.buffers()
+        at = np.frombuffer(offsets, dtype=wide)[part.offset : part.offset + len(part) + 1].tolist()
+        held = memoryview(data or b"")
+        yield from _sets([held[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], width)
 
 
-def _sets(buffers: list[bytes], width: int) -> Iterator[np.ndarray]:
+def _sets(buffers: list, width: int) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
         data = np.frombuffer(b"\n".join(buffers) + b"\n", dtype=np.uint8)
         words, starts = _word_hashes(data)

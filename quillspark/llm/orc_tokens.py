@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.llm.bpe import WordEncoder, held_encoder, vocabulary
-from quillspark.llm.common import materialize, shared_path, table
+from quillspark.llm.common import bounded_batches, materialize, shared_path, table
 
 #: Stripes are the unit of parallel reads; an index entry covers INDEX_ROWS rows.
 STRIPE_BYTES = 32 << 20
@@ -61,7 +61,9 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int) -> No
     The texts, not the longer ids, are dealt out by ranges of doc_id; each task encodes its range and writes a file
     whose rows hold doc_id, the file's number, the ids before the row in that file, and the ids with ``end_id`` last.
     Null doc_ids come first, rows of one doc_id in the order of their texts' hashes; a null text has the end id only.
+    An empty table writes no rows; no other column, whatever its name, is read.
     """
+    bounded_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab_path))
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     dealt = dealt.withColumn("part", F.spark_partition_id())
@@ -93,6 +95,7 @@ def token_index(tokens: DataFrame) -> DataFrame:
     """Where each document of the written rows stands: (doc_id, start, n_tokens, ids_crc32).
 
     ``start`` counts the ids of all documents before it: those in its file, and the totals of the files before.
+    Repeated rows are counted one by one; files without rows give none.
     """
     rows = tokens.mapInArrow(_digests, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     rows = materialize(rows, "token-index")
@@ -102,6 +105,7 @@ def token_index(tokens: DataFrame) -> DataFrame:
 
 
 def op5_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids stand in the written files. Cases as in ``write_tokens`` and ``token_index``."""
     import public_tokenizers
 
     path = shared_path(spark, "tokens-orc")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.llm.bpe import ByteEncoder, held_encoder, vocabulary
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import bounded_batches, materialize, table
 
 CAPACITY = 2048
 #: Pieces of one length that are numbered together.
@@ -118,9 +118,10 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = END_ID, capacity: int =
     Rows per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A longer document is cut into
     pieces of ``capacity``, the first of which may be shorter. Best-fit decreasing over all pieces: the driver gets
     only the counts by length. A null or empty text is its end id alone; rows that share or lack a doc_id are packed
-    one by one; an empty table gives no rows.
+    one by one; an empty table gives no rows; no other column, whatever its name, is read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     vocab = spark.sparkContext.broadcast(vocabulary(vocab_path))
     pieces = docs.select("doc_id", "text").mapInArrow(
         _pieces(vocab, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -154,4 +155,5 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of ``documents`` in sequences of 2048 ids. Cases as in ``pack``."""
     return packing_stage(spark, table(spark, sf_dir, "documents", "doc_id", "text"), sf_dir)

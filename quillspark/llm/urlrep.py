@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import materialize, table
 
 #: (action, host, path); the host and its subdomains fit when the url's path starts with the rule's.
 RULES = (
@@ -38,11 +38,19 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
+#: A name without its port: an IPv4 address is whole; else the suffix is the last label, or the last two where a country's
+#: two letters follow a label that such suffixes begin with, and the domain has one label more.
+_PORT = r":[0-9]*$"
+_ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
+_SUFFIX = r"((^|\.)(ac|co|com|edu|gov|net|org|or|ne|go)\.[a-z]{2}|[^.]*)$"
+_DOMAIN = r"([^.]+\.(ac|co|com|edu|gov|net|org|or|ne|go)\.[a-z]{2}|([^.]*\.)?[^.]*)$"
+
+
 def _with_levels(df: DataFrame) -> DataFrame:
-    """Registered domain (last two labels) and suffix (last label) of ``host``."""
-    return df.withColumns(
-        {"domain": F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0), "suffix": F.regexp_extract("host", r"[^.]*$", 0)}
-    )
+    """Registered domain and suffix of ``host``; both are the address itself where it is one."""
+    name = F.regexp_replace("host", _PORT, "")
+    level = lambda p: F.when(name.rlike(_ADDRESS), name).otherwise(F.regexp_replace(F.regexp_extract(name, p, 0), r"^\.", ""))
+    return df.withColumns({"domain": level(_DOMAIN), "suffix": level(_SUFFIX)})
 
 
 def _strength(n: Column, bad: Column, mean: Column) -> Column:
@@ -64,23 +72,30 @@ def _strength(n: Column, bad: Column, mean: Column) -> Column:
     )
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None, z: float = Z) -> DataFrame:
     """Posterior of each host's share of bad pages.
 
-    ``outcomes``: (host string, bad int 0/1), one row per labelled page. Returns a row per host: host, n, bad,
+    ``outcomes``: (host string, bad int 0/1), one row per labelled page. ``hosts`` (host) may name more hosts: one
+    without labelled pages has the prior of the nearest level above that has some. Returns a row per host: host, n, bad,
     prior_a, prior_b, p_mean, p_low, p_high. Pages are summed per host before anything else, so a hot host is
     one row; domains and suffixes sum those rows. At each level the rate of the level above is the prior mean
     and the spread among the siblings gives the prior's strength; the root's prior is Beta(1, 1).
     The bounds are the normal approximation mean -/+ z sd of the beta posterior, cut to [0, 1].
-    Null hosts or outcomes take no part; an empty table gives no rows.
+    Null hosts or outcomes take no part; no hosts give no rows.
     """
     pages = outcomes.where("host is not null and bad is not null")
-    hosts = _with_levels(pages.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
+    if hosts is not None:  # a row without an outcome for each host, so that one aggregate gives them all
+        pages = pages.select("host", "bad").unionByName(hosts.where("host is not null").select("host", F.lit(None).cast("int").alias("bad")))
+    sums = pages.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    # the levels are read several times each; a row per host, domain and suffix is all they hold
+    every = materialize(_with_levels(sums), "hosts")
+    seen = every.where("n > 0")
+    domains = materialize(seen.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad")), "domains")
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad")), "suffixes")
     root = suffixes.agg(((F.sum("sbad") + 1) / (F.sum("sn") + 2)).alias("p0"))
     # one row: the root's rate and the strength of the suffixes' prior
-    top = suffixes.crossJoin(F.broadcast(root)).agg(F.max("p0").alias("p0"), _strength(F.col("sn"), F.col("sbad"), F.col("p0")).alias("s0"))
+    top = suffixes.crossJoin(F.broadcast(root)).agg(F.coalesce(F.max("p0"), F.lit(0.5)).alias("p0"), _strength(F.col("sn"), F.col("sbad"), F.col("p0")).alias("s0"))
+    top = materialize(top, "root")
     suffix_rate = suffixes.crossJoin(F.broadcast(top)).select(
         "suffix", ((F.col("sbad") + F.col("s0") * F.col("p0")) / (F.col("sn") + F.col("s0"))).alias("p1")
     )
@@ -89,12 +104,17 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     domain_rate = domain_in.join(s1, "suffix").select(
         "domain", ((F.col("dbad") + F.col("s1") * F.col("p1")) / (F.col("dn") + F.col("s1"))).alias("p2")
     )
-    host_in = hosts.join(domain_rate, "domain")
+    host_in = seen.join(domain_rate, "domain")
     s2 = host_in.groupBy("domain").agg(_strength(F.col("n"), F.col("bad"), F.col("p2")).alias("s2"))
+    of_domain = domain_rate.join(s2, "domain")
+    of_suffix = suffix_rate.join(s1, "suffix")
+    # what stands above a host: its domain, else its suffix, else the root
+    above = every.join(of_domain, "domain", "left").join(of_suffix, "suffix", "left").crossJoin(F.broadcast(top))
+    above = above.withColumns({"p2": F.coalesce("p2", "p1", "p0"), "s2": F.coalesce("s2", "s1", "s0")})
     a, b = F.col("prior_a") + F.col("bad"), F.col("prior_b") + F.col("n") - F.col("bad")
     mean, sd = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return (
-        host_in.join(s2, "domain")
+        above
         .withColumns({"prior_a": F.col("s2") * F.col("p2"), "prior_b": F.col("s2") * (1 - F.col("p2"))})
         .select(
             "host",
@@ -124,13 +144,14 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, block_above:
 
     ``outcomes``: (page_id, bad 0/1 or null), joined to the pages for the labelled outcomes; a page with
     several outcomes counts each. Returns page_id, host, path, rule, verdict and the posterior (p_mean, p_low).
-    A host without labelled pages has no posterior and is allowed, as is the empty host of a null or malformed url.
-    Repeated rows stay repeated; an empty table gives no rows.
+    A host without labelled pages has the prior of its domain, suffix or the root (n_labelled 0). The empty host of a
+    null or malformed url has no posterior and is allowed. Repeated rows stay repeated; an empty table gives no rows;
+    other columns, whatever their names, are not read.
     """
     host, path = split_url(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     labelled = seen.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id").where("host <> ''")
-    reputation = host_reputation(labelled, z).select("host", "p_mean", "p_low", F.col("n").alias("n_labelled"))
+    reputation = host_reputation(labelled, seen.where("host <> ''").select("host"), z).select("host", "p_mean", "p_low", F.col("n").alias("n_labelled"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     judged = seen.join(reputation, "host", "left")
     own = F.when(F.col("p_low") > block_above, F.lit("block")).otherwise(F.lit("allow"))
@@ -149,6 +170,7 @@ def page_outcomes(labels: DataFrame) -> DataFrame:
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url of ``pages`` from the outcomes in ``labels``. Cases as in ``url_filter``."""
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     return url_filter(pages, page_outcomes(labels))
@@ -169,6 +191,7 @@ def op2_sql() -> str:
     fits = [f"(host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in cases]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, cases, strict=True)) + " END"
     action = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, cases, strict=True)) + " END"
+    level = lambda p: f"CASE WHEN regexp_matches(name, '{_ADDRESS}') THEN name ELSE regexp_replace(regexp_extract(name, '{p}', 0), '^\\.', '') END"
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH seen AS (
@@ -179,21 +202,26 @@ WITH seen AS (
 outcome AS (
   SELECT doc_id AS page_id, CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bad
   FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL),
-hosts AS (
-  SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$', 0) AS domain, regexp_extract(host, '[^.]*$', 0) AS suffix,
-    count(*)::DOUBLE AS n, sum(bad) AS bad
-  FROM seen JOIN outcome USING (page_id) WHERE host <> '' GROUP BY ALL),
+sums AS (
+  SELECT host, regexp_replace(host, '{_PORT}', '') AS name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
+  FROM seen LEFT JOIN outcome USING (page_id) WHERE host <> '' GROUP BY ALL),
+every AS (
+  SELECT host, n, bad, {level(_DOMAIN)} AS domain, {level(_SUFFIX)} AS suffix FROM sums),
+hosts AS (SELECT * FROM every WHERE n > 0),
 domains AS (SELECT domain, suffix, sum(n) AS dn, sum(bad) AS dbad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(dn) AS sn, sum(dbad) AS sbad FROM domains GROUP BY ALL),
 root AS (SELECT (sum(sbad) + 1) / (sum(sn) + 2) AS p0 FROM suffixes),
-top AS (SELECT max(p0) AS p0, {_sql_strength("sn", "sbad", "p0")} AS s0 FROM suffixes, root),
+top AS (SELECT coalesce(max(p0), 0.5) AS p0, {_sql_strength("sn", "sbad", "p0")} AS s0 FROM suffixes, root),
 suffix_rate AS (SELECT suffix, (sbad + s0 * p0) / (sn + s0) AS p1 FROM suffixes, top),
 domain_in AS (SELECT * FROM domains JOIN suffix_rate USING (suffix)),
 s1 AS (SELECT suffix, {_sql_strength("dn", "dbad", "p1")} AS s1 FROM domain_in GROUP BY suffix),
 domain_rate AS (SELECT domain, (dbad + s1 * p1) / (dn + s1) AS p2 FROM domain_in JOIN s1 USING (suffix)),
 host_in AS (SELECT * FROM hosts JOIN domain_rate USING (domain)),
 s2 AS (SELECT domain, {_sql_strength("n", "bad", "p2")} AS s2 FROM host_in GROUP BY domain),
-posterior AS (SELECT host, n, s2 * p2 + bad AS a, s2 * (1 - p2) + n - bad AS b FROM host_in JOIN s2 USING (domain)),
+above AS (
+  SELECT host, n, bad, coalesce(p2, p1, p0) AS p2, coalesce(s2, s1, s0) AS s2
+  FROM every LEFT JOIN (SELECT * FROM domain_rate JOIN s2 USING (domain)) USING (domain) LEFT JOIN (SELECT * FROM suffix_rate JOIN s1 USING (suffix)) USING (suffix), top),
+posterior AS (SELECT host, n, s2 * p2 + bad AS a, s2 * (1 - p2) + n - bad AS b FROM above),
 bounds AS (
   SELECT host, n::BIGINT AS n_labelled, a / (a + b) AS p_mean,
     greatest(a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0.0) AS p_low

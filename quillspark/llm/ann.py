@@ -14,16 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
-from quillspark.llm.vectors import best, matrix, part_of, usable
+from quillspark.llm.common import materialize, shuffle_parts, table
+from quillspark.llm.vectors import asking, best, matrix, part_of, usable
 
 #: Vectors of the sample that fits the tree (chosen by a hash of their ids, of all rows).
 SAMPLE = 20_000
 BRANCHES = 12
-#: Sample vectors below which a node stays a leaf.
-LEAF = 40
+#: Sample vectors below which a node stays a leaf. Small enough to prune, large enough that a query's list of leaves
+#: is short beside the vectors it spares.
+LEAF = 160
 #: Queries of the sample and the recall on them that sets the number of leaves.
-CALIBRATED, RECALL = 300, 0.96
+CALIBRATED, RECALL = 300, 0.94
 #: Vectors, and queries, of one part of a leaf.
 PART = 2000
 SEED = 11
@@ -42,7 +43,8 @@ class Tree:
         if len(x) <= leaf or not np.any(x != x[0]):
             self.leaves += 1
             return -self.leaves
-        centres = x[rng.choice(len(x), min(branches, len(x)), replace=False)]
+        # no more branches than full leaves need
+        centres = x[rng.choice(len(x), min(branches, max(2, -(-len(x) // leaf))), replace=False)]
         for _ in range(12):
             near = np.argmax(x @ centres.T - 0.5 * (centres * centres).sum(1), axis=1)
             used = np.unique(near)
@@ -123,7 +125,7 @@ def _visits(tree, leaves: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(leaves=[tree.value.visit(q, leaves) for q in unit(matrix(pdf["v"]))])
+                yield pd.DataFrame({"query_id": pdf["query_id"], "leaves": [tree.value.visit(q, leaves) for q in unit(matrix(pdf["v"]))]})
 
     return run
 
@@ -158,8 +160,9 @@ def neighbours(vectors: DataFrame, queries: Column, k: int, sample: int = SAMPLE
     Rows (query_id, rank, vec_id, score), nearest first, ties to the smaller vec_id. All rows are indexed; the
     sample only fits the tree. Leaves are searched in parts of at most about PART vectors by PART queries, so a
     leaf that holds a third of all rows is spread out. Vectors null, empty, zero or with null or non-finite
-    components take no part; of rows that share a vec_id each is a candidate, none for its own id's queries. All
-    vectors must have one length. An empty table gives no rows.
+    components take no part; of rows that share a vec_id each is a candidate, none for its own id's queries, and the
+    smallest vector asks. All vectors must have one length. An empty table gives no rows. Other columns, whatever
+    their names, are not read.
     """
     spark = vectors.sparkSession
     rows = usable(vectors).where(F.exists("v", lambda x: x != 0))
@@ -170,10 +173,12 @@ def neighbours(vectors: DataFrame, queries: Column, k: int, sample: int = SAMPLE
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     leaves = calibrate(tree, x, k)
     shared = spark.sparkContext.broadcast(tree)
-    placed = materialize(rows.mapInPandas(_leaves(shared), "vec_id long, v array<double>, leaf long"), "leaves")
-    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "v").distinct()
-    asked = asked.mapInPandas(_visits(shared, leaves), "query_id long, v array<double>, leaves array<long>")
-    asked = materialize(asked.select("query_id", "v", F.explode("leaves").alias("leaf")), "visits")
+    kind = rows.schema["v"].dataType.simpleString()
+    placed = materialize(rows.mapInPandas(_leaves(shared), f"vec_id long, v {kind}, leaf long"), "leaves")
+    # the walk through the tree is spread over the cluster; only numbers come out of it
+    vectors_asked = materialize(asking(rows, queries, "v").repartition(shuffle_parts(spark), "query_id"), "asked")
+    visits = vectors_asked.mapInPandas(_visits(shared, leaves), "query_id long, leaves array<long>")
+    asked = materialize(visits.select("query_id", F.explode("leaves").alias("leaf")), "visits")
     # how many parts each leaf has: a row per leaf, and the leaves are bounded by the sample
     vparts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("vparts"))
     qparts = asked.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("qparts"))
@@ -183,10 +188,12 @@ def neighbours(vectors: DataFrame, queries: Column, k: int, sample: int = SAMPLE
     left = asked.join(parts, "leaf").withColumn("qpart", part_of(F.col("query_id"), F.col("qparts")))
     left = left.withColumn("vpart", F.explode(F.sequence(F.lit(0), F.col("vparts") - 1)))
     key = ["leaf", "vpart", "qpart"]
-    left, right = left.select("query_id", "v", *key), right.select("vec_id", "v", *key)
+    # a query's vector joins its visits last, and travels as it came
+    left, right = left.select("query_id", *key).join(vectors_asked, "query_id"), right.select("vec_id", "v", *key)
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
     return best(found, k)
 
 
 def op7_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found of every 50th ``embeddings`` row. Cases as in ``neighbours``."""
     return neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)

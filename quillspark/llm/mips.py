@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, table
-from quillspark.llm.vectors import best, part_of, usable
+from quillspark.llm.vectors import asking, best, part_of, usable
 
 SCALE = 1024
 #: Buckets of like length, cut at approximate quantiles of all norms.
 BUCKETS = 16
 #: Vectors of one part of a bucket, and queries of one block.
-PART, QUERIES = 4000, 1000
+PART, QUERIES = 4000, 8000
 #: Long vectors that give each query its first threshold.
 SEEDS = 2000
 #: Above this local cosine threshold coordinates prune, below it lengths alone.
@@ -121,10 +121,11 @@ def top_products(vectors: DataFrame, queries: Column, k: int, scale: int = SCALE
     be among its best; every bucket part is searched for it by the pruning its local cosine threshold suggests.
     Vectors null, empty or with null or non-finite components take no part; zero vectors do. All vectors must have
     one length and components within 2**31 / scale. Rows that share a vec_id are all candidates, none for queries of
-    their own id. An empty table gives no rows.
+    their own id, and the smallest vector asks. An empty table gives no rows. Other columns, whatever their names, are
+    not read.
     """
     spark = vectors.sparkSession
-    ints = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("long"))
+    ints = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     rows = usable(vectors).select("vec_id", ints.alias("q"))
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     rows = materialize(rows.withColumn("norm", norm), "integers")
@@ -133,18 +134,18 @@ def top_products(vectors: DataFrame, queries: Column, k: int, scale: int = SCALE
     rows = rows.withColumn("bucket", bucket)
     longest = rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).toPandas()
     seeds = spark.sparkContext.broadcast((longest["vec_id"].to_numpy(np.int64), _ints(longest["q"]) if len(longest) else np.empty((0, 1), dtype=np.int64)))
-    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "q").distinct()
+    asked = asking(rows, queries, "q")
     asked = materialize(asked.mapInPandas(_threshold(seeds, k), "query_id long, q array<long>, threshold double"), "thresholds")
     n_queries = asked.count()
     blocks = max(1, -(-n_queries // QUERIES))
-    # a row per bucket
+    # a row per bucket; a bucket's parts are counted, not listed
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.max("norm").alias("longest")).collect()
-    parts = F.array(*[F.struct(F.lit(r["bucket"]).alias("bucket"), F.lit(p).alias("part"), F.lit(r["longest"]).alias("longest")) for r in sizes for p in range(r["parts"])]) if sizes else F.array().cast("array<struct<bucket:int,part:int,longest:double>>")
+    parts = F.array(*[F.struct(F.lit(r["bucket"]).alias("bucket"), F.lit(r["parts"]).alias("parts"), F.lit(r["longest"]).alias("longest")) for r in sizes]) if sizes else F.array().cast("array<struct<bucket:int,parts:int,longest:double>>")
     of = F.create_map(*[x for r in sizes for x in (F.lit(r["bucket"]), F.lit(r["parts"]))]) if sizes else F.create_map().cast("map<int,int>")
     length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     left = asked.withColumn("block", part_of(F.col("query_id"), F.lit(blocks))).withColumn("length", length)
     left = left.withColumn("to", F.explode(parts)).where("threshold <= 0 or length * to.longest >= threshold * (1 - 1e-9)")
-    left = left.select("query_id", "q", "threshold", "to.bucket", "to.part", "block")
+    left = left.select("query_id", "q", "threshold", "to.bucket", F.explode(F.sequence(F.lit(0), F.col("to.parts") - 1)).alias("part"), "block")
     right = rows.withColumn("part", part_of(F.col("vec_id"), of[F.col("bucket")])).select("vec_id", "q", "bucket", "part")
     right = right.withColumn("block", F.explode(F.array(*map(F.lit, range(blocks))) if blocks < 100 else F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["bucket", "part", "block"]
@@ -153,6 +154,7 @@ def top_products(vectors: DataFrame, queries: Column, k: int, scale: int = SCALE
 
 
 def op9_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer products of every 100th ``embeddings`` row. Cases as in ``top_products``."""
     return top_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10)
 
 
@@ -160,7 +162,7 @@ def op9_sql() -> str:
     return """
 WITH ok AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
   FROM ok a, ok b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),

@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>) of the rows whose vector is not null or empty and has finite components only."""
-    v = F.col(vector_col).cast("array<double>")
+    """(vec_id, v) of the rows whose vector is not null or empty and has finite components only; v is an array of
+    floats as it stands, or else of doubles."""
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    v = F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.select(F.col(id_col).alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0)).where(finite)
 
@@ -21,6 +23,11 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
 
 
+def asking(rows: DataFrame, queries: Column, vector: str) -> DataFrame:
+    """(query_id, vector) of the rows for which ``queries`` holds; of rows that share an id the smallest vector asks."""
+    return rows.where(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(vector).alias(vector))
+
+
 def part_of(id_: Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(id_), parts).cast("int")
 

@@ -60,7 +60,8 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     of an octave; rows are ordered by curve index, then text CRC and doc_id, so equal texts of like metadata are
     neighbours. Rows: doc_id, size (UTF-8 bytes of the text plus 16), text_crc32, law ``rows``, shard, slot (gapless
     from 0 in the shard), grown_shard (null for this law), hilbert. A null text has size 16 and the CRC 0 of nothing.
-    With fewer rows than shards some shards stay empty; an empty table gives no rows. Only narrow columns are sorted.
+    With fewer rows than shards some shards stay empty; an empty table gives no rows; repeated rows are placed one by
+    one, and no other column, whatever its name, is read. Only narrow columns are sorted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     byte = lambda c: F.coalesce(F.crc32(F.col(c)) % (1 << BITS), F.lit(0))
@@ -87,4 +88,5 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 40 shards by law ``rows``. Cases as in ``hilbert_shards``."""
     return hilbert_shards(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))

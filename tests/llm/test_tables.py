@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import zlib
 
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -77,6 +79,62 @@ def test_addresses_before_hyphens_and_beyond_ascii(spark):
     assert re.fullmatch(r"[a-z]@[a-z]{3}-[a-z]{3}\.[a-z]{7}-\.org\.", got[5][0])
 
 
+def test_names_without_their_title(spark):
+    texts = ["Dr. Jane Smith came. Later Smith left, and Jane Smith wrote to Smithson; Smith's hat.", "Госпожа Иванова и Иванова", "Mr O'Neil met Neil", "Smith alone", "Dr. Smith again, Jane Smith too"]
+    got = replaced(spark, texts)
+    given, smith = re.fullmatch(r"Dr\. (\w+) (\w+) came\. Later \2 left, and \1 \2 wrote to Smithson; \2's hat\.", got[0][0]).groups()
+    assert got[0][1] == 4 and given != "Jane" and smith != "Smith" and got[3] == ("Smith alone", 0)
+    assert re.fullmatch(r"Госпожа ([А-Я][а-я]+) и \1", got[1][0]) and "Иванова" not in got[1][0]
+    assert re.fullmatch(r"Mr \w+ met Neil", got[2][0]) and got[4] == (f"Dr. {smith} again, Jane {smith} too", 2)
+
+
+def test_cards_before_other_digits(spark):
+    got = replaced(spark, ["4619646426088949 123", "4619 6464 2608 8949 123", "4619-6464-2608-8949"])
+    assert [n for _, n in got] == [1, 1, 1] and "4619646426088949" not in got[0][0] and got[1][0].endswith(" 123")
+
+
+def test_hint_holds_for_every_entity():
+    rng = random.Random(3)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    # Java's pattern syntax differs only in possessive and inline flags, which the regex module has too
+    hint = regex.compile(pii._HINT)
+    patterns = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+    seen = dict.fromkeys(patterns, 0)
+    for _ in range(300):
+        made = [
+            f"{pick(lower, 5)}@{pick(lower, 4)}.com", f"AKIA{pick(upper, 16)}", f"ghp_{pick(upper + lower, 22)}", f"sk-{pick(lower, 20)}", f"Password: {pick(lower, 9)}",
+            f"{rng.choice((*pii.MALE, *pii.FEMALE, *pii.NEUTRAL))}{rng.choice(('', '.'))} {pick(upper, 1)}{pick(lower, 4)}", f"DE{pick(digits, 20)}", pick(digits, 16),
+            f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}", ".".join(pick(digits, 2) for _ in range(4)), f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}",
+        ]
+        for text in made:
+            for k, p in patterns.items():
+                if p.search(f"a {text} b"):
+                    seen[k] += 1
+                    assert hint.search(f"a {text} b"), (k, text)
+    assert all(seen.values())
+
+
+def test_surrogates_equal_plain_python(spark):
+    """What is found and what is kept, against the same patterns run in Python over texts of random entities."""
+    rng = random.Random(9)
+    names = ["Mr Adam Bell", "Mrs Cora Dunn", "Dr Eli", "bob@x.org", "ann.lee@mail.com", "123-45-6789", "8.8.4.4", "sk-" + "ab" * 12, "(212) 555-0100", "4619646426088949"]
+    texts = [" | ".join(rng.choice([*names, "plain words", "and 12 more;"]) for _ in range(8)) for _ in range(40)]
+    got = replaced(spark, texts)
+    find = regex.compile(pii._ANY)
+    images = {}
+    for text, (new, n) in zip(texts, got, strict=True):
+        spans = [m.group() for m in find.finditer(text)]
+        assert n == len(spans)
+        gaps = find.split(text) if not spans else [g for g in regex.split("|".join(map(regex.escape, sorted(set(spans), key=len, reverse=True))), text)]
+        shape = regex.fullmatch("(.+?)".join(map(regex.escape, gaps)), new)
+        assert shape, (text, new)
+        for span, image in zip(spans, shape.groups(), strict=True):
+            images.setdefault(span, set()).add(image)
+    assert all(len(v) == 1 for v in images.values()) and all(k not in v for k, v in images.items())
+    assert len({next(iter(v)) for v in images.values()}) == len(images)
+
+
 def test_url_rules_and_reputation(spark):
     urls = [
         "https://Www.A.example.ORG/es/1?x", "http://b.org", "http://b.org/", "ftp://x.com/fr/a#b", "http://x.com/de/1", "http://example.org/en/12", "no scheme", None, "",
@@ -100,6 +158,36 @@ def test_url_rules_and_reputation(spark):
     assert {r["verdict"] for r in bad.collect()} == {"block"}
 
 
+def test_hosts_without_labels_and_their_levels(spark):
+    hosts = ["a.b.example.co.uk", "example.co.uk:8080", "co.uk", "x.example.org", "10.0.0.1", "10.0.0.1:80", "localhost", "www.gov.uk", "com.au"]
+    df = urlrep._with_levels(spark.createDataFrame([(h,) for h in hosts], "host string"))
+    assert [(r["domain"], r["suffix"]) for r in df.collect()] == [
+        ("example.co.uk", "co.uk"), ("example.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.org", "org"), ("10.0.0.1", "10.0.0.1"), ("10.0.0.1", "10.0.0.1"),
+        ("localhost", "localhost"), ("www.gov.uk", "gov.uk"), ("com.au", "com.au"),
+    ]
+    urls = [f"http://h{h}.bad.co.uk/{i}" for h in range(8) for i in range(12)] + [f"http://h{h}.good.co.uk/{i}" for h in range(8) for i in range(12)]
+    outcomes = [(i, int(i < 96)) for i in range(192)]
+    urls += ["http://new.bad.co.uk/", "http://new.good.co.uk/", "http://new.other.co.uk/", "http://new.net/", "no scheme"]
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, p_mean int")
+    out = {r["page_id"]: r for r in urlrep.url_filter(pages, spark.createDataFrame(outcomes, "page_id long, bad int")).collect()}
+    assert len(out) == len(urls) and out[192]["verdict"] == "block" and out[193]["verdict"] == out[194]["verdict"] == out[195]["verdict"] == "allow"
+    assert out[192]["n_labelled"] == 0 and out[192]["p_mean"] > out[194]["p_mean"] > out[193]["p_mean"] and out[196]["p_mean"] is None
+    empty = urlrep.url_filter(pages.limit(0), spark.createDataFrame([], "page_id long, bad int"))
+    assert empty.count() == 0
+    twice = urlrep.url_filter(pages.union(pages).where("page_id >= 192"), spark.createDataFrame([], "page_id long, bad int")).collect()
+    assert len(twice) == 10 and {r["verdict"] for r in twice} == {"allow"}
+
+
+def test_searches_of_repeated_ids_and_clashing_names(spark):
+    rows = [(0, [1.0, 0.0], 5, 5.0), (0, [0.0, 1.0], 5, 5.0), (1, [1.0, 0.1], 5, 5.0), (1, [1.0, 0.1], 5, 5.0), (2, [0.1, 1.0], 5, 5.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double")
+    near = ann.neighbours(df, F.col("vec_id") == 0, 5).collect()
+    # the smallest vector asks, (0, 1); each row of another id is a candidate
+    assert [(r["rank"], r["vec_id"]) for r in sorted(near, key=lambda r: r["rank"])] == [(1, 2), (2, 1), (3, 1)]
+    top = mips.top_products(df, F.col("vec_id") == 0, 5).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(top, key=lambda r: r["rank"])] == [(1, 2, 1024 * 1024), (2, 1, 102 * 1024), (3, 1, 102 * 1024)]
+
+
 def vectors(spark, n=600, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, 8)).astype(np.float32)
@@ -165,6 +253,23 @@ def test_hilbert_curve_and_shards(spark, odd_docs, no_docs):
     assert (row["size"], row["text_crc32"]) == (16, 0)
 
 
+def test_shards_equal_plain_python(spark, odd_docs):
+    rng = random.Random(5)
+    rows = [(rng.randrange(400), rng.choice(["a", "é" * 40, None, "", "word " * rng.randrange(300)]), rng.choice(["en", "de", None]), rng.choice(["s1", "s2"])) for _ in range(250)]
+    crc = lambda t: zlib.crc32((t or "").encode())
+    low = lambda t: 0 if t is None else crc(t) % (1 << sharding.BITS)
+    keyed = []
+    for i, t, lang, source in rows:
+        size = len((t or "").encode()) + 16
+        point = np.array([[low(lang), low(source), min(int(math.floor(math.log2(size) * 8)), (1 << sharding.BITS) - 1)]])
+        keyed.append((int(sharding.hilbert_index(point)[0]), crc(t), i, size))
+    keyed.sort()
+    shard = [r * 7 // len(keyed) for r in range(len(keyed))]
+    expected = [(i, size, c, s, r - shard.index(s)) for r, ((_, c, i, size), s) in enumerate(zip(keyed, shard, strict=True))]
+    got = sharding.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3), 7)
+    assert sorted(expected) == sorted((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got.collect())
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
     words = {"en": "the and of to in that is was for it with as his on be at by".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht".split()}
@@ -186,3 +291,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(out["doc_id"]) >= {3} and not set(out["doc_id"]) & {100, 101, 102, 103}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_duplicate_stage_equals_brute_force(spark):
+    from test_texts import family, plain_classes, plain_sets
+
+    rng = random.Random(6)
+    texts = [t for n in (1, 4, 12, 3) for t in family(rng, n)] + ["", None, "few words"]
+    ids = rng.sample(range(500), len(texts))
+    rows = [*zip(ids, texts, strict=True), (None, texts[0]), (ids[0], texts[0])]  # a null and a repeated id
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    classes = plain_classes(ids, plain_sets(texts, corpus_pipeline.SHINGLE_WORDS), corpus_pipeline.SIMILAR_PERCENT)
+    kept = [r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([*{i for i in ids if classes[i] == i}, None], key=str)

@@ -16,22 +16,10 @@ NON_ANSWER_MARKS = (
     "i do not know",
 )
 
-# fixed values: what messages say that clear preferences, are small talk, or open a question
-CLEARING = (
-    r"forget (?:everything|all|all preferences)",
-    r"reset (?:your |all )?(?:instructions?|preferences?|settings?)",
-    r"start fresh",
-    r"clear (?:your |all )?(?:memory|preferences?|instructions?)",
-    r"ignore all (?:previous |prior )?preferences?",
-)
-SMALL_TALK = (
-    "ok", "okay", "thanks?", "thank you", "cool", "great", "nice", "sure", "interesting", "got it", "i see", "makes sense", "sounds good",
-    "no problem", "hello", "hi", "hey", "good", "alright", "perfect", "wonderful", "awesome",
-)
-QUESTION_OPENINGS = (
-    "what", "who", "why", "how", "when", "where", "which", "is ", "are ", "does ", "do ", "can ", "could ", "would ", "should ", "explain ",
-    "describe ", "tell me ", "show ", "find ", "list ", "give ", "help ", "summarize ", "summarise ", "compare ",
-)
+# fixed values: messages that clear preferences, that are small talk, and that open a question
+CLEARING = r"(?i)\b(?:forget (?:everything|all|all preferences)|reset (?:your |all )?(?:instructions?|preferences?|settings?)|start fresh|clear (?:your |all )?(?:memory|preferences?|instructions?)|ignore all (?:previous |prior )?preferences?)\b"
+SMALL_TALK = r"(?i)^(?:ok|okay|thanks?|thank you|cool|great|nice|sure|interesting|got it|i see|makes sense|sounds good|no problem|hello|hi|hey|good|alright|perfect|wonderful|awesome)\s*[.!?]?$"
+QUESTION_OPENING = r"(?i)^(?:what|who|why|how|when|where|which|is |are |does |do |can |could |would |should |explain |describe |tell me |show |find |list |give |help |summarize |summarise |compare )"
 
 
 def unanswered(answer: Column, faithfulness: Column, least: float = 0.3) -> Column:
@@ -84,9 +72,8 @@ def preference_kind(message: Column) -> Column:
     """Fast classification of a message: ``clear``, ``null`` or undecided (null)."""
     text = F.trim(message)
     words = F.size(F.split(text, r"\s+"))
-    clear = text.rlike(rf"(?i)\b(?:{'|'.join(CLEARING)})\b")
-    nothing = text.rlike(rf"(?i)^(?:{'|'.join(SMALL_TALK)})\s*[.!?]?$")
-    question = (words >= 5) & text.rlike(rf"(?i)^(?:{'|'.join(QUESTION_OPENINGS)})")
+    clear, nothing = text.rlike(CLEARING), text.rlike(SMALL_TALK)
+    question = (words >= 5) & text.rlike(QUESTION_OPENING)
     return F.when(clear, "clear").when(nothing | question, "null")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.predicates import non_answer
+from quillspark.tables import staged
 
 
 def preference_pairs(feedback: DataFrame) -> DataFrame:
@@ -20,7 +21,8 @@ def random_negatives(positives: DataFrame, n: int, seed: int = 42, buckets: int
     """``n`` chunks per query of (query_id, chunk_id), each a positive of other queries and none of its own.
 
     Each query meets the chunks of a few hash buckets only, never all pairs: with N chunks, buckets of about n + 8
-    more than its own positives are drawn in turn from the seed. Order by hash of seed, query and chunk.
+    more than its own positives are drawn in turn from the seed. Order by hash of seed, query and chunk. The few
+    queries whose buckets held too little meet all chunks, so fewer than ``n`` means that there are no more.
     """
     pool = positives.select("chunk_id").distinct()
     total = pool.count()
@@ -31,7 +33,12 @@ def random_negatives(positives: DataFrame, n: int, seed: int = 42, buckets: int
     asked = own.select("query_id", F.explode(F.sequence(F.lit(0), wanted - 1)).alias("i"))
     asked = asked.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "query_id") + F.col("i"), F.lit(parts)).cast("int")).select("query_id", "part")
     placed = pool.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
-    found = asked.join(placed, "part").join(positives, ["query_id", "chunk_id"], "left_anti")
+    found = staged(asked.join(placed, "part").join(positives, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id"))
+    had = found.groupBy("query_id").agg(F.count("*").alias("had"))
+    short = own.join(had, "query_id", "left").where((F.coalesce("had", F.lit(0)) < n) & (F.coalesce("had", F.lit(0)) < total - F.col("own")))
+    every = short.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    rest = every.join(placed, "part").join(positives, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id")
+    found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
     order = Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "chunk_id"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "chunk_id", "rank")
 

@@ -184,22 +184,31 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return context.within_budget(_dense_hits(spark, d, 40).join(docs, "chunk_id")).select("query_id", "chunk_id", "rank", "running_tokens")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_dense(40)}, sized AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i, chunk_id, text, array_to_string(({_sentences('text')})[1:3], ' ') AS short FROM dense JOIN documents ON doc_id = chunk_id),
+walk AS (
+  SELECT DISTINCT query_id, 0::BIGINT AS i, 0::BIGINT AS used, FALSE AS done, NULL::BIGINT AS chunk_id, ''::VARCHAR AS kept FROM sized UNION ALL
+  SELECT query_id, i, CASE WHEN stop THEN used ELSE total END, stop, chunk_id, CASE WHEN stop THEN NULL ELSE t END FROM (
+    SELECT *, done OR total > 8192 AS stop FROM (
+      SELECT *, used + length(t) // 4 AS total FROM (
+        SELECT s.query_id, s.i, w.used, w.done, s.chunk_id, CASE WHEN w.used + length(s.text) // 4 <= 8192 THEN s.text ELSE s.short END AS t
+        FROM walk w JOIN sized s ON s.query_id = w.query_id AND s.i = w.i + 1)))),
+kept AS (SELECT * FROM walk WHERE i > 0 AND kept IS NOT NULL)
+SELECT query_id, count(*)::INTEGER AS n_items, sha256(string_agg('[chunk_id: ' || chunk_id || '] [source: unknown] [date: unknown]' || chr(10) || kept, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)) AS prompt_sha FROM kept GROUP BY query_id""")
 def compressed_context(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     kept = context.compressed_budget(_dense_hits(spark, d, 40).join(docs, "chunk_id"))
     return kept.select("query_id", F.size("items").alias("n_items"), F.sha2(text.assembled_prompt(F.transform("items", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), F.lit(None).alias("source_name"), F.lit(None).alias("ingestion_ts"), x["text"].alias("text")))), 256).alias("prompt_sha"))
 
 
-@query("""WITH newest AS (SELECT label, max(vec_id) AS entry_id FROM embeddings GROUP BY label),
-pairs AS (SELECT q.vec_id AS query_id, n.entry_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity
-  FROM embeddings q JOIN newest n USING (label) JOIN embeddings e ON e.vec_id = n.entry_id)
-SELECT * FROM pairs WHERE similarity >= 0.5""")
+@query("""WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity
+  FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 2 = 1 AND q.vec_id % 7 <> 0 AND e.vec_id % 2 = 0)
+SELECT query_id, entry_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id DESC) AS n FROM pairs WHERE similarity >= 0.25) WHERE n = 1""")
 def semantic_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d).withColumn("namespace", F.col("label").cast("string"))
-    cache = v.groupBy("namespace").agg(F.max_by("vector", "chunk_id").alias("vector"), F.max("chunk_id").alias("entry_id"), F.max("chunk_id").alias("created"))
-    asked = v.select(F.col("chunk_id").alias("query_id"), "namespace", "vector", F.lit(False).alias("conversational"))
-    return context.cache_lookup(asked, cache, 0.5)
+    cache = v.where("chunk_id % 2 = 0").select("namespace", "vector", F.col("chunk_id").alias("entry_id"), F.col("chunk_id").alias("created"))
+    asked = v.where("chunk_id % 2 = 1").select(F.col("chunk_id").alias("query_id"), "namespace", "vector", (F.col("chunk_id") % 7 == 0).alias("conversational"))
+    return context.cache_lookup(asked, cache, 0.25)
 
 
 # ---- text ---------------------------------------------------------------------------------------------------------
@@ -258,14 +267,14 @@ _FIRSTS = " OR ".join(f"starts_with(t, '{p.replace(chr(39), 2 * chr(39))}')" for
 
 
 @query(f"""WITH c AS (SELECT *, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS t, len({_words('text')}) AS n FROM conversations)
-SELECT conv_id, turn, (text = '' OR {_FIRSTS}) AS unanswered, n >= 5 AS wants_hypothesis,
-  array_to_string(list_filter([CASE WHEN length(text) < 20 THEN 'too_short' END, CASE WHEN length(text) > 8000 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS flags,
+SELECT conv_id, turn, (text = '' OR {_FIRSTS} OR turn % 10 < 3) AS unanswered, n >= 5 AS wants_hypothesis,
+  array_to_string(list_filter([CASE WHEN turn % 10 < 4 THEN 'faithfulness' END, CASE WHEN length(text) < 20 THEN 'too_short' END, CASE WHEN length(text) > 8000 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS flags,
   CASE WHEN n <= 256 THEN n / 256 WHEN n >= 512 THEN 0.0 ELSE 1 - (n - 256) / 256 END::DOUBLE AS length_reward FROM c""")
 def answer_checks(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
+    t, faithful = F.col("text"), F.col("turn") % 10 / 10.0
     return read(spark, d, "conversations").select(
-        "conv_id", "turn", predicates.unanswered(t, F.lit(None).cast("double")).alias("unanswered"), predicates.wants_hypothesis(t).alias("wants_hypothesis"),
-        F.array_join(predicates.answer_flags(t, F.lit(1.0)), ",").alias("flags"), metrics.length_reward(t).alias("length_reward"),
+        "conv_id", "turn", predicates.unanswered(t, faithful).alias("unanswered"), predicates.wants_hypothesis(t).alias("wants_hypothesis"),
+        F.array_join(predicates.answer_flags(t, faithful), ",").alias("flags"), metrics.length_reward(t).alias("length_reward"),
     )
 
 
@@ -335,10 +344,12 @@ def text_elements(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), r AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS pos, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS line FROM l)
-SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^#{1,6}\\s') THEN 'Title' WHEN regexp_matches(line, '^(?:[-*+]|\\d+[.)])\\s') THEN 'ListItem' WHEN starts_with(line, '|') THEN 'Table' ELSE 'NarrativeText' END AS category
+SELECT doc_id, pos, sha256(CASE WHEN starts_with(line, '|') THEN line ELSE regexp_replace(line, '^(?:#{1,6}|[-*+]|\\d+[.)])\\s+', '') END) AS text_sha,
+  CASE WHEN regexp_matches(line, '^#{1,6}\\s') THEN length(regexp_extract(line, '^(#{1,6})\\s', 1)) END::INTEGER AS depth,
+  CASE WHEN regexp_matches(line, '^#{1,6}\\s') THEN 'Title' WHEN regexp_matches(line, '^(?:[-*+]|\\d+[.)])\\s') THEN 'ListItem' WHEN starts_with(line, '|') THEN 'Table' ELSE 'NarrativeText' END AS category
 FROM r WHERE line <> ''""")
 def markdown_elements(spark: SparkSession, d: str) -> DataFrame:
-    return files.markdown_elements(read(spark, d, "documents")).select("doc_id", "pos", "category")
+    return files.markdown_elements(read(spark, d, "documents")).select("doc_id", "pos", "category", F.coalesce("depth", F.lit(None).cast("int")).alias("depth"), F.sha2("text", 256).alias("text_sha"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:

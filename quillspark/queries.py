@@ -372,7 +372,24 @@ def consolidated_pages(spark: SparkSession, d: str) -> DataFrame:
     return dedup.consolidated(rows.select(F.col("doc_id").cast("string").alias("source_file"), "pos", "section", "breadcrumb", "category", "depth", "text", F.lit(1).alias("page_number"), F.lit("text").alias("modality"), F.lit("").alias("language")))
 
 
-@query()
+def _tree_sql() -> str:
+    tokens = lambda t: f"len({_words(t).replace('lambda x: x', 'lambda y: y')})"
+    packed = f"""list_reduce(list_transform(s, lambda x: [x]), lambda acc, x: CASE WHEN acc[-1] <> '' AND {tokens("acc[-1] || ' ' || x[1]")} > 200 THEN list_concat(acc, [x[1]])
+      ELSE list_concat(acc[:-2], [CASE WHEN acc[-1] = '' THEN x[1] ELSE acc[-1] || ' ' || x[1] END]) END, [''])"""
+    merged = f"""list_reduce(list_transform(packed, lambda x: [x]), lambda acc, x: CASE WHEN len(acc) > 0 AND {tokens("x[1]")} < 50 THEN list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) ELSE list_concat(acc, [x[1]]) END, []::VARCHAR[])"""
+    strip = "list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+    return f"""WITH p AS (SELECT doc_id, CASE WHEN len({strip}) > 0 THEN {strip} ELSE [text] END AS p FROM documents),
+sec AS (SELECT doc_id, unnest(p) AS text, (generate_subscripts(p, 1) - 1) AS no FROM p),
+named AS (SELECT *, sha256('section::' || doc_id || '::' || no || '::' || text) AS section_id, {_sentences('text')} AS s FROM sec),
+cut AS (SELECT *, {packed} AS packed FROM named),
+leaf AS (SELECT *, CASE WHEN len(s) <= 3 AND {tokens('text')} < 50 THEN [text] ELSE {merged} END AS parts FROM cut),
+each AS (SELECT doc_id, section_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos FROM leaf)
+SELECT sha256('document::' || doc_id) AS node_id, NULL::VARCHAR AS parent_id, 'document' AS level, doc_id, 0 AS pos, {tokens("array_to_string(p, ' ')")}::INTEGER AS n_tokens FROM p
+UNION ALL SELECT section_id, sha256('document::' || doc_id), 'section', doc_id, no, {tokens('text')} FROM named
+UNION ALL SELECT sha256('paragraph::' || section_id || '::' || pos), section_id, 'paragraph', doc_id, pos, {tokens('part')} FROM each"""
+
+
+@query(_tree_sql())
 def chunk_tree(spark: SparkSession, d: str) -> DataFrame:
     parts = text.heading_sections(F.col("text"))
     sections = read(spark, d, "documents").select("doc_id", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("text"))).alias("section_no", "text"))
@@ -395,7 +412,16 @@ def semantic_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segmented(spark, d)
 
 
-@query()
+# the parts are strings of words without sentence ends, so none is split; state: the chunks done, then what is carried
+_MERGED = """list_reduce(list_transform(parts, lambda x: [x]), lambda acc, x: CASE
+  WHEN len(string_split(CASE WHEN acc[-1] = '' THEN x[1] ELSE acc[-1] || ' ' || x[1] END, ' ')) >= 5 THEN list_concat(acc[:-2], [CASE WHEN acc[-1] = '' THEN x[1] ELSE acc[-1] || ' ' || x[1] END, ''])
+  ELSE list_concat(acc[:-2], [CASE WHEN acc[-1] = '' THEN x[1] ELSE acc[-1] || ' ' || x[1] END]) END, [''])"""
+
+
+@query(f"""WITH {_SIMILAR}, s AS (SELECT doc_id, segment, string_agg('S' || pos, ' ' ORDER BY pos) AS text FROM seg GROUP BY doc_id, segment),
+p AS (SELECT doc_id, list(text ORDER BY segment) AS parts FROM s GROUP BY doc_id), m AS (SELECT doc_id, {_MERGED} AS acc FROM p),
+c AS (SELECT doc_id, CASE WHEN acc[-1] = '' THEN acc[:-2] WHEN len(acc) = 1 THEN acc ELSE list_concat(acc[:-3], [acc[-2] || ' ' || acc[-1]]) END AS chunks FROM m)
+SELECT doc_id, (generate_subscripts(chunks, 1) - 1)::INTEGER AS pos, unnest(chunks) AS text FROM c""")
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk.semantic_chunks(_segmented(spark, d), least=5, most=12)
 

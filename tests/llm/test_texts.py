@@ -205,6 +205,22 @@ def test_orc_round_trip(spark, odd_docs, no_docs):
         assert orc_tokens.token_index(orc_tokens.read_tokens(spark, path)).count() == n
 
 
+def test_orc_filters_skip_rows(spark):
+    """A lookup by doc_id reads the row groups that can hold it, not the file."""
+    path = shared_path(spark, "orc-test")
+    docs = spark.range(6 * orc_tokens.INDEX_ROWS).selectExpr("id * 2 AS doc_id", "'word ' || id AS text").coalesce(1)
+    orc_tokens.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), 1)
+
+    def read(condition):
+        found = orc_tokens.read_tokens(spark, path).where(condition)
+        n = len(found.collect())
+        return n, found._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    assert read("doc_id = 4242")[0] == 1 and read("doc_id = 4242")[1] <= orc_tokens.INDEX_ROWS
+    assert read("doc_id = 4243") == (0, 0)  # between two ids: the Bloom filter has it not
+    assert read("doc_id >= 0") == (6 * orc_tokens.INDEX_ROWS,) * 2
+
+
 def best_fit(lengths, capacity):
     import bisect
 

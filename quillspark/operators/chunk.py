@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,17 +51,18 @@ def page_context(elements: DataFrame) -> DataFrame:
     return elements.groupBy("doc_id", "page_number").agg(first.alias("s")).select("doc_id", "page_number", "s.section", "s.breadcrumb")
 
 
-def fixed_windows(docs: DataFrame, size: int = 512, overlap: int = 64, least: int = 50) -> DataFrame:
+def fixed_windows(docs: DataFrame, size: int = 512, overlap: int = 64, least: int = 50, tokenize: Callable[[Column], Column] = words, between: str = " ") -> DataFrame:
     """Token windows of ``docs`` (doc_id, text), ``size - overlap`` apart: rows (doc_id, start, n_tokens, text).
 
     A window is kept when it has ``least`` tokens or reaches the end; windows go on after one has reached the end.
+    ``tokenize`` makes the array of a text's tokens (words by default), which ``between`` joins again.
     """
     step = size - overlap
-    tokens = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     rows = tokens.select("doc_id", "w", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))).alias("start"))
     rows = rows.withColumn("n_tokens", F.least(F.lit(size), F.col("n") - F.col("start")))
     kept = rows.where((F.col("n_tokens") >= least) | (F.col("start") + size >= F.col("n")))
-    return kept.select("doc_id", "start", "n_tokens", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_tokens")), " ").alias("text"))
+    return kept.select("doc_id", "start", "n_tokens", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_tokens")), between).alias("text"))
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:

@@ -213,3 +213,11 @@ def keyword_hits(hits: DataFrame, chunks: DataFrame, keywords: DataFrame) -> Dat
     joined = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(keywords, "query_id")
     found = F.size(F.filter("keywords", lambda w: F.contains(F.lower("text"), F.lower(w))))
     return joined.select("query_id", "chunk_id", "rank", found.alias("n_keywords"))
+
+
+def rescored(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """Hits (query_id, chunk_id, rank, score) in the order of a reranker's scores (query_id, chunk_id, rerank_score); those
+    without one follow as they were."""
+    joined = hits.join(scores, ["query_id", "chunk_id"], "left")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
+    return joined.withColumn("rank", F.row_number().over(order))

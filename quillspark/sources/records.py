@@ -106,3 +106,34 @@ def write_preferences(rows: DataFrame, path: str) -> None:
     from quillspark.functions.text import file_slug
 
     rows.withColumn("slug", file_slug(F.col("namespace"))).write.mode("append").partitionBy("slug").json(path)
+
+
+def sanitised(rows: DataFrame) -> DataFrame:
+    """``rows`` with scalar columns only: arrays, maps and structs as JSON, everything else that is no string, number or boolean as text."""
+
+    def plain(field) -> Column:
+        kind = field.dataType.typeName()
+        if kind in ("array", "map", "struct"):
+            return F.to_json(field.name).alias(field.name)
+        keeps = kind in ("string", "boolean", "byte", "short", "integer", "long", "float", "double") or kind.startswith("decimal")
+        return F.col(field.name) if keeps else F.col(field.name).cast("string").alias(field.name)
+
+    return rows.select(*[plain(f) for f in rows.schema.fields])
+
+
+def line_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, lines) of text files; an empty file has none."""
+    files = spark.read.format("binaryFile").load(paths).select("path")
+    counted = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("lines"))
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  one reader writes one slash, the other three
+    both = files.select(bare("path").alias("path")).join(counted.select(bare("path").alias("path"), "lines"), "path", "left")
+    return both.select("path", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+def setting(config: dict, path: str, default=None):
+    """The value at a dotted path of nested dictionaries, or the default."""
+    for key in path.split("."):
+        if not isinstance(config, dict) or key not in config:
+            return default
+        config = config[key]
+    return config

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import context, dedup, evaluation, graph, search
+from quillspark.operators import chunk, context, dedup, evaluation, graph, search
 from quillspark.plans import replies
 from quillspark.sources import files, records
 from quillspark.streaming import state
@@ -180,3 +180,23 @@ def test_more_streams(spark, tmp_path):
     (tmp_path / "docs" / "b.txt").write_text("b")
     ingest()
     assert taken == ["a.txt", "b.txt"]
+
+
+def test_plain_columns_line_counts_and_settings(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1, 2], {"a": "b"}, "t")], "n long, l array<int>, m map<string,string>, s string").withColumn("d", F.to_date(F.lit("2024-02-03")))
+    assert tuple(records.sanitised(df).first()) == (1, "[1,2]", '{"a":"b"}', "t", "2024-02-03")
+    (tmp_path / "a.log").write_text("1\n2\n3\n")
+    (tmp_path / "b.log").write_text("")
+    got = records.line_counts(spark, [str(tmp_path / "a.log"), str(tmp_path / "b.log")])
+    assert {r["path"].rsplit("/", 1)[-1]: r["lines"] for r in got.collect()} == {"a.log": 3, "b.log": 0}
+    assert records.setting({"a": {"b": 1}}, "a.b") == 1 and records.setting({"a": 1}, "a.b", 2) == 2
+
+
+def test_other_tokenizer_and_reranker(spark):
+    docs = spark.createDataFrame([(1, "abcdefg")], "doc_id long, text string")
+    letters = lambda c: F.regexp_extract_all(c, F.lit("."), F.lit(0))
+    got = chunk.fixed_windows(docs, size=4, overlap=1, least=1, tokenize=letters, between="")
+    assert [(r["start"], r["text"]) for r in got.orderBy("start").collect()] == [(0, "abcd"), (3, "defg"), (6, "g")]
+    hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_id long, chunk_id string, rank int")
+    scores = spark.createDataFrame([(1, "c", 0.9), (1, "b", 0.1)], "query_id long, chunk_id string, rerank_score double")
+    assert [r["chunk_id"] for r in search.rescored(hits, scores).orderBy("rank").collect()] == ["c", "b", "a"]

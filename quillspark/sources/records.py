@@ -122,12 +122,8 @@ def sanitised(rows: DataFrame) -> DataFrame:
 
 
 def line_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, lines) of text files; an empty file has none."""
-    files = spark.read.format("binaryFile").load(paths).select("path")
-    counted = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("lines"))
-    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  one reader writes one slash, the other three
-    both = files.select(bare("path").alias("path")).join(counted.select(bare("path").alias("path"), "lines"), "path", "left")
-    return both.select("path", F.coalesce("lines", F.lit(0)).alias("lines"))
+    """(path, lines) of the text files that have lines."""
+    return spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("lines"))
 
 
 def setting(config: dict, path: str, default=None):

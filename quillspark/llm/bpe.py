@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import bounded_batches, shuffle_parts, table
 
 #: Distinct pieces whose ids a Python worker keeps between batches, in either generation.
-CACHED = 400_000
+CACHED = 200_000
 #: Bytes of the texts whose pieces are looked up together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 
@@ -207,6 +207,7 @@ class PieceEncoder:
         texts = pc.fill_null(texts, "")
         for a, b in slices(texts, SLICE_BYTES):
             yield from self._slice(texts.slice(a, b - a))
+        pa.default_memory_pool().release_unused()
 
 
 class WordEncoder(PieceEncoder):
@@ -274,6 +275,7 @@ def held_encoder(key: tuple, make: Callable[[], PieceEncoder]) -> PieceEncoder:
 def release() -> None:
     """Give up what the worker holds; called by operators that hold much else."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
 
 
 #: Bytes of the texts of one block, whose distinct words go to the shuffle once; a longer text is one block.

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillspark import queries
+from quillspark import queries, queries_more  # noqa: F401
 from quillspark.functions.text import token_count
 from quillspark.operators import chunk, context, datasets, dedup, evaluation, graph, search
 from quillspark.plans import models, retrieval

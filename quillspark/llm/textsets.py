@@ -47,16 +47,17 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a byte buffer, in order; words are runs without white space."""
-    word = ~_SPACE[data]
+def word_hashes(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of a byte buffer, in order; words are runs of bytes of ``kinds`` (256 flags)."""
+    word = kinds[data]
     edge = np.diff(np.concatenate(([False], word, [False])).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _POWERS.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return _mix(h + (ends - starts).astype(np.uint64) * _MIX[1]), starts
+    with np.errstate(over="ignore"):
+        up, down = _POWERS.to(len(data) + 1)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
+        return _mix(h + (ends - starts).astype(np.uint64) * _MIX[1]), starts, ends
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -78,7 +79,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 def _sets(buffers: list, width: int) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
         data = np.frombuffer(b"\n".join(buffers) + b"\n", dtype=np.uint8)
-        words, starts = _word_hashes(data)
+        words, starts, _ = word_hashes(data, ~_SPACE)
         ends = np.cumsum([len(b) + 1 for b in buffers])
         firsts = np.concatenate(([0], np.searchsorted(starts, ends)))
         scale = _mix(np.arange(1, width + 1, dtype=np.uint64) * _P)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import ann, bpe, lid, mips, ngram_join, orc_tokens, packing, pii, sharding, urlrep
+from quillspark.llm import ann, bpe, divergence, lid, mips, ngram_join, orc_tokens, packing, pii, sharding, urlrep, vector_codes, winnowing
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_norm_buckets": mips.op9_norm_buckets,
     "op10_hilbert_shards": sharding.op10_hilbert_shards,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_winnowing": winnowing.op12_winnowing,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 SQL = {
     "op2_url_reputation": urlrep.op2_sql(),
     "op4_ngram_join": ngram_join.op4_sql(),
     "op9_norm_buckets": mips.op9_sql(),
+    "op11_vector_codes": vector_codes.op11_sql(),
+    "op12_winnowing": winnowing.op12_sql(),
+    "op13_source_divergence": divergence.op13_sql(),
 }

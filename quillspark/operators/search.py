@@ -12,14 +12,12 @@ from pyspark.sql.window import Window
 
 from quillspark.functions.predicates import searchable
 from quillspark.functions.text import numbered_choice, terms
-from quillspark.tables import staged
+from quillspark.operators.bm25 import Index, search_index, write_index
+from quillspark.tables import shared_path, staged
 
-K1, B = 1.2, 0.75
 RRF_K = 60
 #: Vectors, and queries, that meet in one task.
 BLOCK_VECTORS, BLOCK_QUERIES = 4000, 1000
-#: Asked terms that are broadcast; more are joined by shuffles.
-BROADCAST_TERMS = 500_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -71,48 +69,19 @@ def postings(docs: DataFrame) -> DataFrame:
     return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row (n_docs, avgdl) over the texts that have terms or not."""
-    return docs.select(F.size(terms(F.coalesce("text", F.lit("")))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term) of ``queries`` (query_id, text)."""
+    return queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).distinct()
 
 
-def bm25(query_terms: DataFrame, posted: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of ``query_terms`` (query_id, term), OR semantics; scores have six decimals."""
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = query_terms.distinct().join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.select("query_id", "term", idf.alias("idf"), "avgdl")
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    hits = weighted.join(posted, "term").select("query_id", "chunk_id", part.alias("part"))
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+def bm25_topk(queries: DataFrame, docs: DataFrame | Index, k: int, namespace: str | None = None) -> DataFrame:
+    """BM25 top-k of ``queries`` (query_id, text) over an index, or over ``docs`` (chunk_id, text), which are indexed first."""
+    return search_index(indexed(docs), asked_terms(queries), k, namespace)
 
 
-def asked_postings(docs: DataFrame, query_terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``postings`` of the asked terms only, and the ``corpus_stats`` of all ``docs``, from one scan of the texts.
-
-    Terms that nobody asks for go before the shuffle, against a broadcast list where that is of a checked size. The
-    empty term, which no text has, is asked for in every text: its rows carry the lengths.
-    """
-    wanted = staged(query_terms.select("term").distinct().union(docs.sparkSession.createDataFrame([("",)], "term string")))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
-    listed = docs.select("chunk_id", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("t"))
-    each = listed.select("chunk_id", F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
-    counted = staged(each.join(wanted, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")))
-    lengths = counted.where("term = ''")
-    stats = lengths.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    return counted.where("term <> ''"), stats
-
-
-def _searched(query_terms: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    query_terms = staged(query_terms.distinct())
-    posted, stats = asked_postings(docs, query_terms)
-    return ranked(bm25(query_terms, posted, stats), k)
-
-
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """BM25 top-k of ``queries`` (query_id, text) over ``docs`` (chunk_id, text)."""
-    return _searched(queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")), docs, k)
+def indexed(docs: DataFrame | Index) -> Index:
+    """The index itself, or one of ``docs`` in the shared folder."""
+    return docs if isinstance(docs, Index) else write_index(docs, shared_path(docs.sparkSession, "bm25"))
 
 
 def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame, most: int = 50) -> DataFrame:
@@ -129,11 +98,10 @@ def fuzzy_terms(query_terms: DataFrame, vocabulary: DataFrame, most: int = 50) -
     return close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("query_id", F.col("match").alias("term")).distinct()
 
 
-def bm25_fuzzy_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """BM25 over the query terms and their near spellings in the corpus."""
-    vocabulary = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).distinct()
-    return _searched(fuzzy_terms(asked, vocabulary), docs, k)
+def bm25_fuzzy_topk(queries: DataFrame, docs: DataFrame | Index, k: int) -> DataFrame:
+    """BM25 over the query terms and their near spellings in the index."""
+    index = indexed(docs)
+    return search_index(index, fuzzy_terms(asked_terms(queries), index.part("terms")), k)
 
 
 def fuse(lists: list[DataFrame], k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -155,13 +123,16 @@ def filtered(chunks: DataFrame, namespace: str | None = None, level: str | None
     return chunks.where(searchable(namespace, level, **metadata))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 20, overfetch: int = 2, method: tuple = ("dense", "sparse")) -> DataFrame:
-    """Hybrid search of ``queries`` (query_id, text, vector) over ``chunks`` (chunk_id, text, vector): both legs, fused."""
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 20, overfetch: int = 2, method: tuple = ("dense", "sparse"), index: Index | None = None) -> DataFrame:
+    """Hybrid search of ``queries`` (query_id, text, vector) over ``chunks`` (chunk_id, text, vector): both legs, fused.
+
+    A stored ``index`` of the chunks is searched where there is one, else one is made.
+    """
     lists = []
     if "dense" in method:
         lists.append(dense_topk(queries.where("vector is not null"), chunks.where("vector is not null"), overfetch * k))
     if "sparse" in method:
-        lists.append(bm25_topk(queries, chunks, overfetch * k))
+        lists.append(bm25_topk(queries, index or chunks, overfetch * k))
     return fuse(lists, k)
 
 

@@ -42,6 +42,17 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the rows that go to a Python worker at once; a longer row goes alone.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches of texts in Python workers by bytes; a value of the cluster's configuration is kept."""
+    if not spark.sparkContext.getConf().contains(_BATCHES):
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _WRITTEN:

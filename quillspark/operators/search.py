@@ -123,13 +123,18 @@ def filtered(chunks: DataFrame, namespace: str | None = None, level: str | None
     return chunks.where(searchable(namespace, level, **metadata))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 20, overfetch: int = 2, method: tuple = ("dense", "sparse"), index: Index | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 20, overfetch: int = 2, method: tuple = ("dense", "sparse"), index: Index | None = None, graphs=None) -> DataFrame:
     """Hybrid search of ``queries`` (query_id, text, vector) over ``chunks`` (chunk_id, text, vector): both legs, fused.
 
-    A stored ``index`` of the chunks is searched where there is one, else one is made.
+    A stored ``index`` of the chunks' texts is searched where there is one, else one is made; stored ``graphs`` of their
+    vectors are searched in place of all vectors.
     """
     lists = []
-    if "dense" in method:
+    if "dense" in method and graphs is not None:
+        from quillspark.operators.nsw import graph_topk
+
+        lists.append(graph_topk(queries, graphs, overfetch * k))
+    elif "dense" in method:
         lists.append(dense_topk(queries.where("vector is not null"), chunks.where("vector is not null"), overfetch * k))
     if "sparse" in method:
         lists.append(bm25_topk(queries, index or chunks, overfetch * k))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import metrics, predicates, text
-from quillspark.operators import chunk, context, datasets, dedup, evaluation, graph, search
+from quillspark.operators import chunk, context, datasets, dedup, evaluation, graph, minhash, nsw, search
 from quillspark.plans import retrieval
 from quillspark.queries import _BENCH_QUERIES, _DOC_QUERIES, _HAS_DOC, _LEGS, _POSTED, _asked, _bm25, _capitalised, _chunks, _dense, _dense_hits, _fused, _redaction_sql, _terms, _vectors, _words, query, read
 from quillspark.sources import records
-from quillspark.tables import staged
+from quillspark.tables import shared_path, staged
 
 # ---- search with filters, and whole plans ----------------------------------------------------------------------------
 
@@ -466,3 +466,23 @@ SELECT id FROM n WHERE NOT list_contains((SELECT gone FROM walk ORDER BY i DESC
 def near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
     docs = _texts(spark, d)
     return dedup.keep_greedy(_first_of_each(docs), staged(dedup.near_pairs(docs)))
+
+
+@query()
+def nsw_topk(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: an approximate search; tests hold its recall against ``dense_topk``."""
+    v = _vectors(spark, d)
+    graphs = nsw.write_graphs(v, shared_path(spark, "graphs"))
+    return nsw.graph_topk(v.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), graphs, 10, exclude_self=True)
+
+
+@query()
+def minhash_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: a pair at the threshold is missed with a small chance; tests hold it against ``near_dup_pairs``."""
+    return minhash.minhash_pairs(_texts(spark, d)).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query()
+def minhash_keep(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL, as ``minhash_pairs``; tests hold it against the rule in plain Python."""
+    return minhash.minhash_keep(_texts(spark, d))

@@ -41,8 +41,8 @@ COUNTED = 2_000_000
 PART = 256
 #: Rounds of matching between the components' smallest members before all pairs that are left.
 PIVOT_ROUNDS = 1
-#: Cells of a set's histogram.
-CELLS = 256
+#: Shingles for each cell of a set's histogram, at most about, and the fewest cells.
+CELL, CELLS = 2, 64
 #: Rows of a side that may be broadcast (some 40 bytes each); a longer one is shuffled.
 BROADCAST_ROWS = 200_000
 #: Prefix shingles of one bucket, at most about.
@@ -237,7 +237,24 @@ def _wide(b: bytes) -> np.ndarray:
 
 
 def _histogram(s: np.ndarray) -> bytes:
-    return np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes()
+    """How many shingles fall to each cell, in as many cells as suit the set's size; nothing if a cell overflows."""
+    cells = max(CELLS, 1 << (len(s) // CELL).bit_length())
+    counts = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _room(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two histograms leave room for the least overlap: the sum of the smaller cells bounds the intersection.
+
+    The finer one is folded to the cells of the other; one that overflowed bounds nothing.
+    """
+    if not a or not b:
+        return True
+    x, y = (np.frombuffer(h, dtype=np.uint8).astype(np.int32) for h in (a, b))
+    cells = min(len(x), len(y))
+    x, y = x.reshape(-1, cells).sum(0), y.reshape(-1, cells).sum(0)
+    both = int(np.minimum(x, y).sum())
+    return 100 * both >= percent * (int(x.sum()) + int(y.sum()) - both)
 
 
 def _of_members(width: int, bitmap, make):
@@ -388,14 +405,11 @@ def _verified(percent: int):
 
 
 def _possible(percent: int):
-    """Pairs whose histograms leave room for the least overlap: the sum of the smaller cells bounds the intersection."""
+    """Pairs whose histograms leave room for the least overlap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c]), dtype="<i4").reshape(-1, CELLS) for c in ("x", "y"))
-                both = np.minimum(x, y).sum(1)
-                yield pdf.loc[100 * both >= percent * (x.sum(1) + y.sum(1) - both), ["a", "b"]]
+            yield pdf.loc[[_room(x, y, percent) for x, y in zip(pdf["x"], pdf["y"], strict=True)], ["a", "b"]]
 
     return run
 

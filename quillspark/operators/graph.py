@@ -114,23 +114,24 @@ def modularity(labels: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
     return inside["own"] / inside["m"] - resolution * spread / (2 * inside["m"]) ** 2
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+def local_moves(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(node, community) by greedy moves that raise the modularity, all nodes of a hash class at a time.
 
-    ``edges``: (a, b, weight). In each turn the nodes of one of two hash classes may move to the label with the highest
+    ``edges``: (a, b, weight), a node's edge to itself its inner weight. In each turn the nodes of one of two hash classes may move to the label with the highest
     weight to them less ``resolution`` * degree * label degree / (2 * total weight), their own degree left out; ties to
     one label by its hash. Turns go on until a pair of them has not raised the modularity (simultaneous moves may lower
     it), and the best labels seen are the result. A local optimum, not the greatest modularity.
     """
     both = staged(edges.select("a", "b", "weight").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     degree = staged(both.groupBy("a").agg(F.sum("weight").alias("degree")))
+    other = both.where("a <> b")  # what a node holds itself pulls it nowhere
     total = degree.agg(F.sum("degree")).first()[0] or 1.0
     labels = staged(nodes.select("node").distinct().withColumn("community", F.col("node")))
     best_labels, best, since, turn = labels, modularity(labels, edges, resolution), 0, 0
     while since < 2:
         sized = labels.join(degree.withColumnRenamed("a", "node"), "node", "left").fillna({"degree": 0.0})
         mass = sized.groupBy("community").agg(F.sum("degree").alias("mass"))
-        pull = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        pull = other.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
         pull = pull.join(mass, "community").join(degree, "a").join(labels.select(F.col("node").alias("a"), F.col("community").alias("own")), "a")
         others = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)
         gain = F.round(F.col("w") - resolution * F.col("degree") * others / total, 9)
@@ -146,6 +147,36 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
     return best_labels
 
 
+def connected_parts(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, community) with each community cut into the parts that its own edges (a, b) connect; a part is
+    named by its smallest node. The modularity never falls by it."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    inside = edges.join(a, "a").join(b, "b").where("ca = cb and a <> b").select("a", "b")
+    return components(labels, inside).withColumnRenamed("component", "community")
+
+
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, community) by levels of greedy moves: (a, b, weight) ``edges``, each given once.
+
+    The nodes move as in ``local_moves``, communities are cut to connected parts, and the parts become the nodes of a
+    smaller graph, whose edges sum theirs, and move again, until the modularity stops rising. Every community is
+    connected, and the modularity no lower than after the moves of the first level.
+    """
+    labels = staged(nodes.select("node").distinct().withColumn("community", F.col("node")), "labels")
+    level_nodes, level_edges, best = labels.select("node"), staged(edges.select("a", "b", "weight"), "edges"), modularity(labels, edges, resolution)
+    while True:
+        parts = staged(connected_parts(local_moves(level_nodes, level_edges, resolution), level_edges), "parts")
+        merged = labels.join(parts.select(F.col("node").alias("community"), F.col("community").alias("next")), "community")
+        merged = staged(merged.select("node", F.col("next").alias("community")), "labels")
+        now = modularity(merged, edges, resolution)
+        if now <= best + 1e-9:
+            return labels
+        labels, best, level_nodes = merged, now, parts.select(F.col("community").alias("node")).distinct()
+        a, b = parts.select(F.col("node").alias("a"), F.col("community").alias("ca")), parts.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+        ends = level_edges.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "weight")
+        level_edges = staged(ends.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "edges")
+
+
 def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] = (1.0, 0.5), least: int = 2) -> DataFrame:
     """Communities at several resolutions: (level, community_id, label, members) of those with ``least`` members."""
     from functools import reduce

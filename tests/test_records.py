@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -85,6 +86,45 @@ def test_modularity_and_communities_equal_brute_force(spark):
     assert graph.modularity(found, edges.limit(0)) == 0.0
 
 
+def test_communities_are_connected(spark):
+    # one label over two cliques that only a third community joins, as moves of single nodes can leave it
+    clique = lambda nodes: [(a, b, 1.0) for a in nodes for b in nodes if a < b]
+    pairs = clique(range(4)) + clique(range(4, 8)) + clique(range(8, 12)) + [(3, 8, 1.0), (7, 9, 1.0)]
+    edges = spark.createDataFrame(pairs, "a long, b long, weight double")
+    labels = spark.createDataFrame([(n, 0 if n < 8 else 1) for n in range(12)], "node long, community long")
+    parts = {r["node"]: r["community"] for r in graph.connected_parts(labels, edges).collect()}
+    assert parts == {n: n // 4 * 4 for n in range(12)}
+    assert graph.modularity(graph.connected_parts(labels, edges), edges) > graph.modularity(labels, edges)
+
+
+def test_levels_of_communities_beat_single_moves(spark):
+    # a ring of small cliques: moves of single nodes stop at the cliques or below, contraction joins them further
+    rng = random.Random(5)
+    pairs = {}
+    for c in range(12):
+        for a in range(3):
+            for b in range(a + 1, 3):
+                pairs[3 * c + a, 3 * c + b] = 1.0
+        x, y = sorted((3 * c, (3 * c + 3) % 36))
+        pairs[x, y] = 1.0
+    for _ in range(6):
+        a, b = sorted(rng.sample(range(36), 2))
+        pairs.setdefault((a, b), 0.5)
+    edges = spark.createDataFrame([(*k, w) for k, w in pairs.items()], "a long, b long, weight double")
+    nodes = spark.range(36).withColumnRenamed("id", "node")
+    one, all_ = graph.local_moves(nodes, edges), graph.communities(nodes, edges)
+    assert graph.modularity(all_, edges) >= graph.modularity(one, edges) - 1e-9
+    label = {r["node"]: r["community"] for r in all_.collect()}
+    assert len(label) == 36 and len(set(label.values())) < 13
+    for community in set(label.values()):
+        own = {n for n in label if label[n] == community}
+        seen, front = {min(own)}, [min(own)]
+        while front:
+            n = front.pop()
+            front += [m for a, b in pairs for m in ((b,) if a == n else (a,) if b == n else ()) if m in own and m not in seen and not seen.add(m)]
+        assert seen == own
+
+
 def test_coverage_of_names_within_words(spark, monkeypatch):
     monkeypatch.setattr(graph, "NAMES_A_PASS", 2)
     chunks = spark.createDataFrame([(1, "New York and Concatenation"), (2, "a cat in NEW YORK"), (3, None)], "chunk_id long, text string")

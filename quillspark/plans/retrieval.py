@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import assembled_prompt
 from quillspark.operators import chunk, context, dedup, search
 from quillspark.plans.models import embedded
+from quillspark.tables import staged
 
 
-def ingest(docs: DataFrame, redact: bool = True) -> DataFrame:
-    """Chunks (chunk_id, doc_id, parent_id, source_name, text, vector) of ``docs`` (doc_id, text, source): redact, keep first copies, split, embed."""
+def ingest(docs: DataFrame, redact: bool = True, counts: Observation | None = None) -> DataFrame:
+    """Chunks (chunk_id, doc_id, parent_id, source_name, text, vector) of ``docs`` (doc_id, text, source): redact, keep first copies, split, embed.
+
+    ``counts`` takes the numbers of ``observed_first`` on the way.
+    """
     clean = dedup.redacted(docs.select("doc_id", "text", "source"), enabled=redact)
-    unique = dedup.exact_first(clean).select("doc_id", "text", "source")
+    unique = (dedup.exact_first(clean) if counts is None else observed_first(clean, counts)).select("doc_id", "text", "source")
     sections = unique.select("doc_id", "source", F.lit(0).alias("section_no"), "text")
     leaves = chunk.tree(sections).where("level = 'paragraph'").select(F.xxhash64("node_id").alias("chunk_id"), "doc_id", "parent_id", "text")
     return embedded(leaves.join(unique.select("doc_id", F.col("source").alias("source_name")), "doc_id"), "text", "vector")
@@ -47,7 +51,16 @@ def context_items(hits: DataFrame, nodes: DataFrame, texts: DataFrame, replies:
     return context.within_budget(placed, budget)
 
 
+def observed_first(docs: DataFrame, counts: Observation) -> DataFrame:
+    """``exact_first`` of ``docs``, written once; meanwhile ``counts`` takes the documents scanned, those kept as first of
+    their text, and those skipped. A kept row knows its copies, so that nothing is read a second time for them."""
+    kept = dedup.exact_first(docs)
+    scanned, indexed = F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.lit(1))
+    return staged(kept.observe(counts, scanned.alias("scanned"), indexed.alias("indexed"), (scanned - indexed).alias("skipped")), "first-copies")
+
+
 def ingest_counts(docs: DataFrame) -> DataFrame:
-    """Documents scanned, those kept as first of their text, and those skipped."""
-    kept = dedup.exact_first(docs).agg(F.count("*").alias("indexed"))
-    return docs.agg(F.count("*").alias("scanned")).crossJoin(kept).withColumn("skipped", F.col("scanned") - F.col("indexed"))  # one row each
+    """One row (scanned, indexed, skipped) of what ``observed_first`` counts."""
+    counts = Observation("ingest")
+    observed_first(docs, counts)
+    return docs.sparkSession.createDataFrame([tuple(counts.get[c] for c in ("scanned", "indexed", "skipped"))], "scanned long, indexed long, skipped long")

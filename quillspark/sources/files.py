@@ -149,7 +149,7 @@ class _Elements(HTMLParser):
             self.held.append(data)
 
 
-def _elements(html: str) -> list[tuple[str, int | None, str]]:
+def page_elements(html: str) -> list[tuple[str, int | None, str]]:
     """Elements of a page; it is read again where a navigation or noscript is never closed, as content may follow."""
     unclosed: frozenset[tuple[int, int]] = frozenset()
     while True:
@@ -166,7 +166,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for key, html in zip(pdf["doc_id"], pdf["html"], strict=True):
-            rows += [(key, i, *e) for i, e in enumerate(_elements(html or ""))]
+            rows += [(key, i, *e) for i, e in enumerate(page_elements(html or ""))]
         frame = pd.DataFrame(rows, columns=["doc_id", "pos", "category", "depth", "text"])
         yield frame.astype({"depth": "Int32", "pos": "int32"})
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.metrics import cosine
 from quillspark.functions.text import budget_tokens, first_sentences
 
 
@@ -77,18 +76,6 @@ def merge_distinct(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.unionByName(b.join(a.select("query_id", "_key"), ["query_id", "_key"], "left_anti")).drop("_key")
 
 
-def cache_lookup(queries: DataFrame, cache: DataFrame, at_least: float = 0.95) -> DataFrame:
-    """The most similar cache entry of the namespace at or above the threshold; ties to the newest.
-
-    ``queries``: (query_id, namespace, vector, conversational), ``cache``: (entry_id, namespace, vector, created).
-    Conversational queries are not looked up. Expired entries are the caller's filter.
-    """
-    asked = queries.where("not conversational").select("query_id", "namespace", F.col("vector").alias("qv"))
-    pairs = asked.join(cache, "namespace").withColumn("similarity", F.round(cosine(F.col("qv"), F.col("vector")), 6))
-    hit = pairs.where(F.col("similarity") >= at_least).groupBy("query_id").agg(F.max(F.struct("similarity", "created", "entry_id")).alias("h"))
-    return hit.select("query_id", "h.entry_id", "h.similarity")
-
-
 def history_split(turns: DataFrame, most: int = 14, keep: int = 6) -> DataFrame:
     """Turns (session_id, turn, role, text) marked ``recent`` or, in sessions of more than ``most``, ``overflow`` to be summarised."""
     session = Window.partitionBy("session_id")

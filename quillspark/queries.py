@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import metrics, predicates, text
-from quillspark.operators import chunk, context, datasets, dedup, evaluation, graph, search
+from quillspark.operators import chunk, context, datasets, dedup, evaluation, graph, lookup, search
 from quillspark.sources import files, records
 
 QUERIES, SQL = {}, {}
@@ -201,14 +201,27 @@ def compressed_context(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("query_id", F.size("items").alias("n_items"), F.sha2(text.assembled_prompt(F.transform("items", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), F.lit(None).alias("source_name"), F.lit(None).alias("ingestion_ts"), x["text"].alias("text")))), 256).alias("prompt_sha"))
 
 
-@query("""WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity
+def _lookup_sql(at_least: float) -> str:
+    return f"""WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS entry_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity
   FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 2 = 1 AND q.vec_id % 7 <> 0 AND e.vec_id % 2 = 0)
-SELECT query_id, entry_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id DESC) AS n FROM pairs WHERE similarity >= 0.25) WHERE n = 1""")
-def semantic_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+SELECT query_id, entry_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id DESC) AS n FROM pairs WHERE similarity >= {at_least}) WHERE n = 1"""
+
+
+def _lookup(spark: SparkSession, d: str, at_least: float) -> DataFrame:
     v = _vectors(spark, d).withColumn("namespace", F.col("label").cast("string"))
     cache = v.where("chunk_id % 2 = 0").select("namespace", "vector", F.col("chunk_id").alias("entry_id"), F.col("chunk_id").alias("created"))
     asked = v.where("chunk_id % 2 = 1").select(F.col("chunk_id").alias("query_id"), "namespace", "vector", (F.col("chunk_id") % 7 == 0).alias("conversational"))
-    return context.cache_lookup(asked, cache, 0.25)
+    return lookup.cache_lookup(asked, cache, at_least)
+
+
+@query(_lookup_sql(0.25))
+def semantic_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return _lookup(spark, d, 0.25)
+
+
+@query(_lookup_sql(0.95))
+def semantic_cache_lookup_strict(spark: SparkSession, d: str) -> DataFrame:
+    return _lookup(spark, d, 0.95)
 
 
 # ---- text ---------------------------------------------------------------------------------------------------------

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import sql
 from quillspark.functions import metrics, predicates, text
 from quillspark.operators import chunk, context, datasets, dedup, evaluation, graph, minhash, nsw, search
 from quillspark.plans import retrieval
-from quillspark.queries import _BENCH_QUERIES, _DOC_QUERIES, _HAS_DOC, _LEGS, _POSTED, _asked, _bm25, _capitalised, _chunks, _dense, _dense_hits, _fused, _redaction_sql, _terms, _vectors, _words, query, read
+from quillspark.queries import SQL, _BENCH_QUERIES, _DOC_QUERIES, _HAS_DOC, _LEGS, _POSTED, _asked, _bm25, _capitalised, _chunks, _dense, _dense_hits, _fused, _redaction_sql, _terms, _vectors, _words, query, read
 from quillspark.sources import records
+from quillspark.sources.keyed import KeyedTable
 from quillspark.tables import shared_path, staged
 
 # ---- search with filters, and whole plans ----------------------------------------------------------------------------
@@ -468,6 +470,25 @@ def near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
     return dedup.keep_greedy(_first_of_each(docs), staged(dedup.near_pairs(docs)))
 
 
+@query("""WITH base AS (SELECT doc_id, lang, source, n_chars, 0 AS seq FROM documents), updates AS (SELECT doc_id, lang, 'moved' AS source, n_chars + 1 AS n_chars, 1 AS seq FROM documents WHERE doc_id % 100 = 7)
+SELECT doc_id, lang, source, n_chars, seq::BIGINT AS seq FROM updates WHERE lang <> 'de' UNION ALL SELECT doc_id, lang, source, n_chars, seq::BIGINT FROM base WHERE doc_id NOT IN (SELECT doc_id FROM updates)""")
+def merged_table(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.lit(0).cast("long").alias("seq"))
+    table = KeyedTable(spark, shared_path(spark, "keyed"), "doc_id long, lang string, source string, n_chars long, seq long", ("doc_id",))
+    table.merge(docs, F.col("seq"))
+    moved = docs.where("doc_id % 100 = 7").withColumns({"source": F.lit("moved"), "n_chars": F.col("n_chars") + 1, "seq": F.lit(1).cast("long")})
+    table.merge(moved, F.col("seq"), F.col("lang") == "de")
+    return table.read()
+
+
+@query(SQL["fixed_chunks"])
+def sql_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of ``fixed_chunks`` from one statement of Spark SQL."""
+    sql.register(spark)
+    read(spark, d, "documents").createOrReplaceTempView("documents_to_chunk")
+    return spark.sql("SELECT doc_id, start, n_tokens, sha2(text, 256) AS text_sha FROM word_windows(TABLE(SELECT doc_id, text FROM documents_to_chunk) PARTITION BY (doc_id), 512, 64, 50)")
+
+
 @query()
 def nsw_topk(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: an approximate search; tests hold its recall against ``dense_topk``."""

@@ -219,9 +219,9 @@ def semantic_cache_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _lookup(spark, d, 0.25)
 
 
-@query(_lookup_sql(0.95))
-def semantic_cache_lookup_strict(spark: SparkSession, d: str) -> DataFrame:
-    return _lookup(spark, d, 0.95)
+@query(_lookup_sql(0.3))
+def semantic_cache_lookup_narrow(spark: SparkSession, d: str) -> DataFrame:
+    return _lookup(spark, d, 0.3)
 
 
 # ---- text ---------------------------------------------------------------------------------------------------------
@@ -266,9 +266,11 @@ def query_parsing(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", *[r[c].cast("string").alias(n + c) for n, r in (("", quarter), ("year_", year)) for c in ("gte", "lte")], reply["k"].alias("k"))
 
 
-@query("""SELECT conv_id, turn, text || ' [1], [2] and [1]' AS numbered, 1 AS first_number, 2 AS second_number FROM conversations""")
+@query("""SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' [1], [2] and [1]' ELSE ' [1], [2] and [2]' END AS numbered, (1 + turn % 2)::INTEGER AS first_number, (2 - turn % 2)::INTEGER AS second_number FROM conversations""")
 def citation_numbers(spark: SparkSession, d: str) -> DataFrame:
-    answer = F.concat("text", F.lit(" [CITE:"), "role", F.lit("], [CITE:"), F.col("conv_id").cast("string"), F.lit("] and [CITE:"), "role", F.lit("]"))
+    role, conv, even = F.col("role"), F.col("conv_id").cast("string"), F.col("turn") % 2 == 0
+    first, second = F.when(even, role).otherwise(conv), F.when(even, conv).otherwise(role)
+    answer = F.concat("text", F.lit(" [CITE:"), first, F.lit("], [CITE:"), second, F.lit("] and [CITE:"), "role", F.lit("]"))
     ids = text.citation_ids(answer)
     return read(spark, d, "conversations").select(
         "conv_id", "turn", text.numbered_citations(answer).alias("numbered"), F.array_position(ids, F.col("role")).cast("int").alias("first_number"),

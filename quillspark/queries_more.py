@@ -46,7 +46,7 @@ _HYBRID = f"{_dense(40, where=_HAS_DOC, own='TRUE')}, {_POSTED}, {_bm25(40, _DOC
 @query(f"""WITH {_HYBRID}, swapped AS (SELECT query_id, rank, label, chunk_id, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS n FROM fused LEFT JOIN embeddings ON vec_id = chunk_id),
 e AS (SELECT query_id, rank, CASE WHEN label IS NOT NULL AND n = 1 THEN label ELSE chunk_id END AS chunk_id, label IS NOT NULL AND n = 1 AS expanded FROM swapped),
 t AS (SELECT e.* FROM e JOIN documents ON doc_id = e.chunk_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE rank WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE rank + 100 END) AS place FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank = CASE WHEN query_id % 200 = 0 THEN 3 ELSE 4 END THEN 1 WHEN rank = CASE WHEN query_id % 200 = 0 THEN 1 ELSE 2 END THEN 2 ELSE rank + 100 END) AS place FROM t),
 c AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM r WHERE place <= 5),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN place = 2 AND n >= 3 THEN n + 1 ELSE place END)::INTEGER AS position FROM c),
 b AS (SELECT query_id, p.chunk_id, position, expanded, sum(length(text) // 4) OVER (PARTITION BY query_id ORDER BY position)::BIGINT AS running_tokens FROM p JOIN documents ON doc_id = p.chunk_id)
@@ -56,7 +56,8 @@ def retrieval_pipeline(spark: SparkSession, d: str) -> DataFrame:
     asked = _asked(chunks)
     nodes = _vectors(spark, d).select(F.col("chunk_id").alias("node_id"), F.col("label").cast("long").alias("parent_id"))
     texts = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    replies = asked.select("query_id", F.lit("The best are [3, 1] and 999").alias("reply"))
+    reply = F.when(F.col("query_id") % 200 == 0, "The best are [3, 1] and 999").otherwise("4 before 2, then 4 again")
+    replies = asked.select("query_id", reply.alias("reply"))
     out = retrieval.context_items(search.hybrid(asked, chunks, 20), nodes, texts, replies, cut=5)
     return out.select("query_id", "chunk_id", "position", "expanded", "running_tokens")
 
@@ -283,11 +284,13 @@ def pii_flags(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", flag.alias("flag"))
 
 
-@query("""SELECT conv_id, turn, role || '|' || turn AS lines, 'set' AS action, role AS preference, CASE WHEN turn % 2 = 0 THEN 'REDO' ELSE 'QUERY' END AS mode,
+@query("""SELECT conv_id, turn, role || '|' || turn AS lines, CASE turn % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'clear' ELSE 'set' END AS action, CASE WHEN turn % 4 > 1 THEN role END AS preference,
+  CASE turn % 4 WHEN 2 THEN 'REDO' WHEN 3 THEN 'QUERY' END AS mode,
   CASE WHEN turn % 3 = 0 THEN 'clear' WHEN turn % 3 = 1 THEN 'null' END AS kind, role AS bare FROM conversations""")
 def reply_parsing(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("turn").cast("string")
-    reply = text.preference_reply(F.concat(F.lit(" "), "role", F.lit(" | "), F.when(F.col("turn") % 2 == 0, "redo").otherwise("other")))
+    quarter = F.col("turn") % 4
+    reply = text.preference_reply(F.when(quarter == 0, " null ").when(quarter == 1, "Clear").when(quarter == 2, F.concat(F.lit(" "), "role", F.lit(" | redo"))).otherwise(F.col("role")))
     message = F.when(F.col("turn") % 3 == 0, "Please forget everything now").when(F.col("turn") % 3 == 1, "Thanks!").otherwise("use short answers")
     return read(spark, d, "conversations").select(
         "conv_id", "turn", F.array_join(text.numbered_lines(F.concat(F.lit("1. "), "role", F.lit("\n\n 2) "), n, F.lit("\n"))), "|").alias("lines"), reply["action"].alias("action"),
@@ -295,19 +298,24 @@ def reply_parsing(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT conv_id, turn, contains(lower(text), 'a') AS unused, role AS heading, 2 AS depth, 2 AS n_sections, round(tanh(turn / 10.0::DOUBLE), 9) AS squashed, 3 AS n_parts FROM conversations""")
+@query("""SELECT conv_id, turn, role AS heading, (1 + turn % 6)::INTEGER AS depth, (1 + turn % 3)::INTEGER AS n_sections, round(tanh(turn / 10.0::DOUBLE), 9) AS squashed,
+  (3 * (turn % 4) + 1)::INTEGER AS n_parts FROM conversations""")
 def heading_functions(spark: SparkSession, d: str) -> DataFrame:
-    page = F.concat(F.lit("## "), "role", F.lit("\nbody one\n### next\nbody two"))
-    table = F.concat("role", F.lit(" came.\n| a | b |\n| 1 | 2 |\nThen left."))
+    page = F.expr("repeat('#', int(1 + turn % 6)) || ' ' || role || '\\nbody one\\n' || repeat('### next\\nbody two\\n', int(turn % 3))")
+    table = F.expr("repeat(role || ' came. Then left.\\n| a | b |\\n| 1 | 2 |\\n', int(turn % 4)) || 'The end.'")
     return read(spark, d, "conversations").select(
-        "conv_id", "turn", F.contains(F.lower("text"), F.lit("a")).alias("unused"), text.heading(page)["text"].alias("heading"), text.heading(page)["depth"].alias("depth"),
-        F.size(text.heading_sections(page)).alias("n_sections"), F.round(metrics.squashed(F.col("turn") / 10.0), 9).alias("squashed"), F.size(text.sentences_around_tables(table)).alias("n_parts"),
+        "conv_id", "turn", text.heading(page)["text"].alias("heading"), text.heading(page)["depth"].alias("depth"), F.size(text.heading_sections(page)).alias("n_sections"),
+        F.round(metrics.squashed(F.col("turn") / 10.0), 9).alias("squashed"), F.size(text.sentences_around_tables(table)).alias("n_parts"),
     )
 
 
-@query("SELECT doc_id, 'lang,n,source' AS names, source, n_chars::VARCHAR AS n FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'n,source' WHEN 1 THEN 'lang,n,source' ELSE 'lang,n,source,tags' END AS names, source, n_chars::VARCHAR AS n FROM documents")
 def payload_scalars(spark: SparkSession, d: str) -> DataFrame:
-    fields = F.create_map(F.lit("source"), "source", F.lit("lang"), "lang", F.lit("n"), F.col("n_chars").cast("string"), F.lit("tags"), F.lit("[1, 2]"), F.lit("box"), F.lit('{"a": 1}'), F.lit("none"), F.lit("null"), F.lit("gone"), F.lit(None).cast("string"))
+    third = F.col("doc_id") % 3
+    lang = F.when(third != 0, F.col("lang"))
+    tags = F.when(third == 2, F.col("source")).otherwise(F.concat(F.lit("["), F.col("n_chars").cast("string"), F.lit(", 2]")))
+    box = F.to_json(F.struct("lang", "source"))
+    fields = F.create_map(F.lit("source"), "source", F.lit("lang"), lang, F.lit("n"), F.col("n_chars").cast("string"), F.lit("tags"), tags, F.lit("box"), box, F.lit("none"), F.lit("null"))
     kept = text.scalar_payload(fields)
     return read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("names"), kept["source"].alias("source"), kept["n"].alias("n"))
 
@@ -378,9 +386,14 @@ def coherence_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.coherence_report(rows).withColumn("mean_coherence", F.round("mean_coherence", 9))
 
 
-@query("SELECT event_id, (user_id % 7 + event_id % 11)::BIGINT AS total_tokens FROM events")
+@query("""SELECT event_id, (user_id % 7 + event_id % 11 + CASE WHEN event_id % 3 = 0 THEN user_id % 5 ELSE 0 END + length(event_type) + CASE WHEN user_id % 2 = 0 THEN event_id % 13 ELSE 0 END)::BIGINT AS total_tokens
+  FROM events""")
 def token_totals(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "events").select("event_id", (F.col("user_id") % 7).alias("prompt_tokens"), (F.col("event_id") % 11).alias("completion_tokens"), F.lit(None).cast("long").alias("judge_prompt_tokens"))
+    user, event = F.col("user_id"), F.col("event_id")
+    rows = read(spark, d, "events").select(
+        "event_id", (user % 7).alias("prompt_tokens"), (event % 11).alias("completion_tokens"), F.when(event % 3 == 0, user % 5).alias("judge_prompt_tokens"),
+        F.length("event_type").cast("long").alias("judge_completion_tokens"), F.when(user % 2 == 0, event % 13).alias("embedding_tokens"),
+    )
     return evaluation.total_tokens(rows).select("event_id", "total_tokens")
 
 

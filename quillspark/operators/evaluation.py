@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.metrics import nearest_rank
 from quillspark.functions.text import jaccard
 from quillspark.tables import staged
 
@@ -97,25 +98,37 @@ def total_tokens(records: DataFrame) -> DataFrame:
     return records.withColumn("total_tokens", sum(have, F.lit(0)))
 
 
+def numbered(rows: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """``rows`` numbered from 1 within ``by`` in the order of ``order``; a large group is numbered in many tasks, from the
+    counts of its ranges."""
+    ranged = staged(rows.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(by, "_part").agg(F.count("*").alias("_own"))  # a row per group and range
+    before = counts.withColumn("_before", F.sum("_own").over(Window.partitionBy(by).orderBy("_part")) - F.col("_own")).drop("_own")
+    within = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order))
+    placed = ranged.withColumn(name, within).join(before, [by, "_part"])
+    return placed.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def rolling_drift(rows: DataFrame, every: int = 100, width: int = 1000, recent: int = 20, dims: int = 32, threshold: float = 0.15) -> DataFrame:
     """Drift checks over (namespace, seq, vector): after each ``every`` vectors of a namespace the mean of the last
     ``recent`` against the mean of the last ``width``, both cut to ``dims`` and normalised: (namespace, seen, distance, drifted).
+
+    Vectors are summed in blocks that all three lengths are multiples of; only the sums are read in order. A seq is a key
+    of its namespace, which isn't null.
     """
-    order = Window.partitionBy("namespace").orderBy("seq")
-    parts = rows.withColumn("seen", F.row_number().over(order))
-    # each vector counts in the checks at the next multiples of ``every``, as long as it is among the last ``width``
-    first = F.ceil(F.col("seen") / every).cast("int")
-    last = F.floor((F.col("seen") + width - 1) / every).cast("int")
-    checks = parts.withColumn("check", F.explode(F.sequence(first, F.greatest(first, last)))).where(F.col("check") * every - F.col("seen") < width)
-    total = parts.groupBy("namespace").agg(F.max("seen").alias("_all"))
-    checks = checks.join(total, "namespace").where(F.col("check") * every <= F.col("_all"))
-    x = checks.select("namespace", "check", (F.col("check") * every - F.col("seen") < recent).alias("new"), F.posexplode(F.slice("vector", 1, dims)).alias("d", "x"))
-    x = x.withColumn("x", F.col("x").cast("double"))
-    means = x.groupBy("namespace", "check", "d").agg(F.avg("x").alias("a"), F.avg(F.when(F.col("new"), F.col("x"))).alias("b"))
-    per = means.groupBy("namespace", "check").agg(F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum(F.col("a") * F.col("b")).alias("ab"))
+    block = math.gcd(every, width, recent)
+    parts = numbered(rows.select("namespace", "seq", "vector"), "namespace", "seq", "seen")
+    parts = parts.withColumn("block", F.ceil(F.col("seen") / block).cast("long"))
+    columns = [F.sum(F.get("vector", F.lit(i)).cast("double")).alias(f"x{i}") for i in range(dims)]
+    sums = parts.groupBy("namespace", "block").agg(F.count("*").alias("n"), F.array(*columns).alias("x")).select("namespace", "block", "n", F.posexplode("x").alias("d", "x"))
+    last = lambda most: Window.partitionBy("namespace", "d").orderBy("block").rowsBetween(1 - most // block, 0)
+    mean = lambda most: F.sum("x").over(last(most)) / F.sum("n").over(last(most))
+    means = sums.select("namespace", (F.col("block") * block).alias("seen"), "n", mean(width).alias("a"), mean(recent).alias("b"))
+    means = means.where((F.col("seen") % every == 0) & (F.col("n") == block))
+    per = means.groupBy("namespace", "seen").agg(F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"), F.sum(F.col("a") * F.col("b")).alias("ab"))
     cosine = F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))
     distance = F.sqrt(F.greatest(2 - 2 * cosine, F.lit(0.0)))  # of two unit vectors
-    return per.select("namespace", (F.col("check") * every).alias("seen"), distance.alias("distance"), (distance > threshold).alias("drifted"))
+    return per.select("namespace", "seen", distance.alias("distance"), (distance > threshold).alias("drifted"))
 
 
 def drift(reference: DataFrame, recent: DataFrame, dims: int = 32, threshold: float = 0.15, least: int = 50) -> DataFrame:
@@ -132,12 +145,6 @@ def drift(reference: DataFrame, recent: DataFrame, dims: int = 32, threshold: fl
     return gap.crossJoin(n).select("n_reference", "distance", F.when(F.col("n_reference") >= least, F.col("distance") > threshold).alias("drifted"))
 
 
-def rolling_mean(rows: DataFrame, order: str, value: str, per: str, width: int = 1000) -> DataFrame:
-    """Mean of the last ``width`` values of each group, the current one included."""
-    frame = Window.partitionBy(per).orderBy(order).rowsBetween(-(width - 1), 0)
-    return rows.withColumn("rolling", F.avg(value).over(frame))
-
-
 def variant_pairs(variants: DataFrame) -> DataFrame:
     """All pairs of a group's variants (pair_id, pos, label, ids) in list order."""
     a = variants.select("pair_id", F.col("pos").alias("pa"), F.col("label").alias("a"), F.col("ids").alias("ia"))
@@ -193,7 +200,3 @@ def sparkline(ledger: DataFrame, value: str, order: str, last: int = 20, glyphs:
     level = F.when(high == low, F.lit(0)).otherwise(F.bround((F.col(value) - low) / (high - low) * (len(glyphs) - 1), 0)).cast("int")
     lines = recent.select(order, F.substring(F.lit(glyphs), level + 1, F.lit(1)).alias("g"))
     return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "g"))), lambda x: x["g"]), "").alias("trend"))
-
-
-def percentile_of(values: Column, p: float) -> Column:
-    return nearest_rank(values, p)

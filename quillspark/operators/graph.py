@@ -27,9 +27,9 @@ def merge_entities(rows: DataFrame) -> DataFrame:
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
-    """Edges of (source_id, relation_type, target_id, weight, chunk_id): the weights of distinct chunks summed."""
-    once = rows.groupBy("source_id", "relation_type", "target_id", "chunk_id").agg(F.max("weight").alias("weight"))
-    out = once.groupBy("source_id", "relation_type", "target_id").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("chunk_id")).alias("source_chunks"))
+    """Edges of (source_id, relation_type, target_id, weight, chunk_id): the weights of all chunks summed, repeats in a chunk
+    included."""
+    out = chunk_edges(rows).groupBy("source_id", "relation_type", "target_id").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("chunk_id")).alias("source_chunks"))
     return out.withColumn("edge_id", edge_id(F.col("source_id"), F.col("relation_type"), F.col("target_id")))
 
 

@@ -459,7 +459,7 @@ def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, sum(w) AS weight FROM (
-  SELECT l_suppkey, l_partkey, l_returnflag, l_orderkey, max(l_quantity) AS w FROM lineitem GROUP BY ALL) WHERE l_suppkey <> l_partkey GROUP BY 1, 2""")
+  SELECT l_suppkey, l_partkey, l_returnflag, l_orderkey, sum(l_quantity) AS w FROM lineitem GROUP BY ALL) WHERE l_suppkey <> l_partkey GROUP BY 1, 2""")
 def edge_weights(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.col("l_returnflag").alias("relation_type"), F.col("l_partkey").alias("target_id"), F.col("l_quantity").alias("weight"), F.col("l_orderkey").alias("chunk_id"))
     return graph.undirected(graph.merge_edges(rows))

@@ -189,6 +189,14 @@ def pair_checks(pairs: DataFrame, vectors: DataFrame, related: float = 0.65, unr
     return scored.select("a", "b", "expected", "similarity", ok.alias("passed"))
 
 
+def text_pair_checks(pairs: DataFrame, texts: DataFrame, most: int = 512, related: float = 0.65, unrelated: float = 0.35) -> DataFrame:
+    """``pair_checks`` of pairs (a, b, expected) of ``texts`` (chunk_id, text), whose first ``most`` characters are embedded."""
+    from quillspark.plans.models import embedded
+
+    opening = texts.select("chunk_id", F.substring(F.coalesce("text", F.lit("")), 1, most).alias("text"))
+    return pair_checks(pairs, embedded(opening, "text", "vector"), related, unrelated)
+
+
 GLYPHS = "▁▂▃▄▅▆▇█"
 
 

@@ -64,8 +64,11 @@ def resolve_names(names: DataFrame, entities: DataFrame) -> DataFrame:
     return names.join(one, "name")
 
 
-def neighbours(starts: DataFrame, edges: DataFrame, hops: int = 2, relation: str | None = None, both_ways: bool = False) -> DataFrame:
-    """(start, node, depth) of the nodes within ``hops`` of ``starts`` (start), each at its least depth; the start is none."""
+def neighbours(starts: DataFrame, edges: DataFrame, hops: int = 2, relation: str | None = None, both_ways: bool = False, most: int | None = None) -> DataFrame:
+    """(start, node, depth) of the nodes within ``hops`` of ``starts`` (start), each at its least depth; the start is none.
+
+    Only edges of the ``relation`` count, if one is given, and ``most`` nodes of a start stay, by depth and then by name.
+    """
     used = edges if relation is None else edges.where(F.col("relation_type") == relation)
     steps = used.select(F.col("source_id").alias("node"), F.col("target_id").alias("next"))
     if both_ways:
@@ -77,7 +80,8 @@ def neighbours(starts: DataFrame, edges: DataFrame, hops: int = 2, relation: str
         found = front.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
         front = found.join(reached.select("start", "node"), ["start", "node"], "left_anti")
         reached = reached.union(front.withColumn("depth", F.lit(depth)))
-    return reached.where("depth > 0")
+    reached = reached.where("depth > 0")
+    return reached if most is None else ordered_limit(reached, "start", most, "depth", "node")
 
 
 def induced(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:

@@ -204,3 +204,22 @@ def embedded(rows: DataFrame, text: str, vector: str, dim: int = 64) -> DataFram
             yield pdf.assign(**{vector: list(embed(pdf[text].tolist(), dim))})
 
     return rows.mapInPandas(run, f"{fields}, `{vector}` array<float>")
+
+
+def embedded_by_model(rows: DataFrame, text: str, vector: str, model: str, clients: dict[str, Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """``rows`` with the embedding of a text column by the model that each row names: a call for each model of a batch.
+
+    Rows of a model without a client, and null texts, have null vectors.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            for name, part in pdf[pdf[text].notna()].groupby(model):
+                if name in clients:
+                    for i, v in zip(part.index, clients[name](part[text].tolist()), strict=True):
+                        out[i] = v
+            yield pdf.assign(**{vector: out})
+
+    return rows.mapInPandas(run, f"{fields}, `{vector}` array<float>")

@@ -492,6 +492,14 @@ def khop(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(starts, _places(spark, d), 2)
 
 
+@query("""WITH e AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation),
+x AS (SELECT 'n' || n AS start, 'r' || r AS node, 1 AS depth FROM e UNION ALL SELECT 'n' || a.n, 'n' || b.n, 2 FROM e a JOIN e b ON a.r = b.r AND a.n <> b.n)
+SELECT start, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS k FROM x) WHERE k <= 4""")
+def khop_related(spark: SparkSession, d: str) -> DataFrame:
+    starts = read(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("start"))
+    return graph.neighbours(starts, _places(spark, d), 2, relation="PART_OF", both_ways=True, most=4)
+
+
 @query("SELECT 'r' || n_regionkey AS start, 'n' || n_nationkey AS source_id, 'r' || n_regionkey AS target_id FROM nation")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
     starts = read(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start"))

@@ -74,6 +74,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10
 
 
+def _mod97(alnum: Column) -> Column:
+    """A string of digits and A-Z modulo 97, letters as 10 to 35."""
+    step = lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.regexp_extract_all(F.upper(alnum), F.lit("."), F.lit(0)), F.lit(0), step)
+
+
 def _kind(e: Column) -> Column:
     """Type of a matched string; null where it is no valid entity (a failed check sum, an octet over 255, a mere line)."""
     whole = lambda k: e.rlike(f"^(?:{PATTERNS[k]})$")
@@ -115,8 +121,10 @@ def _parts(kind: Column, e: Column) -> Column:
     last = F.struct(F.concat(F.lit("surname:"), _script(F.element_at(names, -1))).alias("type"), _stem(F.element_at(names, -1), gender).alias("key"))
     first = F.struct(F.concat(F.lit("given:"), _script(names[0]), F.lit(":"), gender).alias("type"), F.lower(names[0]).alias("key"))
     plain = F.when(kind == "email", F.lower(e)).when(kind.isin("card", "phone", "ssn", "iban"), _alnum(e)).otherwise(e)
+    domain = F.struct(F.lit("domain").alias("type"), F.substring_index(F.lower(e), "@", -1).alias("key"))
     return (
         F.when(kind == "person", F.when(F.size(names) > 1, F.array(first, last)).otherwise(F.array(last)))
+        .when(kind == "email", F.array(F.struct(kind.alias("type"), plain.alias("key")), domain))
         .when(kind.isNotNull(), F.array(F.struct(kind.alias("type"), plain.alias("key"))))
         .otherwise(F.array().cast("array<struct<type:string,key:string>>"))
     )
@@ -162,21 +170,23 @@ def _candidate(secret: str, attempt: int) -> Column:
     t, k = F.col("type"), F.col("key")
     h = _draw(secret, t, k, attempt)
     tail = F.substring(_in_shape(F.lit("0" * 20), h), F.lit(1), F.lit(attempt))
-    domain = F.substring_index(k, "@", -1)
-    tld = F.substring_index(domain, ".", -1)
-    labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld))
-    email = F.concat(_in_shape(F.substring_index(k, "@", 1), h), tail, F.lit("@"), _in_shape(labels, _draw(secret, F.lit("domain"), domain, 0)), tld)
+    # an address is drawn within its domain, and the domain by itself
+    email = F.concat(_in_shape(F.substring_index(k, "@", 1), h), tail, F.lit("@"), F.substring_index(k, "@", -1))
+    tld = F.substring_index(k, ".", -1)
+    letters = F.substring(_in_shape(F.lit("a" * 20), h), F.lit(1), F.lit(attempt))
+    domain = F.concat(_in_shape(F.substring(k, F.lit(1), F.length(k) - F.length(tld) - 1), h), letters, F.lit("."), tld)
     n = F.length(k)
     body = F.concat(F.substring(k, F.lit(1), F.lit(1)), F.substring(_in_shape(k, h), F.lit(2), n - 2))
     card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
-    country = F.greatest(n - 10, F.lit(0))
-    phone = F.concat(F.substring(k, F.lit(1), country), (_at(h, F.lit(77), 8) + 2).cast("string"), F.substring(_in_shape(k, h), country + 2, n))
+    prefix = F.greatest(n - 10, F.lit(0))
+    phone = F.concat(F.substring(k, F.lit(1), prefix), (_at(h, F.lit(77), 8) + 2).cast("string"), F.substring(_in_shape(k, h), prefix + 2, n))
     ssn = F.concat((_at(h, F.lit(78), 8) + 1).cast("string"), F.substring(_in_shape(k, h), F.lit(2), n))
     ip = F.concat_ws(".", *[(_at(h, F.lit(80 + i), 223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
-    iban = F.concat(F.substring(k, F.lit(1), F.lit(2)), F.substring(_in_shape(k, h), F.lit(3), n))
+    country, account = F.substring(k, F.lit(1), F.lit(2)), F.substring(_in_shape(k, h), F.lit(5), n)
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     kept = F.regexp_extract(k, "^(?:AKIA|ghp_|sk-)", 0)
     out = (
-        F.when(t == "email", email).when(t == "card", card).when(t == "phone", phone).when(t == "ssn", ssn).when(t == "ip", ip)
+        F.when(t == "email", email).when(t == "domain", domain).when(t == "card", card).when(t == "phone", phone).when(t == "ssn", ssn).when(t == "ip", ip)
         .when(t == "iban", iban).when(t == "secret", F.concat(kept, F.substring(_in_shape(k, h), F.length(kept) + 1, n)))
     )
     for script, syllables in SYLLABLES.items():
@@ -217,6 +227,19 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     raise ValueError("no free surrogates are left for some entities")
 
 
+def one_person(entities: DataFrame, secret: str) -> DataFrame:
+    """``surrogates``, with given names after a neutral title as after the man's or woman's title that the name has
+    elsewhere in the corpus (of both, the woman's); without one they are drawn from all names."""
+    entities = entities.distinct()
+    base = F.regexp_extract("type", "^(given:[a-z]+):", 1).alias("base")
+    gendered = entities.where(F.col("type").rlike("^given:[a-z]+:[mf]$")).groupBy(base, "key").agg(F.min("type").alias("as_type"))
+    neutral = entities.where(F.col("type").rlike("^given:[a-z]+:n$")).select(base, "type", "key")
+    other = materialize(neutral.join(gendered, ["base", "key"]).select("type", "key", "as_type"), "neutral-names")
+    mapping = surrogates(entities.join(other, ["type", "key"], "left_anti"), secret)
+    named = mapping.withColumnRenamed("type", "as_type").join(other, ["as_type", "key"])
+    return mapping.unionByName(named.select("type", "key", "surrogate"))
+
+
 def _layout(original: Column, fill: Column) -> Column:
     """``fill`` laid out with the separators of ``original``."""
     chars = F.transform(
@@ -240,11 +263,12 @@ def _render(entity: Column, held: Column) -> Column:
     of = F.transform(_parts(kind, whole), lambda p: held[F.concat_ws(":", p["type"], p["key"])])
     title = F.regexp_extract(e, rf"^(?:{_TITLES})\.? ", 0)
     female = (_gender(whole) == "f") & e.rlike(r"\p{IsCyrillic}$")
+    address = F.concat(F.substring_index(of[0], "@", 1), F.lit("@"), F.get(of, 1))
     return (
         F.when(kind.isNull(), e)
         .when(kind == "person", F.concat(title, F.array_join(of, " "), F.when(female, "а").otherwise("")))
         .when(kind.isin("card", "phone", "ssn", "iban"), _layout(e, of[0]))
-        .when((kind == "email") & (e == F.upper(e)), F.upper(of[0]))
+        .when(kind == "email", F.when(e == F.upper(e), F.upper(address)).otherwise(address))
         .otherwise(of[0])
     )
 
@@ -274,20 +298,24 @@ def surrogate_texts(docs: DataFrame, secret: str = KEY, id_col: str = "doc_id",
     and titled names (Latin, Cyrillic, Greek); in a text with a titled name also that name without its title and its
     bare surname. The same entity gets the same surrogate in every document and in every spelling of its separators;
     a surname keeps its surrogate with or without a given name or title. Digits stay digits, letters letters,
-    separators stay; card check sums hold; names keep gender and script.
+    separators stay; check digits of cards and accounts hold; names keep gender and script, and a person with a neutral
+    title the gender of their other titles. Addresses of one domain share its surrogate, and domains stay distinct.
     Null texts stay null with 0 entities, as do texts without an entity; an empty table stays empty; rows that
     share or lack an id are handled one by one, as ``id_col`` is not read. A column n_entities of the input is replaced.
     Rows with entities are written once, cut at their entities; the others pass straight through.
     """
-    text = F.col(text_col)
     docs = docs.drop("n_entities")
     columns = docs.columns
-    hinted = F.coalesce(text.rlike(_HINT), F.lit(False))
+    hinted = F.coalesce(F.col(text_col).rlike(_HINT), F.lit(False))
     # nulls must land on one side; a text with the hint alone may still lack an entity
-    plain = docs.where(~(hinted & (F.regexp_count(text, F.lit(_ANY)) > 0))).withColumn("n_entities", F.lit(0))
+    plain = docs.where(~(hinted & (F.regexp_count(F.col(text_col), F.lit(_ANY)) > 0))).withColumn("n_entities", F.lit(0))
+    # whatever the input's columns are called, they travel in one
+    rest = F.struct(F.lit(True).alias("kept"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns) if c != text_col])
+    text = F.col("text")
     # explode keeps each step from being computed again for the next
     once = lambda df, column, name: df.select("*", F.explode(F.array(column)).alias(name))
-    marked = once(docs.where(hinted), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), "_found").where(F.size("_found") > 0)
+    hints = docs.where(hinted).select(rest.alias("rest"), F.col(text_col).alias("text"))
+    marked = once(hints, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), "_found").where(F.size("_found") > 0)
     marked = once(marked, _untitled(F.col("_found")), "_titles")
     named = F.size(F.map_keys("_titles")) > 0
     pattern = F.when(named, F.concat(F.lit(_ANY), _name_pattern(F.col("_titles")))).otherwise(F.lit(_ANY))
@@ -300,13 +328,13 @@ def surrogate_texts(docs: DataFrame, secret: str = KEY, id_col: str = "doc_id",
         return F.struct(kind.alias("kind"), e.alias("e"), title.alias("title"))
 
     marked = marked.select(
-        *[c for c in columns if c != text_col], F.transform("_found", entity).alias("_e"), F.split(text, F.col("_pattern"), -1).alias("_gaps"), F.monotonically_increasing_id().alias("_row")
+        "rest", F.transform("_found", entity).alias("_e"), F.split(text, F.col("_pattern"), -1).alias("_gaps"), F.monotonically_increasing_id().alias("_row")
     )
     marked = materialize(marked, "marked")  # from here on a row is known by its number
     parts = F.explode(_parts(F.col("_e.kind"), _titled(F.col("_e"))))
     found = marked.select("_row", F.explode(F.array_distinct("_e")).alias("_e")).select("_row", parts.alias("p")).select("_row", "p.type", "p.key").distinct()
     found = materialize(found, "found")
-    mapping = surrogates(found.select("type", "key"), secret)
+    mapping = one_person(found.select("type", "key"), secret)
     held = (
         found.join(mapping, ["type", "key"])
         .groupBy("_row")
@@ -316,7 +344,8 @@ def surrogate_texts(docs: DataFrame, secret: str = KEY, id_col: str = "doc_id",
     new = F.transform("_e", lambda x: _render(x, F.col("_held")))
     rebuilt = F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.try_element_at(new, i + 1), F.lit("")))), "")
     count = F.size(F.filter("_e", lambda x: x["kind"].isNotNull()))
-    changed = joined.withColumns({"n_entities": count, text_col: rebuilt}).select(*columns, "n_entities")
+    back = [rebuilt.alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(columns)]
+    changed = joined.select(*back, count.alias("n_entities"))
     return plain.unionByName(changed)
 
 
@@ -326,6 +355,13 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the columns of ``docs`` with surrogates in the texts and ``n_chars`` counted anew."""
-    out = surrogate_texts(docs).drop("n_entities")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    """Pipeline stage: the columns of ``docs``, whatever they are called, with surrogates in the texts and ``n_chars``
+    counted anew."""
+    columns = docs.columns
+    aside = "n_entities"
+    while aside in columns:
+        aside += "_"
+    out = surrogate_texts(docs.withColumnRenamed("n_entities", aside) if aside != "n_entities" else docs).drop("n_entities")
+    out = out.withColumnRenamed(aside, "n_entities") if aside != "n_entities" else out
+    out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
+    return out.select(*[F.col(f"`{c}`") for c in columns])

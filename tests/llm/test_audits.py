@@ -71,7 +71,7 @@ def test_codes_of_odd_tables(spark):
 
 def test_ball_tree_finds_the_nearest_with_ties():
     rng = np.random.default_rng(5)
-    for entries, spread in ((256, 3), (256, 900), (40, 1), (1, 9)):
+    for entries, spread in ((256, 3), (256, 900), (40, 1), (1, 9), (256, (1 << 26) - 1)):  # the last beyond exact floats
         x = rng.integers(-spread, spread + 1, (entries, 6))
         q = np.concatenate([rng.integers(-spread, spread + 1, (500, 6)), x])
         index, far = vector_codes.BallTree(x, leaf=4).nearest(q)

@@ -263,3 +263,27 @@ def test_packing(spark, odd_docs, no_docs):
     assert packing.pack(no_docs, path).count() == 0
     ids = np.array([*Tokenizer.from_file(path).encode("one two", add_special_tokens=False).ids, 0], dtype="<u4")
     assert got[got["doc_id"] == 4]["ids_crc32"].tolist() == [zlib.crc32(ids.tobytes())]
+
+
+def test_sketches_never_cut_a_link():
+    rng = np.random.default_rng(1)
+    cut = 0
+    for n in (1, 3, 40, 300, 700, 3000):
+        for percent in (80, 85):
+            for _ in range(60):
+                shared, own = int(n * rng.uniform(0, 1)), rng.integers(0, 8, 2) if n < 40 else rng.integers(0, n // 2, 2)
+                whole = rng.integers(0, 1 << 63, shared + int(own.sum()), dtype=np.uint64)
+                a, b = np.unique(whole[: shared + own[0]]), np.unique(np.concatenate([whole[:shared], whole[shared + own[0] :]]))
+                if not len(a) or not len(b):
+                    continue
+                both = len(np.intersect1d(a, b))
+                bits = [np.unpackbits(np.frombuffer(ngram_join._bits(x), dtype=np.uint8)).astype(bool) for x in (a, b)]
+                overlap = min(len(a) - (bits[0] & ~bits[1]).sum(), len(b) - (bits[1] & ~bits[0]).sum())
+                assert overlap >= both
+                linked = 100 * both >= percent * (len(a) + len(b) - both)
+                room = ngram_join._room(ngram_join._sketch(a), ngram_join._sketch(b), percent)
+                assert room or not linked
+                cut += not room
+    assert cut > 100
+    full = ngram_join._sketch(np.zeros(300, dtype=np.uint64))  # one cell overflows: nothing is known
+    assert full[8 * ngram_join.WORDS :] == b"" and ngram_join._room(full, full, 80)

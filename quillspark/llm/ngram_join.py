@@ -43,6 +43,10 @@ PART = 256
 PIVOT_ROUNDS = 1
 #: Shingles for each cell of a set's histogram, at most about, and the fewest cells.
 CELL, CELLS = 2, 64
+#: Steps of a shingle's place within a set's prefix.
+PLACES = 256
+#: Words of 64 bits of a set's bit signature.
+WORDS = 16
 #: Rows of a side that may be broadcast (some 40 bytes each); a longer one is shuffled.
 BROADCAST_ROWS = 200_000
 #: Prefix shingles of one bucket, at most about.
@@ -171,21 +175,21 @@ def _prefixes(width: int, percent: int, order, buckets: int):
             counts = [len(h[0]) for h in held]
             hi = np.repeat(np.array([h[1] for h in held], dtype=np.uint64), counts)
             step = np.repeat(np.array([h[2] for h in held], dtype=np.int16), counts)
-            near = np.concatenate([np.arange(len(h[0])) < h[3] for h in held])
+            place = np.concatenate([np.arange(n) * PLACES // n for n in counts]).astype(np.uint8)
             bucket = ((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             bucket = np.where(order.value.is_hot(s), buckets + (hi % np.uint64(buckets)).astype(np.int64), bucket)
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by])) + 1
             parts = np.split(by, cuts)
-            columns = [pa.array([v[p].tobytes() for p in parts], pa.binary()) for v in (s, hi, step, near)]
-            return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *columns], names=["bucket", "s", "hi", "step", "near"])
+            columns = [pa.array([v[p].tobytes() for p in parts], pa.binary()) for v in (s, hi, step, place)]
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *columns], names=["bucket", "s", "hi", "step", "place"])
 
         for batch in batches:
             for s in shingle_sets(batch.column("text"), width):
                 if (n := len(s)) and (marks := _marks_of(s)) not in seen:
                     seen.add(marks)
                     prefix = order.value.sort(s)[: prefix_length(n, percent)]
-                    held.append((prefix, marks[0], _step(n, percent), n - least_overlap(n, n, percent) + 1))
+                    held.append((prefix, marks[0], _step(n, percent)))
                     size += len(prefix)
                     if size >= COUNTED // 2:
                         yield packed()
@@ -198,30 +202,42 @@ def _prefixes(width: int, percent: int, order, buckets: int):
 
 def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
     join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), dtype=kind)
-    return join("s", np.int64), join("hi", np.int64), join("step", np.int16).astype(np.int64), join("near", np.bool_)
+    return join("s", np.int64), join("hi", np.int64), join("step", np.int16).astype(np.int64), join("place", np.uint8).astype(np.int64)
 
 
-def _shared_rows(buckets: int):
-    """Rows of a bucket whose shingle another set of like size has; one of the two must be in its nearer prefix."""
+def _shared_rows(buckets: int, percent: int):
+    """Rows of a bucket whose shingle another set of like size has; one of the two must be in its nearer prefix, which a
+    set of equal size would have."""
+    nearer = PLACES * 100 // (100 + percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, hi, step, near = _unpacked(pdf)
+        s, hi, step, place = _unpacked(pdf)
         if pdf["bucket"].iloc[0] < buckets:
             by = np.lexsort((hi, step, s))
-            s, hi, step, near = s[by], hi[by], step[by], near[by]
+            s, hi, step, place = s[by], hi[by], step[by], place[by]
             once = np.concatenate(([True], (s[1:] != s[:-1]) | (hi[1:] != hi[:-1])))
-            s, hi, step, near = s[once], hi[once], step[once], near[once]
+            s, hi, step, place = s[once], hi[once], step[once], place[once]
             group = np.cumsum(np.concatenate(([0], s[1:] != s[:-1]))) * 65536 + step
             low = np.searchsorted(group, group - SIZE_STEPS - 1, side="left")
             high = np.searchsorted(group, group + SIZE_STEPS + 1, side="right")
+            near = place <= nearer
             nears = np.concatenate(([0], np.cumsum(near)))
             keep = np.where(near, high - low > 1, nears[high] - nears[low] > 0)
-            s, hi, near = s[keep], hi[keep], near[keep]
-        return pd.DataFrame({"s": s, "hi": hi, "near": near})
+            s, hi, place = s[keep], hi[keep], place[keep]
+        return pd.DataFrame({"s": s, "hi": hi, "place": place.astype(np.int32)})
 
     return run
 
 
+def _in_reach(percent: int) -> str:
+    """Condition that two sets of n1, n2 shingles may link if the shingle at places q1, q2 is the first that they share: on
+    either side no more may come before it than the least overlap leaves."""
+    least = f"(({percent} * (n1 + n2) + {99 + percent}) div {100 + percent})"
+    # a place is rounded down, so its shingle stands at q * prefix / PLACES or after
+    side = lambda q, n: f"{q} * ({n} + 1 - (({percent} * {n} + 99) div 100)) <= {PLACES} * ({n} - {least}) + {PLACES - 1}"
+    return f"{side('q1', 'n1')} and {side('q2', 'n2')}"
+
+
 #: Bytes of a shingle's hash that travel with a set.
 _HASH_BYTES = 6
 
@@ -243,11 +259,37 @@ def _histogram(s: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def _bits(s: np.ndarray) -> bytes:
+    """A bit for each value of ten bits of the shingles' hashes."""
+    held = np.zeros(64 * WORDS, dtype=bool)
+    held[((s >> np.uint64(20)) & np.uint64(64 * WORDS - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    return _bits(s) + _histogram(s)
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"rep": pdf["rep"], "w": [np.frombuffer(v, dtype="<i8", count=WORDS) for v in pdf["value"]]})
+
+
+def _bit_room(percent: int) -> str:
+    """Condition that the bit signatures w1, w2 of sets of n1, n2 shingles leave room for the least overlap: each bit that
+    only one of them has stands for a shingle that only it has."""
+    apart = lambda a, b: " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(WORDS))
+    overlap = f"least(n1 - ({apart('w1', 'w2')}), n2 - ({apart('w2', 'w1')}))"
+    return f"{100 + percent} * {overlap} >= {percent} * (n1 + n2)"
+
+
 def _room(a: bytes, b: bytes, percent: int) -> bool:
     """Whether two histograms leave room for the least overlap: the sum of the smaller cells bounds the intersection.
 
-    The finer one is folded to the cells of the other; one that overflowed bounds nothing.
+    They follow the bits of the sketches. The finer one is folded to the cells of the other; one that overflowed bounds
+    nothing.
     """
+    a, b = a[8 * WORDS :], b[8 * WORDS :]
     if not a or not b:
         return True
     x, y = (np.frombuffer(h, dtype=np.uint8).astype(np.int32) for h in (a, b))
@@ -444,14 +486,21 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     classes = materialize(marks.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
     whole = marks.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_parts(spark), whole * (100 - percent) // 100 // BUCKET_ROWS + 1)
-    packed = docs.select("text").mapInArrow(_prefixes(width, percent, order, buckets), "bucket int, s binary, hi binary, step binary, near binary")
-    met = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets), "s long, hi long, near boolean")
+    packed = docs.select("text").mapInArrow(_prefixes(width, percent, order, buckets), "bucket int, s binary, hi binary, step binary, place binary")
+    met = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets, percent), "s long, hi long, place int")
     # by members; a mark's first half may stand for several classes, which then just meet more
-    rows = met.join(classes.where("rep is not null"), "hi").groupBy("s", "rep", "n", "hi", "lo").agg(F.max("near").alias("near"))
+    rows = met.join(classes.where("rep is not null"), "hi").groupBy("s", "rep", "n", "hi", "lo").agg(F.min("place").alias("place"))
     # the shingles that lead to anyone, and the smallest member there as the group's pivot
     rows = materialize(rows, "rows-all")
-    shared = rows.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct("rep", "hi", "lo")).alias("pivot"), F.max("rep").alias("last"))
-    rows = materialize(rows.join(shared.where("pivot.rep <> last"), "s").drop("last"), "rows")
+    # shingles that the same members have, as those of a shared passage, stand for each other: their rows become one
+    # (rows of different members that met by chance would only be compared with more)
+    mark = lambda *c: F.bit_xor(F.xxhash64(*c))
+    shared = rows.groupBy("s").agg(
+        F.count("*").alias("c"), F.min(F.struct("rep", "hi", "lo")).alias("pivot"), F.max("rep").alias("last"),
+        mark("rep", "hi", "lo").alias("x1"), mark("lo", "rep", "hi").alias("x2"),
+    ).where("pivot.rep <> last")
+    alike_rows = rows.join(shared.select("s", "c", "pivot", F.xxhash64("c", "x1", "x2").alias("k")), "s").groupBy(F.col("k").alias("s"), "rep", "n", "hi", "lo")
+    rows = materialize(alike_rows.agg(F.min("place").alias("place"), F.max("c").alias("c"), F.min("pivot").alias("pivot")), "rows")
 
     best = rows.groupBy("rep", "hi", "lo").agg(F.max(F.struct("c", "s", "pivot")).alias("k")).select("rep", "hi", "lo", "k.*")
     best = best.withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
@@ -492,14 +541,14 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         """Rows of the shingles whose members are in several components."""
         now = rows.join(labels, "rep")
         open_ = now.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("s")
-        return materialize(now.select("s", "rep", "n", "near", "label").join(open_, "s"), "open")
+        return materialize(now.select("s", "rep", "n", "place", "label").join(open_, "s"), "open")
 
     alike = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     for _ in range(PIVOT_ROUNDS):
         left = undecided(labels)
         if histograms is None:
             open_members = materialize(members.join(left.select("rep").distinct(), "rep"), "open-members")
-            histograms = materialize(values(open_members, _histogram), "histograms")
+            histograms = materialize(values(open_members, _sketch), "histograms")
         firsts = left.groupBy("s", "label").agg(F.min(F.struct("rep", "n")).alias("m"))
         pivot = firsts.groupBy("s").agg(F.min("m").alias("p"))
         pairs = firsts.join(pivot, "s").where("m.rep <> p.rep").selectExpr("p.rep a", "m.rep b", "p.n n1", "m.n n2").where(alike)
@@ -508,10 +557,10 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
             break
         labels = _merge(labels, links)
     left = undecided(labels)
-    one = left.selectExpr("s", "rep a", "n n1", "near p1", "label l1")
-    two = left.selectExpr("s", "rep b", "n n2", "near p2", "label l2")
-    # the smaller of the two has the shingle in its nearer prefix
-    pairs = one.join(two, "s").where(f"a < b and l1 <> l2 and {alike} and if(n1 < n2, p1, if(n2 < n1, p2, p1 and p2))").select("a", "b").distinct()
+    left = left.join(histograms.select("rep", "value").mapInPandas(_words, "rep long, w array<long>"), "rep")
+    one = left.selectExpr("s", "rep a", "n n1", "place q1", "label l1", "w w1")
+    two = left.selectExpr("s", "rep b", "n n2", "place q2", "label l2", "w w2")
+    pairs = one.join(two, "s").where(f"a < b and l1 <> l2 and {alike} and {_in_reach(percent)} and {_bit_room(percent)}").select("a", "b").distinct()
     labels = _merge(labels, verified(pairs))
 
     of_class = classes.join(labels, "rep", "left").select("n", "hi", "lo", F.coalesce("label", "rep").alias("component_id"))

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
 The tree is fitted on a bounded sample and broadcast; every vector is put into its leaf. A query walks the tree
-with a priority queue of branches, nearest centre first, and takes leaves until the calibrated number is reached.
+with a priority queue of branches, nearest centre first, and takes leaves until they hold as many vectors as were needed
+for sample vectors that lie as far from their leaf's centre, and never fewer than it asks for.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ BRANCHES = 12
 #: Sample vectors below which a node stays a leaf. Small enough to prune, large enough that a query's list of leaves
 #: is short beside the vectors it spares.
 LEAF = 160
-#: Queries of the sample and the recall on them that sets the number of leaves.
-CALIBRATED, RECALL = 300, 0.94
+#: Sample vectors are parted by their distance from their leaf's centre at these shares, counted from the farthest; so many
+#: of each part are searched for, and the recall that they reach on average sets what the part needs.
+FARTHEST, CALIBRATED, RECALL = (0.002, 0.005, 0.01, 0.02, 0.05, 0.2, 0.5), 60, 0.94
 #: Vectors, and queries, of one part of a leaf.
 PART = 2000
 SEED = 11
@@ -63,29 +65,38 @@ class Tree:
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of unit vectors."""
-        out = np.zeros(len(x), dtype=np.int64)
+        return self.placed(x)[0]
+
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each row of unit vectors, and the squared distance from the leaf's centre."""
+        out, far = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
         stack = [(0, np.arange(len(x)))] if self.centres else []
         while stack:
             node, rows = stack.pop()
             c = self.centres[node]
-            near = np.argmax(x[rows] @ c.T - 0.5 * (c * c).sum(1), axis=1)
+            score = x[rows] @ c.T - 0.5 * (c * c).sum(1)
+            near = np.argmax(score, axis=1)
             for k, child in enumerate(self.children[node]):
                 part = rows[near == k]
                 if child < 0:
                     out[part] = -1 - child
+                    far[part] = 1 - 2 * score[near == k, k]
                 elif len(part):
                     stack.append((child, part))
-        return out
+        return out, far
 
-    def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves, best bin first: the queue holds open branches by distance to their centres."""
+    def visit(self, q: np.ndarray, sizes: np.ndarray, vectors: float) -> list[int]:
+        """The first leaves, best bin first, that hold ``vectors`` vectors by their ``sizes``: the queue holds open branches
+        by distance to their centres."""
         if not self.centres:
             return [0]
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < leaves:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and held < vectors:
             _, node = heapq.heappop(queue)
             if node < 0:
-                out.append(-1 - node)
+                if sizes[-1 - node]:
+                    out.append(-1 - node)
+                    held += int(sizes[-1 - node])
                 continue
             c = self.centres[node]
             for d, child in zip(((c - q) ** 2).sum(1).tolist(), self.children[node], strict=True):
@@ -93,17 +104,32 @@ class Tree:
         return out
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float = RECALL, queries: int = CALIBRATED) -> int:
-    """The fewest leaves with which the sample's own nearest neighbours are found to ``recall`` on average."""
-    leaf = tree.leaf_of(x)
-    places = []
-    for i in range(0, len(x), max(1, len(x) // queries)):
-        near = x @ x[i]
-        near[i] = -2
-        wanted = leaf[np.argsort(-near, kind="stable")[:k]]
-        order = {v: p for p, v in enumerate(tree.visit(x[i], tree.leaves))}
-        places += [order[w] + 1 for w in wanted]
-    return int(np.quantile(places, recall, method="higher")) if places else 1
+def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float = RECALL, queries: int = CALIBRATED) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, shares): by squared distance from the leaf's centre, the least share of all vectors with which the nearest
+    neighbours of the sample's own vectors are found to ``recall`` on average. Far vectors are calibrated by themselves, as
+    what suffices for the many within classes would miss theirs."""
+    leaf, far = tree.placed(x)
+    sizes = np.bincount(leaf, minlength=max(1, tree.leaves))
+    order = np.argsort(-far, kind="stable")
+    cuts = np.unique([0, *(int(f * len(x)) for f in FARTHEST), len(x)])
+    edges, shares = [], []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        needed = []
+        for i in order[a:b][:: max(1, (b - a) // queries)]:
+            near = x @ x[i]
+            near[i] = -2
+            wanted = leaf[np.argsort(-near, kind="stable")[:k]]
+            seen = tree.visit(x[i], sizes, len(x))
+            reach = dict(zip(seen, np.cumsum(sizes[seen]).tolist(), strict=True))
+            needed += [reach[w] / len(x) for w in wanted]
+        edges.append(float(far[order[b - 1]]))  # the nearest of this part
+        shares.append(float(np.quantile(needed, recall, method="higher")))
+    return np.array(edges[::-1]), np.array(shares[::-1])
+
+
+def share_of(far: np.ndarray, edges: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The share of all vectors to visit for queries at these squared distances; ``edges`` ascend, and each begins a part."""
+    return shares[np.clip(np.searchsorted(edges, far, side="right") - 1, 0, len(shares) - 1)]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -121,11 +147,13 @@ def _leaves(tree):
     return run
 
 
-def _visits(tree, leaves: int):
+def _visits(tree, plan, sizes: np.ndarray, least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"query_id": pdf["query_id"], "leaves": [tree.value.visit(q, leaves) for q in unit(matrix(pdf["v"]))]})
+                x = unit(matrix(pdf["v"]))
+                vectors = np.maximum(share_of(tree.value.placed(x)[1], *plan) * sizes.sum(), least)
+                yield pd.DataFrame({"query_id": pdf["query_id"], "leaves": [tree.value.visit(q, sizes, n) for q, n in zip(x, vectors.tolist(), strict=True)]})
 
     return run
 
@@ -157,8 +185,8 @@ def _nearest(k: int):
 def neighbours(vectors: DataFrame, queries: Column, k: int, sample: int = SAMPLE) -> DataFrame:
     """The ``k`` nearest rows by cosine of the rows of ``vectors`` (vec_id, embedding) for which ``queries`` holds.
 
-    Rows (query_id, rank, vec_id, score), nearest first, ties to the smaller vec_id. All rows are indexed; the
-    sample only fits the tree. Leaves are searched in parts of at most about PART vectors by PART queries, so a
+    Rows (query_id, rank, vec_id, score), nearest first, ties to the smaller vec_id; fewer only where there are fewer
+    candidates. All rows are indexed; the sample only fits the tree. Leaves are searched in parts of at most about PART vectors by PART queries, so a
     leaf that holds a third of all rows is spread out. Vectors null, empty, zero or with null or non-finite
     components take no part; of rows that share a vec_id each is a candidate, none for its own id's queries, and the
     smallest vector asks. All vectors must have one length. An empty table gives no rows. Other columns, whatever
@@ -171,13 +199,19 @@ def neighbours(vectors: DataFrame, queries: Column, k: int, sample: int = SAMPLE
     tree = Tree(x) if len(x) else None
     if tree is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    leaves = calibrate(tree, x, k)
+    plan = calibrate(tree, x, k)
     shared = spark.sparkContext.broadcast(tree)
     kind = rows.schema["v"].dataType.simpleString()
     placed = materialize(rows.mapInPandas(_leaves(shared), f"vec_id long, v {kind}, leaf long"), "leaves")
+    # a row per leaf, and the leaves are bounded by the sample
+    sizes = np.zeros(max(1, tree.leaves), dtype=np.int64)
+    for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
+    # as many as are asked for must be left when those of the query's own id are taken off
+    own = placed.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     # the walk through the tree is spread over the cluster; only numbers come out of it
     vectors_asked = materialize(asking(rows, queries, "v").repartition(shuffle_parts(spark), "query_id"), "asked")
-    visits = vectors_asked.mapInPandas(_visits(shared, leaves), "query_id long, leaves array<long>")
+    visits = vectors_asked.mapInPandas(_visits(shared, plan, sizes, k + own), "query_id long, leaves array<long>")
     asked = materialize(visits.select("query_id", F.explode("leaves").alias("leaf")), "visits")
     # how many parts each leaf has: a row per leaf, and the leaves are bounded by the sample
     vparts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("vparts"))

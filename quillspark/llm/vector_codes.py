@@ -66,7 +66,10 @@ class BallTree:
 
     def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, squared distance) of the nearest entry of each row of ``q``; integers."""
-        self._q = q
+        self._q, self._squares = q, (q * q).sum(1)
+        largest = max(int(np.abs(q).max(initial=0)), int(np.abs(self.entries).max(initial=0)))
+        # products in floating point where no sum can be rounded
+        self._exact = 4 * largest * largest * max(1, q.shape[1]) < 1 << 52
         self._best = np.full(len(q), np.iinfo(np.int64).max)
         self._index = np.full(len(q), len(self.entries))
         #: Distances computed, for the share that the tree spares.
@@ -78,14 +81,24 @@ class BallTree:
     def _to(self, entry: int, rows: np.ndarray) -> np.ndarray:
         return ((self._q[rows] - self.entries[entry]) ** 2).sum(1)
 
+    def _between(self, rows: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Squared distances of the rows from entries, integers."""
+        x = self.entries[members]
+        if not self._exact:
+            return ((self._q[rows][:, None] - x[None]) ** 2).sum(2)
+        products = (self._q[rows].astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+        return self._squares[rows][:, None] + (x * x).sum(1) - 2 * products
+
     def _visit(self, node: int, rows: np.ndarray) -> None:
         """Search a node for ``rows``, all of which may have their nearest entry there."""
         if not self.children[node]:
-            for e in self.members[node].tolist():
-                d = self._to(e, rows)
-                self.tested += len(rows)
-                better = (d < self._best[rows]) | ((d == self._best[rows]) & (e < self._index[rows]))
-                self._best[rows[better]], self._index[rows[better]] = d[better], e
+            members = self.members[node]
+            d = self._between(rows, members)
+            self.tested += d.size
+            at = d.argmin(1)  # members ascend, so ties go to the lower index
+            d, e = d[np.arange(len(rows)), at], members[at]
+            better = (d < self._best[rows]) | ((d == self._best[rows]) & (e < self._index[rows]))
+            self._best[rows[better]], self._index[rows[better]] = d[better], e[better]
             return
         a, b = self.children[node]
         fars = [_down(self._to(self.vantage[c], rows)) for c in (a, b)]

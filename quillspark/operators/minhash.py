@@ -14,14 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize
-from quillspark.operators.dedup import keep_greedy
-from quillspark.tables import bounded_batches, staged
+from quillspark.operators.dedup import greedy_dropped
+from quillspark.operators.gramsets import gram_sets, grams, reaching, unpacked  # noqa: F401
+from quillspark.tables import staged
 
 THRESHOLD, K = 0.85, 3
 BANDS, ROWS = 16, 8
 PERMUTATIONS = BANDS * ROWS
 #: Members of a band that meet in one task; larger bands are cut into blocks, and each pair of blocks is a task.
 BLOCK = 256
+#: Rows of small bands that share a task.
+GROUP_ROWS = 20_000
 #: Rounds in which the earliest row of each band is compared with the others, before all pairs that are left.
 ROUNDS = 3
 #: Signatures that agree in fewer places than the threshold by so much are no candidates: four standard deviations.
@@ -32,16 +35,6 @@ _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + n
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
-def grams(text: str, k: int = K) -> np.ndarray:
-    """The sorted distinct character ``k``-grams of a text, each as one number (21 bits a character, so ``k`` is 3 at most)."""
-    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    n = max(0, len(c) - k + 1)
-    code = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        code = (code << np.uint64(21)) | c[j : j + n]
-    return np.unique(code)
-
-
 def signature(codes: np.ndarray) -> np.ndarray:
     """The least value of each permutation over the grams."""
     out = np.full(PERMUTATIONS, np.iinfo(np.uint32).max, dtype=np.uint32)
@@ -64,10 +57,16 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _code(codes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The lowest byte of each place of the signature and the bands' numbers as bytes, and these numbers."""
+    bands = band_hashes(sig := signature(codes))
+    return sig.astype(np.uint8).tobytes() + bands.tobytes(), bands
+
+
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sigs = [signature(grams(t)) for t in pdf["t"]]
-        yield pd.DataFrame({"id": pdf["id"], "sig": [s.tobytes() for s in sigs], "bands": [band_hashes(s) for s in sigs]})
+        codes = [_code(unpacked(g)) for g in pdf["g"]]
+        yield pd.DataFrame({"id": pdf["id"], "sig": [s for s, _ in codes], "bands": [b for _, b in codes]})
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -77,8 +76,17 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 def signatures(texts: DataFrame) -> DataFrame:
     """(id, sig, bands) of ``texts`` (id, t); those shorter than a gram have none."""
-    bounded_batches(texts.sparkSession)
-    return texts.where(F.length("t") >= K).mapInPandas(_signed, "id long, sig binary, bands array<long>")
+    return _signatures(gram_sets(texts, K))
+
+
+def _signatures(sets: DataFrame) -> DataFrame:
+    return sets.select("id", "g").mapInPandas(_signed, "id long, sig binary, bands array<long>")
+
+
+def _first_sets(docs: DataFrame) -> DataFrame:
+    """(id, n, g) of one row of each normalised text of ``docs`` (id, text) that has a gram; sets travel, texts don't."""
+    normal = docs.select("id", normalize(F.col("text")).alias("t")).withColumn("h", F.sha2("t", 256))
+    return gram_sets(normal, K, "h").groupBy("h").agg(F.min_by(F.struct("id", "n", "g"), "id").alias("x")).select("x.*")
 
 
 def _members(signed: DataFrame) -> DataFrame:
@@ -93,19 +101,23 @@ def _shared(members: DataFrame) -> DataFrame:
 
 def _alike(threshold: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        band, _, low, high = key
-        ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(ids), PERMUTATIONS)
-        left = np.flatnonzero(block == low)
-        right = left if low == high else np.flatnonzero(block == high)
+        _, low, high = key
+        pdf = pdf.sort_values(["band", "h", "id"], kind="stable")
+        ids, block, band, h = (pdf[c].to_numpy() for c in ("id", "block", "band", "h"))
+        code = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(ids), -1)
+        places, numbers = code[:, :PERMUTATIONS], np.ascontiguousarray(code[:, PERMUTATIONS:]).view(np.int64)
+        cuts = [*np.flatnonzero((np.diff(band, prepend=-1) != 0) | (np.diff(h, prepend=h[0]) != 0)), len(ids)]
         out = []
-        for i in left:
-            others = right[ids[right] > ids[i]] if low == high else right
-            same = sig[others] == sig[i]
-            whole = same.reshape(len(others), BANDS, ROWS).all(2)
-            # a pair counts in the first band that it shares only
-            hit = (same.mean(1) >= threshold - _SLACK) & (whole.argmax(1) == band) & whole[:, band]
-            out.append(np.column_stack([np.full(hit.sum(), ids[i]), ids[others[hit]]]))
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            left = x + np.flatnonzero(block[x:y] == low)
+            right = left if low == high else x + np.flatnonzero(block[x:y] == high)
+            for at, i in enumerate(left):
+                others = right[at + 1 :] if low == high else right
+                # a pair counts in the first band that it shares only
+                others = others[(numbers[others] == numbers[i]).argmax(1) == band[x]]
+                others = others[(places[others] == places[i]).mean(1) >= threshold - _SLACK]
+                if len(others):
+                    out.append(np.column_stack([np.full(len(others), ids[i]), ids[others]]))
         pairs = np.sort(np.concatenate(out), axis=1) if out else np.empty((0, 2), dtype=np.int64)
         return pd.DataFrame(pairs, columns=["a", "b"])
 
@@ -113,55 +125,32 @@ def _alike(threshold: float):
 
 
 def candidates(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (id, sig, bands) that share a band and whose signatures nearly agree, each once."""
-    held = _shared(_members(signed)).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    """Pairs (a, b), a < b, of rows (id, sig, bands) that share a band and whose signatures nearly agree, each once.
+
+    Bands of a block or less share tasks, many to one; of larger ones each pair of blocks is its own.
+    """
+    held = staged(_shared(_members(signed)).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "held")
     held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = held.select("band", "h", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", "h", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    groups = max(1, -(-held.count() // GROUP_ROWS))
+    group = F.when(F.col("blocks") > 1, F.xxhash64("band", "h")).otherwise(F.pmod(F.xxhash64("band", "h"), F.lit(groups)))
+    dealt = held.withColumn("group", group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "h", "group", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     whole = dealt.join(signed.select("id", "sig"), "id")
-    return whole.groupBy("band", "h", "low", "high").applyInPandas(_alike(threshold), "a long, b long")
-
-
-def _checked(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            known: dict[str, np.ndarray] = {}
-            out = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                x, y = (known.setdefault(t, grams(t)) if t not in known else known[t] for t in (ta, tb))
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if (score := both / (len(x) + len(y) - both)) >= threshold:
-                    out.append((a, b, score))
-            yield pd.DataFrame(out, columns=["a", "b", "jaccard"])
-
-    return run
-
-
-def checked(pairs: DataFrame, left: DataFrame, right: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b, jaccard) of ``pairs`` whose texts (id, t) reach the threshold."""
-    right = left if right is None else right
-    whole = pairs.join(left.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(right.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    bounded_batches(pairs.sparkSession)
-    return whole.mapInPandas(_checked(threshold), "a long, b long, jaccard double")
+    tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return whole.repartition(tasks, "group", "low", "high").groupBy("group", "low", "high").applyInPandas(_alike(threshold), "a long, b long")
 
 
 def minhash_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b, jaccard) as ``near_pairs`` gives them, of rows of ``docs`` (id, text) that share a band. Pairs of one
     large family are all listed; ``minhash_keep`` doesn't need them."""
-    texts = staged(distinct_texts(docs), "texts")
-    signed = staged(signatures(texts), "signatures")
-    return checked(candidates(signed, threshold), texts, threshold=threshold)
+    sets = staged(_first_sets(docs), "sets")
+    signed = staged(_signatures(sets), "signatures")
+    return reaching(candidates(signed, threshold), sets, threshold)
 
 
-def keep_first(texts: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """The rows (id, t) of ``texts``, distinct ones, that are kept in order of id: all that are not similar to a kept one.
-
-    A row that is the earliest of all its bands is kept, and what is similar to it goes; a large family is so reduced to
-    its kept rows by as many comparisons as it has members. After ``rounds`` such rounds, pairs of what is left decide.
-    """
-    signed = staged(signatures(texts), "signatures")
+def _dropped(sets: DataFrame, threshold: float, rounds: int) -> DataFrame:
+    """The ids of ``sets`` (id, n, g) that ``keep_first`` leaves out."""
+    signed = staged(_signatures(sets), "signatures")
     members = staged(_members(signed), "members")
     dropped = None
     for _ in range(rounds):
@@ -170,20 +159,31 @@ def keep_first(texts: DataFrame, threshold: float = THRESHOLD, rounds: int = ROU
         firsts = staged(firsts, "kept")
         pairs = shared.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
         pairs = pairs.join(firsts.withColumnRenamed("id", "a"), "a", "left_semi")
-        gone = staged(checked(pairs, texts, threshold=threshold).select(F.col("b").alias("id")).distinct(), "dropped")
+        gone = staged(reaching(pairs, sets, threshold).select(F.col("b").alias("id")).distinct(), "dropped")
         dropped = gone if dropped is None else dropped.union(gone)
         # what is kept has met all that share a band with it
         members = staged(shared.select("band", "h", "id").join(firsts.union(gone), "id", "left_anti"), "members")
         if members.isEmpty():
             break
-    kept = texts.join(dropped, "id", "left_anti") if dropped is not None else texts
     left = signed.join(members.select("id").distinct(), "id", "left_semi")
-    return keep_greedy(kept, staged(checked(candidates(left, threshold), texts, threshold=threshold), "pairs"))
+    pairs = staged(reaching(candidates(staged(left, "left"), threshold), sets, threshold), "pairs")
+    gone = greedy_dropped(pairs)
+    return gone if dropped is None else dropped if gone is None else dropped.union(gone)
+
+
+def keep_first(texts: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+    """The rows (id, t) of ``texts``, distinct ones, that are kept in order of id: all that are not similar to a kept one.
+
+    A row that is the earliest of all its bands is kept, and what is similar to it goes; a large family is so reduced to
+    its kept rows by as many comparisons as it has members. After ``rounds`` such rounds, pairs of what is left decide.
+    """
+    return texts.join(_dropped(staged(gram_sets(texts, K), "sets"), threshold, rounds), "id", "left_anti")
 
 
 def minhash_keep(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """The ids of ``docs`` (id, text) that stay: in order of id, each distinct text that no kept one is similar to."""
-    return keep_first(staged(distinct_texts(docs), "texts"), threshold, rounds).select("id")
+    first = docs.groupBy(F.sha2(F.coalesce(normalize(F.col("text")), F.lit("\x00null")), 256)).agg(F.min("id").alias("id")).select("id")
+    return first.join(_dropped(staged(_first_sets(docs), "sets"), threshold, rounds), "id", "left_anti")
 
 
 class BandIndex:
@@ -214,7 +214,12 @@ class BandIndex:
         fresh = staged(_without(texts, self.texts(batch)), "fresh")
         mine = _members(signatures(fresh))
         met = mine.withColumnRenamed("id", "b").join(self.bands(batch).withColumnRenamed("id", "a"), ["band", "h"]).select("a", "b").distinct()
-        similar = checked(met, self.texts(batch), fresh, threshold).select(F.col("b").alias("id")).distinct()
+        known = self.texts(batch).join(met.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+        # both sides may use the same ids: what is known has even ones here
+        sets = gram_sets(known, K).withColumn("id", F.col("id") * 2).union(gram_sets(fresh, K).withColumn("id", F.col("id") * 2 + 1))
+        met = met.select((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b"))
+        similar = reaching(met, staged(sets, "sets"), threshold).select(F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("id"))
+        similar = similar.select(F.shiftright("id", 1).alias("id")).distinct()
         kept = staged(keep_first(staged(fresh.join(similar, "id", "left_anti"), "new"), threshold), "kept")
         for name, rows in (("texts", kept), ("bands", _members(signatures(kept)).select("band", "h", "id"))):
             rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")

@@ -66,6 +66,13 @@ def test_large_bands_are_cut(spark, monkeypatch):
     assert sorted(map(tuple, minhash.candidates(signed).collect())) == whole and len(set(whole)) == len(whole)
 
 
+def test_small_bands_share_tasks(spark):
+    docs = spark.createDataFrame(list(enumerate(families())), "id long, text string")
+    signed = minhash.signatures(minhash.distinct_texts(docs))
+    plan = minhash.candidates(signed)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas [group#" in plan and len(signed.first()["sig"]) == 256
+
+
 def test_recall_on_a_whole_table(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents").select(F.col("doc_id").alias("id"), "text")
     exact, got = pairs_of(dedup.near_pairs(docs)), pairs_of(minhash.minhash_pairs(docs))

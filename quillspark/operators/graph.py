@@ -193,15 +193,32 @@ def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] =
 
 
 def local_search(queries: DataFrame, entities: DataFrame, edges: DataFrame, mentioned: DataFrame, hops: int = 2, k: int = 10) -> DataFrame:
-    """Chunks near the entities that queries (query_id, text) name: (query_id, chunk_id, rank), by depth, then chunk_id."""
+    """Chunks near the entities that queries (query_id, text) name: (query_id, chunk_id, depth, rank), by depth, then chunk_id.
+
+    A query goes a hop further only while it has fewer than ``k`` hits; so of an entity its 2k - 1 first chunks are enough:
+    fewer than k of them can be hits of a lower depth.
+    """
     names = queries.select("query_id", F.explode(capitalised(F.col("text"))).alias("name")).withColumn("name", F.lower("name"))
-    found = resolve_names(names, entities)
-    near = neighbours(found.select(F.col("node_id").alias("start")).distinct(), edges, hops)
-    nodes = found.select("query_id", F.col("node_id").alias("start")).join(near, "start").select("query_id", "node", "depth")
-    nodes = nodes.union(found.select("query_id", "node_id", F.lit(0)))
-    hits = nodes.join(mentioned.select(F.col("node_id").alias("node"), "chunk_id"), "node").groupBy("query_id", "chunk_id").agg(F.min("depth").alias("depth"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("depth", "chunk_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    # by dense rank, as a chunk may be mentioned twice
+    first = mentioned.select(F.col("node_id").alias("node"), "chunk_id", F.dense_rank().over(Window.partitionBy("node_id").orderBy("chunk_id")).alias("_n"))
+    first = staged(first.where(F.col("_n") < 2 * k).select("node", "chunk_id"))
+    steps = edges.select(F.col("source_id").alias("node"), F.col("target_id").alias("next"))  # few are joined, so repeats don't matter
+    best = Window.partitionBy("query_id").orderBy("depth", "chunk_id")
+
+    def hits(nodes: DataFrame, depth: int, known: DataFrame | None) -> DataFrame:
+        found = nodes.join(first, "node").select("query_id", "chunk_id", F.lit(depth).alias("depth"))
+        found = (found if known is None else known.union(found)).groupBy("query_id", "chunk_id").agg(F.min("depth").alias("depth"))
+        return staged(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+
+    front = reached = staged(resolve_names(names, entities).select("query_id", F.col("node_id").alias("node")).distinct())
+    found = hits(front, 0, None)
+    for depth in range(1, hops + 1):
+        full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+        going = front.join(full, "query_id", "left_anti")
+        after = going.join(steps, "node").select("query_id", F.col("next").alias("node")).distinct()
+        front = staged(after.join(reached, ["query_id", "node"], "left_anti"))
+        reached, found = reached.union(front), hits(front, depth, found)
+    return found.withColumn("rank", F.row_number().over(best))
 
 
 def entity_search(queries: DataFrame, entities: DataFrame, k: int = 10, entity_type: str | None = None) -> DataFrame:

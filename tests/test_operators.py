@@ -167,6 +167,34 @@ def test_graph(spark):
     assert rows(found, "node") == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")]
 
 
+def test_local_search_reads_the_first_chunks_of_a_frequent_name(spark):
+    rng = random.Random(3)
+    mentioned = sorted({(rng.randrange(400), f"n{min(int(rng.expovariate(0.4)), 20)}") for _ in range(1500)} | {(900 + i, f"n{30 + i}") for i in range(6)})
+    links = [("n30", "n31"), ("n31", "n32"), ("n32", "n0"), ("n33", "n30"), ("n34", "n35"), ("n0", "n1")]
+    asked = [(1, "Mno"), (2, "Abc"), (3, "Def Abc"), (4, "Ghi"), (5, "Jkl Ghi"), (6, "Nowhere")]
+    names = {"n30": "mno", "n0": "abc", "n33": "def", "n34": "ghi", "n31": "jkl"}
+    queries_ = spark.createDataFrame(asked, "query_id long, text string")
+    entities = spark.createDataFrame(list(names.items()), "node_id string, name string")
+    edges = spark.createDataFrame(links + links[:2], "source_id string, target_id string")
+    rows_ = spark.createDataFrame([(c, n) for c, n in mentioned + mentioned[:50]], "chunk_id long, node_id string")
+    for hops in (1, 2, 3):
+        got, want = {}, {}
+        out = graph.local_search(queries_, entities, edges, rows_, hops, 10)
+        for r in out.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["depth"], r["chunk_id"]))
+        for q, text_ in asked:
+            depth = {n: 0 for n, name in names.items() if name in text_.lower().split()}
+            for d in range(1, hops + 1):
+                depth |= {b: d for a, b in links if depth.get(a) == d - 1 and b not in depth}
+            best = {}
+            for c, n in mentioned:
+                if n in depth:
+                    best[c] = min(best.get(c, 99), depth[n])
+            if first := sorted((d, c) for c, d in best.items())[:10]:
+                want[q] = first
+        assert got == want
+
+
 def test_communities_split_two_cliques(spark):
     pairs = [(a, b) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w")]
     edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a string, b string, weight double")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.text import decoded, non_empty, strip
+from quillspark.tables import bounded_batches
 
 # fixed values: the file kinds that are scanned
 EXTENSIONS = ("pdf", "docx", "md", "txt", "html", "png", "jpg", "jpeg")
@@ -173,6 +174,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def html_elements(pages: DataFrame) -> DataFrame:
     """Elements of ``pages`` (doc_id, html): rows (doc_id, pos, category, depth, text); parsing is the only Python step."""
+    bounded_batches(pages.sparkSession)
     return pages.select("doc_id", "html").mapInPandas(_parse, ELEMENT)
 
 

@@ -240,3 +240,14 @@ def test_other_tokenizer_and_reranker(spark):
     hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_id long, chunk_id string, rank int")
     scores = spark.createDataFrame([(1, "c", 0.9), (1, "b", 0.1)], "query_id long, chunk_id string, rerank_score double")
     assert [r["chunk_id"] for r in search.rescored(hits, scores).orderBy("rank").collect()] == ["c", "b", "a"]
+
+
+def test_parsers_take_texts_in_bounded_batches(spark):
+    from quillspark.sources import files
+
+    held = "spark.sql.execution.arrow.maxBytesPerBatch"
+    pages = spark.createDataFrame([(1, "<h1>A</h1><p>b</p>")], "doc_id long, html string")
+    chunks, wanted = spark.createDataFrame([(1, "New Cat")], "chunk_id long, text string"), spark.createDataFrame([("Cat",)], "name string")
+    for run in (lambda: files.html_elements(pages), lambda: graph.entity_coverage(chunks, wanted)):
+        spark.conf.unset(held)
+        assert run().count() > 0 and int(spark.conf.get(held)) <= 8 << 20

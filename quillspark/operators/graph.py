@@ -91,15 +91,21 @@ def induced(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     return ends.join(near.withColumnRenamed("node", "source_id"), "source_id").join(near.withColumnRenamed("node", "target_id"), ["start", "target_id"]).select("start", "source_id", "target_id").distinct()
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """A side of a join that holds rows by node: shuffled, never sent through the driver, as it grows with the graph and is
+    joined many times."""
+    return side.hint("merge")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) lead to, by label propagation with pointer jumping."""
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = staged(nodes.select("node").distinct().withColumn("component", F.col("node")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
+        near = both.join(_dealt(labels.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.min("component").alias("m"))
+        lower = labels.join(_dealt(near.withColumnRenamed("a", "node")), "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
         roots = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = lower.join(roots, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old")
+        jumped = lower.join(_dealt(roots), "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old")
         jumped = staged(jumped)
         labels = jumped.select("node", "component")
         if jumped.where("component <> old").isEmpty():
@@ -109,7 +115,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def modularity(labels: DataFrame, edges: DataFrame, resolution: float = 1.0) -> float:
     """Modularity of ``labels`` (node, community) over ``edges`` (a, b, weight), each edge given once."""
     a, b = labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    both = edges.join(a, "a").join(b, "b")
+    both = edges.join(_dealt(a), "a").join(_dealt(b), "b")
     inside = both.agg(F.sum("weight").alias("m"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("own")).first()
     if not inside["m"]:
         return 0.0
@@ -133,14 +139,14 @@ def local_moves(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
     labels = staged(nodes.select("node").distinct().withColumn("community", F.col("node")))
     best_labels, best, since, turn = labels, modularity(labels, edges, resolution), 0, 0
     while since < 2:
-        sized = labels.join(degree.withColumnRenamed("a", "node"), "node", "left").fillna({"degree": 0.0})
+        sized = labels.join(_dealt(degree.withColumnRenamed("a", "node")), "node", "left").fillna({"degree": 0.0})
         mass = sized.groupBy("community").agg(F.sum("degree").alias("mass"))
-        pull = other.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        pull = pull.join(mass, "community").join(degree, "a").join(labels.select(F.col("node").alias("a"), F.col("community").alias("own")), "a")
+        pull = other.join(_dealt(labels.withColumnRenamed("node", "b")), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        pull = pull.join(_dealt(mass), "community").join(_dealt(degree), "a").join(_dealt(labels.select(F.col("node").alias("a"), F.col("community").alias("own"))), "a")
         others = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)
         gain = F.round(F.col("w") - resolution * F.col("degree") * others / total, 9)
         choice = pull.groupBy("a").agg(F.max(F.struct(gain.alias("g"), (-F.hash("community")).alias("h"), F.col("community").alias("c"))).alias("x"))
-        moved = labels.join(choice.select(F.col("a").alias("node"), "x.c", "x.g"), "node", "left")
+        moved = labels.join(_dealt(choice.select(F.col("a").alias("node"), "x.c", "x.g")), "node", "left")
         mine = F.pmod(F.hash("node"), F.lit(2)) == turn % 2
         moved = staged(moved.select("node", F.when(mine & (F.col("g") > 0), F.col("c")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")))
         labels, turn = moved.select("node", "community"), turn + 1
@@ -155,7 +161,7 @@ def connected_parts(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` (node, community) with each community cut into the parts that its own edges (a, b) connect; a part is
     named by its smallest node. The modularity never falls by it."""
     a, b = labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    inside = edges.join(a, "a").join(b, "b").where("ca = cb and a <> b").select("a", "b")
+    inside = edges.join(_dealt(a), "a").join(_dealt(b), "b").where("ca = cb and a <> b").select("a", "b")
     return components(labels, inside).withColumnRenamed("component", "community")
 
 
@@ -170,14 +176,14 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
     level_nodes, level_edges, best = labels.select("node"), staged(edges.select("a", "b", "weight"), "edges"), modularity(labels, edges, resolution)
     while True:
         parts = staged(connected_parts(local_moves(level_nodes, level_edges, resolution), level_edges), "parts")
-        merged = labels.join(parts.select(F.col("node").alias("community"), F.col("community").alias("next")), "community")
+        merged = labels.join(_dealt(parts.select(F.col("node").alias("community"), F.col("community").alias("next"))), "community")
         merged = staged(merged.select("node", F.col("next").alias("community")), "labels")
         now = modularity(merged, edges, resolution)
         if now <= best + 1e-9:
             return labels
         labels, best, level_nodes = merged, now, parts.select(F.col("community").alias("node")).distinct()
         a, b = parts.select(F.col("node").alias("a"), F.col("community").alias("ca")), parts.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-        ends = level_edges.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "weight")
+        ends = level_edges.join(_dealt(a), "a").join(_dealt(b), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "weight")
         level_edges = staged(ends.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "edges")
 
 

@@ -18,3 +18,20 @@ def test_a_graph_does_not_pass_through_the_driver(spark, monkeypatch):
     found = graph.connected_parts(labels, edges)
     assert {r["community"] for r in found.collect()} == {"a0", "a1", "a2"}
     assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_postings_are_counted_without_a_shuffle_and_the_index_hashes_terms(spark, tmp_path):
+    from quillspark import queries
+    from quillspark.operators import bm25, search
+
+    texts = ["A a b. B-a", "", None, " .. ", "Ünï ² x_y ªb İx Ⅷ 世界 a", "ǅ ß 3.5 naïve", "ȧ b­ c", "Ж ж 1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    split = docs.select("doc_id", bm25.terms(docs.text).alias("t")).collect()
+    want = {(t, r["doc_id"], r["t"].count(t), len(r["t"])) for r in split for t in r["t"] or []}
+    found = search.postings(docs.withColumnRenamed("doc_id", "chunk_id"))
+    assert {tuple(r) for r in found.collect()} == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    out = queries.bm25_index(spark, str(tmp_path))
+    assert {tuple(r)[:4] for r in out.collect()} == want
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()

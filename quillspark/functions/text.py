@@ -62,8 +62,8 @@ def sentences_around_tables(text: Column) -> Column:
 
 def heading_sections(text: Column) -> Column:
     """Sections that begin at headings of depth 1 to 3; by blank lines where there is one only."""
-    at_headings = non_empty(F.split(text, r"(?m)(?=^#{1,3}\s+)"))
-    return F.when(F.size(at_headings) > 1, at_headings).otherwise(non_empty(F.split(text, r"\n\s*\n")))
+    by_blank_lines = non_empty(F.split(text, r"\n\s*\n"))
+    return held(non_empty(F.split(text, r"(?m)(?=^#{1,3}\s+)")), lambda parts: F.when(F.size(parts) > 1, parts).otherwise(by_blank_lines))
 
 
 def heading(text: Column) -> Column:

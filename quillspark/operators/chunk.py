@@ -129,17 +129,20 @@ def merge_back(parts: Column, least: int = 50) -> Column:
 
 def split_large(text: Column, most: int = 512) -> Column:
     """Sentences packed greedily into parts of at most ``most`` tokens; a longer sentence is a part of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-
-    def step(state: Column, s: Column) -> Column:
-        wider = F.when(state["held"] == "", s).otherwise(F.concat(state["held"], F.lit(" "), s))
-        full = (state["held"] != "") & (token_count(wider) > most)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("n"))
+    # each sentence's tokens are counted once; joined by a blank, they add up
+    counted = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), token_count(s).alias("n")))
+
+    def step(state: Column, x: Column) -> Column:
+        n = state["n"] + x["n"]
+        full = (state["held"] != "") & (n > most)
+        wider = F.when(state["held"] == "", x["s"]).otherwise(F.concat(state["held"], F.lit(" "), x["s"]))
         return F.struct(
             F.when(full, F.concat(state["done"], F.array(state["held"]))).otherwise(state["done"]).alias("done"),
-            F.when(full, s).otherwise(wider).alias("held"),
-        )
+            F.when(full, x["s"]).otherwise(wider).alias("held"), F.when(full, x["n"]).otherwise(n).alias("n"),
+        )
 
-    return F.aggregate(sentences(text), start, step, lambda st: F.when(st["held"] == "", st["done"]).otherwise(F.concat(st["done"], F.array(st["held"]))))
+    return F.aggregate(counted, start, step, lambda st: F.when(st["held"] == "", st["done"]).otherwise(F.concat(st["done"], F.array(st["held"]))))
 
 
 def semantic_chunks(segmented: DataFrame, least: int = 50, most: int = 512) -> DataFrame:
@@ -161,8 +164,7 @@ def tree(sections: DataFrame, width: int = 3, least: int = 50) -> DataFrame:
     top = named.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     top = top.select(doc_node.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("document").alias("level"), "doc_id", F.lit(0).alias("pos"), "text")
     middle = named.select(F.col("section_id").alias("node_id"), doc_node.alias("parent_id"), F.lit("section").alias("level"), "doc_id", F.col("section_no").alias("pos"), "text")
-    s = sentences(F.col("text"))
-    small = (F.size(s) <= width) & (token_count(F.col("text")) < least)
+    small = (token_count(F.col("text")) < least) & (F.size(sentences(F.col("text"))) <= width)  # the sentences of few texts only
     parts = F.when(small, F.array("text")).otherwise(merge_back(split_large(F.col("text"), 4 * least), least))
     leaves = named.select("doc_id", "section_id", F.posexplode(parts).alias("pos", "text"))
     leaves = leaves.select(sha("paragraph", F.col("section_id"), F.col("pos").cast("string")).alias("node_id"), F.col("section_id").alias("parent_id"), F.lit("paragraph").alias("level"), "doc_id", "pos", "text")

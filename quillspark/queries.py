@@ -408,8 +408,8 @@ UNION ALL SELECT sha256('paragraph::' || section_id || '::' || pos), section_id,
 
 @query(_tree_sql())
 def chunk_tree(spark: SparkSession, d: str) -> DataFrame:
-    parts = text.heading_sections(F.col("text"))
-    sections = read(spark, d, "documents").select("doc_id", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("text"))).alias("section_no", "text"))
+    parts = text.held(text.heading_sections(F.col("text")), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array("text")))
+    sections = read(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("section_no", "text"))
     return chunk.tree(sections).select("node_id", "parent_id", "level", "doc_id", "pos", text.token_count(F.col("text")).alias("n_tokens"))
 
 

@@ -35,3 +35,16 @@ def test_postings_are_counted_without_a_shuffle_and_the_index_hashes_terms(spark
     out = queries.bm25_index(spark, str(tmp_path))
     assert {tuple(r)[:4] for r in out.collect()} == want
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_are_counted_once_when_packed(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import chunk
+
+    texts = ["One two. Three four five. Six. " + "Long " * 9 + "end. A b.", "", None, "x"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = docs.select(chunk.split_large(F.col("text"), 5).alias("p"))
+    assert [r["p"] for r in found.collect()] == [["One two. Three four five.", "Six.", "Long " * 9 + "end.", "A b."], [], None, ["x"]]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\s+, -1") == 1, plan  # the split into words; packing split all that it held, once for each use

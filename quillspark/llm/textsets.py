@@ -18,6 +18,8 @@ BATCH_BYTES = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Value of each byte in a word's hash.
+_VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -55,7 +57,9 @@ def word_hashes(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.nda
     with np.errstate(over="ignore"):
         up, down = _POWERS.to(len(data) + 1)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        values = _VALUE[data]
+        values *= up[: len(data)]
+        np.cumsum(values, out=sums[1:])
         h = (sums[ends] - sums[starts]) * down[starts]
         return _mix(h + (ends - starts).astype(np.uint64) * _MIX[1]), starts, ends
 
@@ -91,7 +95,11 @@ def _sets(buffers: list, width: int) -> Iterator[np.ndarray]:
         for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
             n = b - a
             if n >= width:
-                yield np.unique(rolled[a : b - width + 1])
+                s = np.sort(rolled[a : b - width + 1])
+                new = np.empty(len(s), dtype=bool)
+                new[0] = True
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                yield s[new]
             elif n:
                 yield _mix(np.array([n], dtype=np.uint64) + np.sum(words[a:b] * (scale[:n] | np.uint64(1)), dtype=np.uint64))
             else:

@@ -12,9 +12,11 @@ meet the threshold share a shingle among the first few of each (the prefix; of t
    of a large group also holds the group's pivot). The sets come from a second pass over the texts, behind a
    bitmap of the members. A part's sets form a trie; each set is matched by a traversal that shares partial
    overlaps and cuts subtrees that can no longer reach the threshold.
-4. What is left, pairs on a shared prefix shingle whose components differ, is joined with the bounds on sizes and
-   places, bounded by small histograms of the sets, and verified: first only between components' smallest members,
-   then all of it. Sets are never stored; the few that a step needs come from a pass over the texts.
+4. What is left, pairs on a shared prefix shingle whose components differ, is joined with bounds on sizes and on
+   the number of shared shingles, bounded by small histograms of the sets, and verified: first only between
+   components' smallest members, then all of it. Sets of like size must share many prefix shingles, not one, so long
+   texts that only share a passage don't meet; and a pair comes from the rarest shingles that it shares, not from
+   all of them. Sets are never stored; the few that a step needs come from a pass over the texts.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import release
@@ -45,6 +47,10 @@ PIVOT_ROUNDS = 1
 CELL, CELLS = 2, 64
 #: Steps of a shingle's place within a set's prefix.
 PLACES = 256
+#: The nearer part of a prefix, in those steps: a shingle that only further parts hold is dropped.
+NEARER = 192
+#: A pair is left to a rarer shingle where that is among so many next ones of both sets.
+RARER = 8
 #: Words of 64 bits of a set's bit signature.
 WORDS = 16
 #: Rows of a side that may be broadcast (some 40 bytes each); a longer one is shuffled.
@@ -205,10 +211,14 @@ def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return join("s", np.int64), join("hi", np.int64), join("step", np.int16).astype(np.int64), join("place", np.uint8).astype(np.int64)
 
 
+def _nearer(percent: int) -> int:
+    """The last place of a prefix's nearer part; it holds the first shingle that sets of equal size share."""
+    return max(NEARER, PLACES * 100 // (100 + percent))
+
+
 def _shared_rows(buckets: int, percent: int):
-    """Rows of a bucket whose shingle another set of like size has; one of the two must be in its nearer prefix, which a
-    set of equal size would have."""
-    nearer = PLACES * 100 // (100 + percent)
+    """Rows of a bucket whose shingle another set of like size has; one of the two must have it in its nearer part."""
+    nearer = _nearer(percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s, hi, step, place = _unpacked(pdf)
@@ -223,19 +233,26 @@ def _shared_rows(buckets: int, percent: int):
             near = place <= nearer
             nears = np.concatenate(([0], np.cumsum(near)))
             keep = np.where(near, high - low > 1, nears[high] - nears[low] > 0)
-            s, hi, place = s[keep], hi[keep], place[keep]
-        return pd.DataFrame({"s": s, "hi": hi, "place": place.astype(np.int32)})
+            s, hi = s[keep], hi[keep]
+        return pd.DataFrame({"s": s, "hi": hi})
 
     return run
 
 
-def _in_reach(percent: int) -> str:
-    """Condition that two sets of n1, n2 shingles may link if the shingle at places q1, q2 is the first that they share: on
-    either side no more may come before it than the least overlap leaves."""
+def _in_common(percent: int) -> str:
+    """Condition that a shingle must lead to the pair of two sets of n1, n2 shingles that share it, if they may link.
+
+    With a least overlap of t, the first n1 - t + k of the one and n2 - t + k of the other share at least k, for every k. It
+    is taken as large as the prefixes hold these, and one nearer part does (so that none of them was dropped). In an
+    order of all shingles by their number of members, the rarest shared one has the others after it: either set has at
+    least k at or after it (``held1``, ``held2``), and none of the rarer ones next to it (``rarer1``, ``rarer2``) is shared.
+    """
     least = f"(({percent} * (n1 + n2) + {99 + percent}) div {100 + percent})"
-    # a place is rounded down, so its shingle stands at q * prefix / PLACES or after
-    side = lambda q, n: f"{q} * ({n} + 1 - (({percent} * {n} + 99) div 100)) <= {PLACES} * ({n} - {least}) + {PLACES - 1}"
-    return f"{side('q1', 'n1')} and {side('q2', 'n2')}"
+    prefix = lambda n: f"({n} + 1 - (({percent} * {n} + 99) div 100))"
+    nearer = lambda n: f"(({_nearer(percent) + 1} * {prefix(n)}) div {PLACES})"
+    room = lambda part, n: f"({part(n)} - {n} + {least})"
+    k = f"greatest(1, least({room(prefix, 'n1')}, {room(prefix, 'n2')}, greatest({room(nearer, 'n1')}, {room(nearer, 'n2')})))"
+    return f"least(held1, held2) >= {k} and not arrays_overlap(rarer1, rarer2)"
 
 
 #: Bytes of a shingle's hash that travel with a set.
@@ -270,17 +287,12 @@ def _sketch(s: np.ndarray) -> bytes:
     return _bits(s) + _histogram(s)
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"rep": pdf["rep"], "w": [np.frombuffer(v, dtype="<i8", count=WORDS) for v in pdf["value"]]})
-
-
-def _bit_room(percent: int) -> str:
-    """Condition that the bit signatures w1, w2 of sets of n1, n2 shingles leave room for the least overlap: each bit that
-    only one of them has stands for a shingle that only it has."""
-    apart = lambda a, b: " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(WORDS))
-    overlap = f"least(n1 - ({apart('w1', 'w2')}), n2 - ({apart('w2', 'w1')}))"
-    return f"{100 + percent} * {overlap} >= {percent} * (n1 + n2)"
+def _bit_room(a: bytes, b: bytes, n1: int, n2: int, percent: int) -> bool:
+    """Whether the bits of two sketches leave room for the least overlap of sets of n1, n2 shingles: each bit that only one of
+    them has stands for a shingle that only it has."""
+    x, y = (np.frombuffer(v, dtype=np.uint64, count=WORDS) for v in (a, b))
+    apart = lambda v, w: int(np.bitwise_count(v & ~w).sum())
+    return (100 + percent) * min(n1 - apart(x, y), n2 - apart(y, x)) >= percent * (n1 + n2)
 
 
 def _room(a: bytes, b: bytes, percent: int) -> bool:
@@ -447,15 +459,36 @@ def _verified(percent: int):
 
 
 def _possible(percent: int):
-    """Pairs whose histograms leave room for the least overlap."""
+    """Pairs whose bits and histograms leave room for the least overlap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.loc[[_room(x, y, percent) for x, y in zip(pdf["x"], pdf["y"], strict=True)], ["a", "b"]]
+            pairs = zip(pdf["x"], pdf["y"], pdf["n1"], pdf["n2"], strict=True)
+            yield pdf.loc[[_bit_room(x, y, n1, n2, percent) and _room(x, y, percent) for x, y, n1, n2 in pairs], ["a", "b"]]
 
     return run
 
 
+def _alike(percent: int) -> str:
+    return f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
+
+
+def _by_rarity(left: DataFrame) -> DataFrame:
+    """Rows (s, rep, n, hi, shingles, label, c) of sets with ``held`` and ``rarer`` as ``_in_common`` takes them; a row stands
+    for so many shingles, c sets have it."""
+    of_set = Window.partitionBy("rep", "n", "hi").orderBy(F.desc("c"), "s")  # an id may have several sets
+    held = F.sum("shingles").over(of_set.rowsBetween(Window.unboundedPreceding, 0))
+    rarer = F.collect_list("s").over(of_set.rowsBetween(1, RARER))
+    return left.select("s", "rep", "n", "label", held.alias("held"), rarer.alias("rarer"))
+
+
+def _pairs_left(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n1, n2) of sets of different labels that may link, by the shared shingles that must lead to them."""
+    one = left.selectExpr("s", "rep a", "n n1", "held held1", "rarer rarer1", "label l1")
+    two = left.selectExpr("s", "rep b", "n n2", "held held2", "rarer rarer2", "label l2")
+    return one.join(two, "s").where(f"a < b and l1 <> l2 and {_alike(percent)} and {_in_common(percent)}").select("a", "b", "n1", "n2")
+
+
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (rep, label) after the links (a, b) between members: components of the labels."""
     if links.isEmpty():
@@ -487,9 +520,9 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     whole = marks.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_parts(spark), whole * (100 - percent) // 100 // BUCKET_ROWS + 1)
     packed = docs.select("text").mapInArrow(_prefixes(width, percent, order, buckets), "bucket int, s binary, hi binary, step binary, place binary")
-    met = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets, percent), "s long, hi long, place int")
+    met = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets, percent), "s long, hi long")
     # by members; a mark's first half may stand for several classes, which then just meet more
-    rows = met.join(classes.where("rep is not null"), "hi").groupBy("s", "rep", "n", "hi", "lo").agg(F.min("place").alias("place"))
+    rows = met.join(classes.where("rep is not null"), "hi").select("s", "rep", "n", "hi", "lo").distinct()
     # the shingles that lead to anyone, and the smallest member there as the group's pivot
     rows = materialize(rows, "rows-all")
     # shingles that the same members have, as those of a shared passage, stand for each other: their rows become one
@@ -500,7 +533,7 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         mark("rep", "hi", "lo").alias("x1"), mark("lo", "rep", "hi").alias("x2"),
     ).where("pivot.rep <> last")
     alike_rows = rows.join(shared.select("s", "c", "pivot", F.xxhash64("c", "x1", "x2").alias("k")), "s").groupBy(F.col("k").alias("s"), "rep", "n", "hi", "lo")
-    rows = materialize(alike_rows.agg(F.min("place").alias("place"), F.max("c").alias("c"), F.min("pivot").alias("pivot")), "rows")
+    rows = materialize(alike_rows.agg(F.count("*").alias("shingles"), F.max("c").alias("c"), F.min("pivot").alias("pivot")), "rows")
 
     best = rows.groupBy("rep", "hi", "lo").agg(F.max(F.struct("c", "s", "pivot")).alias("k")).select("rep", "hi", "lo", "k.*")
     best = best.withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
@@ -524,7 +557,7 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     histograms = None
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of members whose sets meet the threshold."""
+        """The pairs (a, b, n1, n2) of members whose sets meet the threshold."""
 
         def with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
             side = lambda k, v: held.select(F.col("rep").alias(k), F.col("value").alias(v))
@@ -540,10 +573,9 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     def undecided(labels: DataFrame) -> DataFrame:
         """Rows of the shingles whose members are in several components."""
         now = rows.join(labels, "rep")
-        open_ = now.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("s")
-        return materialize(now.select("s", "rep", "n", "place", "label").join(open_, "s"), "open")
+        open_ = now.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).where("l0 <> l1")
+        return materialize(now.select("s", "rep", "n", "hi", "shingles", "label").join(open_.select("s", "c"), "s"), "open")
 
-    alike = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     for _ in range(PIVOT_ROUNDS):
         left = undecided(labels)
         if histograms is None:
@@ -551,16 +583,13 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
             histograms = materialize(values(open_members, _sketch), "histograms")
         firsts = left.groupBy("s", "label").agg(F.min(F.struct("rep", "n")).alias("m"))
         pivot = firsts.groupBy("s").agg(F.min("m").alias("p"))
-        pairs = firsts.join(pivot, "s").where("m.rep <> p.rep").selectExpr("p.rep a", "m.rep b", "p.n n1", "m.n n2").where(alike)
-        links = verified(pairs.select("a", "b").distinct())
+        pairs = firsts.join(pivot, "s").where("m.rep <> p.rep").selectExpr("p.rep a", "m.rep b", "p.n n1", "m.n n2").where(_alike(percent))
+        links = verified(pairs.distinct())
         if links.isEmpty():
             break
         labels = _merge(labels, links)
     left = undecided(labels)
-    left = left.join(histograms.select("rep", "value").mapInPandas(_words, "rep long, w array<long>"), "rep")
-    one = left.selectExpr("s", "rep a", "n n1", "place q1", "label l1", "w w1")
-    two = left.selectExpr("s", "rep b", "n n2", "place q2", "label l2", "w w2")
-    pairs = one.join(two, "s").where(f"a < b and l1 <> l2 and {alike} and {_in_reach(percent)} and {_bit_room(percent)}").select("a", "b").distinct()
+    pairs = _pairs_left(materialize(_by_rarity(left), "held"), percent).distinct()
     labels = _merge(labels, verified(pairs))
 
     of_class = classes.join(labels, "rep", "left").select("n", "hi", "lo", F.coalesce("label", "rep").alias("component_id"))

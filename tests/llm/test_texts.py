@@ -287,3 +287,36 @@ def test_sketches_never_cut_a_link():
     assert cut > 100
     full = ngram_join._sketch(np.zeros(300, dtype=np.uint64))  # one cell overflows: nothing is known
     assert full[8 * ngram_join.WORDS :] == b"" and ngram_join._room(full, full, 80)
+
+
+def test_ngram_classes_of_long_texts_equal_brute_force(spark, monkeypatch):
+    # families around the threshold, some members shorter, in parts of two: most links are left to the last join
+    monkeypatch.setattr(ngram_join, "PART", 2)
+    monkeypatch.setattr(ngram_join, "HOT_FROM", 8)
+    rng = random.Random(6)
+    texts = []
+    for words, edits in ((500, 14), (500, 24), (1500, 45), (90, 4)):
+        for t in family(rng, 14, words, edits):
+            w = t.split()
+            texts.append(" ".join(w[: len(w) - rng.choice((0, 0, 1, len(w) // 20, len(w) // 8))]))
+    ids = rng.sample(range(1000), len(texts))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    for width, percent in ((4, 85), (5, 80)):
+        sets = plain_sets(texts, width)
+        expected = plain_classes(ids, sets, percent)
+        assert 8 < len(set(expected.values())) < len(ids) - 8
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_classes(docs, width, percent).collect()}
+        assert got == {i: (len(s), expected[i]) for i, s in zip(ids, sets, strict=True)}
+
+
+def test_pairs_left_come_from_few_shingles(spark):
+    def pairs(shared, n=2000, members=12):
+        # the members' first shingles are the same, more than one set has the others' rows
+        rows = [(s, rep, n, rep, 1, rep, members) for rep in range(members) for s in range(shared)]
+        rows += [(10_000 * (rep + 1) + s, rep, n, rep, 1, rep, 2) for rep in range(members) for s in range(200 - shared)]
+        left = spark.createDataFrame(rows, "s long, rep long, n long, hi long, shingles long, label long, c long")
+        return ngram_join._pairs_left(ngram_join._by_rarity(left), 80)
+
+    assert pairs(30).count() == 0  # 30 shingles of a passage, in the prefixes of 401, are too few for a link
+    many = pairs(180)
+    assert many.count() == many.distinct().count() == 66  # each pair once, not once for each of 180 shingles

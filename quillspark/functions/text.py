@@ -31,15 +31,10 @@ def non_empty(parts: Column) -> Column:
 
 
 def char_grams(text: Column, k: int = 3) -> Column:
-    """Distinct character k-grams; none for a shorter text. From an array of the characters, as a substring's cost grows
-    with its place in the text."""
-
-    def grams(chars: Column) -> Column:
-        n = F.size(chars)
-        each = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + j) for j in range(k)]))
-        return F.when(n >= k, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
-
-    return held(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), grams)
+    """Distinct character k-grams; none for a shorter text or null. One scan: each match looks ahead by k and moves on by
+    one character."""
+    grams = F.regexp_extract_all(text, F.lit(rf"(?s)(?=({'.' * k}))."), F.lit(1))
+    return F.coalesce(F.array_distinct(grams), F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -104,3 +104,11 @@ def test_predicates(spark):
 def test_decoding(spark):
     rows = spark.createDataFrame([(1, bytearray("é".encode())), (2, bytearray(b"\xe9")), (3, bytearray(b"\xef\xbb\xbfa"))], "i int, b binary")
     assert [r["t"] for r in rows.select("i", text.decoded(F.col("b")).alias("t")).orderBy("i").collect()] == ["é", "é", "a"]
+
+
+def test_char_grams_in_one_scan(spark):
+    grams = text.char_grams(F.col("t"))
+    assert value(spark, grams, t="a\U0001f600b\U0001f600\n\u00e9") == ["a\U0001f600b", "\U0001f600b\U0001f600", "b\U0001f600\n", "\U0001f600\n\u00e9"]
+    assert value(spark, grams, t="aaaa") == ["aaa"] and value(spark, grams, t="") == []
+    assert value(spark, text.char_grams(F.col("t"), 2), t="abab") == ["ab", "ba"]
+    assert "lambda" not in str(grams)  # no array of all characters, no expression run for each gram

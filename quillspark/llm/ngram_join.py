@@ -7,16 +7,17 @@ meet the threshold share a shingle among the first few of each (the prefix; of t
    The order changes the cost only, never the result. The same pass takes each text's set size and a 128-bit mark
    of its set; equal sets collapse to one member.
 2. Prefix shingles go, packed, to buckets of their range, where those that no other set of like size has are
-   dropped. Hot shingles need no such test and stay where they are.
+   dropped and those that the same sets have become one. Hot shingles need no such test and stay where they are.
+   Sets of like size must share many prefix shingles, not one: those that share too few with all others are left.
 3. Members that share prefix shingles meet in parts of bounded size (each goes where most others go; every part
    of a large group also holds the group's pivot). The sets come from a second pass over the texts, behind a
    bitmap of the members. A part's sets form a trie; each set is matched by a traversal that shares partial
    overlaps and cuts subtrees that can no longer reach the threshold.
 4. What is left, pairs on a shared prefix shingle whose components differ, is joined with bounds on sizes and on
    the number of shared shingles, bounded by small histograms of the sets, and verified: first only between
-   components' smallest members, then all of it. Sets of like size must share many prefix shingles, not one, so long
-   texts that only share a passage don't meet; and a pair comes from the rarest shingles that it shares, not from
-   all of them. Sets are never stored; the few that a step needs come from a pass over the texts.
+   components' members that share most, then all of it. Texts that only share a passage don't meet, nor do near copies that
+   differ in more places than a link allows; and a pair comes from the rarest shingles that it shares, not from all
+   of them. Sets are never stored; the few that a step needs come from a pass over the texts.
 """
 
 from __future__ import annotations
@@ -41,14 +42,12 @@ HOT_MOST = 400_000
 COUNTED = 2_000_000
 #: Members of one part of a bucket, its trie held in memory.
 PART = 256
-#: Rounds of matching between the components' smallest members before all pairs that are left.
+#: Rounds of matching between the components' middle members before all pairs that are left.
 PIVOT_ROUNDS = 1
 #: Shingles for each cell of a set's histogram, at most about, and the fewest cells.
 CELL, CELLS = 2, 64
 #: Steps of a shingle's place within a set's prefix.
 PLACES = 256
-#: The nearer part of a prefix, in those steps: a shingle that only further parts hold is dropped.
-NEARER = 192
 #: A pair is left to a rarer shingle where that is among so many next ones of both sets.
 RARER = 8
 #: Words of 64 bits of a set's bit signature.
@@ -213,46 +212,77 @@ def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
 
 def _nearer(percent: int) -> int:
     """The last place of a prefix's nearer part; it holds the first shingle that sets of equal size share."""
-    return max(NEARER, PLACES * 100 // (100 + percent))
+    return PLACES * 100 // (100 + percent)
 
 
 def _shared_rows(buckets: int, percent: int):
-    """Rows of a bucket whose shingle another set of like size has; one of the two must have it in its nearer part."""
+    """Rows of a bucket whose shingle another set of like size has; shingles that the same sets have get one name.
+
+    ``lead`` is set where one of two sets of like size has it in its nearer part, as sets that link share one there.
+    """
     nearer = _nearer(percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s, hi, step, place = _unpacked(pdf)
-        if pdf["bucket"].iloc[0] < buckets:
-            by = np.lexsort((hi, step, s))
-            s, hi, step, place = s[by], hi[by], step[by], place[by]
-            once = np.concatenate(([True], (s[1:] != s[:-1]) | (hi[1:] != hi[:-1])))
-            s, hi, step, place = s[once], hi[once], step[once], place[once]
-            group = np.cumsum(np.concatenate(([0], s[1:] != s[:-1]))) * 65536 + step
-            low = np.searchsorted(group, group - SIZE_STEPS - 1, side="left")
-            high = np.searchsorted(group, group + SIZE_STEPS + 1, side="right")
-            near = place <= nearer
-            nears = np.concatenate(([0], np.cumsum(near)))
-            keep = np.where(near, high - low > 1, nears[high] - nears[low] > 0)
-            s, hi = s[keep], hi[keep]
-        return pd.DataFrame({"s": s, "hi": hi})
+        by = np.lexsort((hi, step, s))
+        s, hi, step, place = s[by], hi[by], step[by], place[by]
+        once = np.concatenate(([True], (s[1:] != s[:-1]) | (hi[1:] != hi[:-1])))
+        s, hi, step, place = s[once], hi[once], step[once], place[once]
+        if pdf["bucket"].iloc[0] >= buckets:
+            return pd.DataFrame({"s": s, "hi": hi, "lead": True})
+        group = np.cumsum(np.concatenate(([0], s[1:] != s[:-1]))) * 65536 + step
+        low = np.searchsorted(group, group - SIZE_STEPS - 1, side="left")
+        high = np.searchsorted(group, group + SIZE_STEPS + 1, side="right")
+        near = place <= nearer
+        nears = np.concatenate(([0], np.cumsum(near)))
+        keep = high - low > 1
+        lead = near | (nears[high] - nears[low] > 0)
+        s, hi, lead = s[keep], hi[keep], lead[keep]
+        return pd.DataFrame({"s": _names(s, hi), "hi": hi, "lead": lead})
 
     return run
 
 
+def _names(s: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For rows ordered by shingle, a hash of the sets that have it."""
+    if not len(s):
+        return s
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    with np.errstate(over="ignore"):
+        sets = hi.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sets = (sets ^ (sets >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        names = np.add.reduceat(sets ^ (sets >> np.uint64(29)), first)
+    return np.repeat(names, np.diff(np.concatenate((first, [len(s)])))).view(np.int64)
+
+
+def _least(percent: int, n: str, m: str) -> str:
+    return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+
+
+def _prefix(percent: int, n: str) -> str:
+    return f"({n} + 1 - (({percent} * {n} + 99) div 100))"
+
+
 def _in_common(percent: int) -> str:
     """Condition that a shingle must lead to the pair of two sets of n1, n2 shingles that share it, if they may link.
 
     With a least overlap of t, the first n1 - t + k of the one and n2 - t + k of the other share at least k, for every k. It
-    is taken as large as the prefixes hold these, and one nearer part does (so that none of them was dropped). In an
+    is taken as large as the prefixes hold these; none that two sets of like size share was dropped. In an
     order of all shingles by their number of members, the rarest shared one has the others after it: either set has at
     least k at or after it (``held1``, ``held2``), and none of the rarer ones next to it (``rarer1``, ``rarer2``) is shared.
     """
-    least = f"(({percent} * (n1 + n2) + {99 + percent}) div {100 + percent})"
-    prefix = lambda n: f"({n} + 1 - (({percent} * {n} + 99) div 100))"
-    nearer = lambda n: f"(({_nearer(percent) + 1} * {prefix(n)}) div {PLACES})"
-    room = lambda part, n: f"({part(n)} - {n} + {least})"
-    k = f"greatest(1, least({room(prefix, 'n1')}, {room(prefix, 'n2')}, greatest({room(nearer, 'n1')}, {room(nearer, 'n2')})))"
-    return f"least(held1, held2) >= {k} and not arrays_overlap(rarer1, rarer2)"
+    room = lambda n: f"({_prefix(percent, n)} - {n} + {_least(percent, 'n1', 'n2')})"
+    return f"least(held1, held2) >= greatest(1, least({room('n1')}, {room('n2')})) and not arrays_overlap(rarer1, rarer2)"
+
+
+def _may_link(percent: int) -> str:
+    """Condition that a row of a set of n shingles may be the rarest one shared with any set of ``low`` to ``high``, as in
+    ``_in_common``: the bound of its own prefix is least for the smallest such set, that of the other's for the largest
+    (but for one, by rounding)."""
+    smallest, largest = f"greatest(low, ({percent} * n + 99) div 100)", f"least(high, 100 * n div {percent})"
+    own = f"({_prefix(percent, 'n')} - n + {_least(percent, 'n', smallest)})"
+    other = f"({_prefix(percent, largest)} - {largest} + {_least(percent, 'n', largest)} - 1)"
+    return f"held >= greatest(1, least({own}, {other}))"
 
 
 #: Bytes of a shingle's hash that travel with a set.
@@ -473,6 +503,34 @@ def _alike(percent: int) -> str:
     return f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
 
 
+def _alike_rows(rows: DataFrame) -> DataFrame:
+    """Rows (s, rep, n, hi, lo, shingles) with the number c of a shingle's members and the ``low`` and ``high`` of their sizes.
+
+    Shingles that the same members have, as those of a shared passage, stand for each other: their rows become one (rows
+    of different members that met by chance would only be compared with more).
+    """
+    mark = lambda *c: F.bit_xor(F.xxhash64(*c))
+    shared = rows.groupBy("s").agg(
+        F.count("*").alias("c"), F.min("rep").alias("first"), F.max("rep").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"),
+        mark("rep", "hi", "lo").alias("x1"), mark("lo", "rep", "hi").alias("x2"),
+    ).where("first <> last")
+    rows = rows.join(shared.select("s", "c", "low", "high", F.xxhash64("c", "x1", "x2").alias("k")), "s").groupBy(F.col("k").alias("s"), "rep", "n", "hi", "lo")
+    return rows.agg(F.sum("shingles").alias("shingles"), F.max("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _able(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (s, rep, n, hi, lo, shingles) of sets that share enough of their prefix with others to link with any.
+
+    ``apart`` is the share of the prefix, in 1/1000, that no other set has: least for the texts in a family's middle.
+    """
+    of_set = Window.partitionBy("rep", "n", "hi")
+    held = F.sum("shingles").over(of_set.orderBy(F.desc("c"), "s").rowsBetween(Window.unboundedPreceding, 0))
+    able = rows.withColumn("held", held).withColumn("able", F.max(F.expr(_may_link(percent))).over(of_set))
+    prefix = _prefix(percent, "n")
+    apart = F.expr(f"1000 * ({prefix} - total) div {prefix}")
+    return able.withColumn("total", F.sum("shingles").over(of_set)).where("able").select("s", "rep", "n", "hi", "lo", "shingles", apart.alias("apart"))
+
+
 def _by_rarity(left: DataFrame) -> DataFrame:
     """Rows (s, rep, n, hi, shingles, label, c) of sets with ``held`` and ``rarer`` as ``_in_common`` takes them; a row stands
     for so many shingles, c sets have it."""
@@ -520,20 +578,16 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     whole = marks.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_parts(spark), whole * (100 - percent) // 100 // BUCKET_ROWS + 1)
     packed = docs.select("text").mapInArrow(_prefixes(width, percent, order, buckets), "bucket int, s binary, hi binary, step binary, place binary")
-    met = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets, percent), "s long, hi long")
+    met = packed.groupBy("bucket").applyInPandas(_shared_rows(buckets, percent), "s long, hi long, lead boolean")
+    met = met.groupBy("s", "hi").agg(F.count("*").alias("shingles"), F.max("lead").alias("lead"))
     # by members; a mark's first half may stand for several classes, which then just meet more
-    rows = met.join(classes.where("rep is not null"), "hi").select("s", "rep", "n", "hi", "lo").distinct()
-    # the shingles that lead to anyone, and the smallest member there as the group's pivot
-    rows = materialize(rows, "rows-all")
-    # shingles that the same members have, as those of a shared passage, stand for each other: their rows become one
-    # (rows of different members that met by chance would only be compared with more)
-    mark = lambda *c: F.bit_xor(F.xxhash64(*c))
-    shared = rows.groupBy("s").agg(
-        F.count("*").alias("c"), F.min(F.struct("rep", "hi", "lo")).alias("pivot"), F.max("rep").alias("last"),
-        mark("rep", "hi", "lo").alias("x1"), mark("lo", "rep", "hi").alias("x2"),
-    ).where("pivot.rep <> last")
-    alike_rows = rows.join(shared.select("s", "c", "pivot", F.xxhash64("c", "x1", "x2").alias("k")), "s").groupBy(F.col("k").alias("s"), "rep", "n", "hi", "lo")
-    rows = materialize(alike_rows.agg(F.count("*").alias("shingles"), F.max("c").alias("c"), F.min("pivot").alias("pivot")), "rows")
+    rows = met.join(classes.where("rep is not null"), "hi").withColumn("lead", F.max("lead").over(Window.partitionBy("hi")))
+    rows = materialize(rows.where("lead").select("s", "rep", "n", "hi", "lo", "shingles"), "rows-all")
+    rows = materialize(_able(_alike_rows(rows), percent), "able")
+    # the shingles that lead to anyone, and the member there that shares most as the group's pivot
+    pivot = F.min(F.struct("apart", "rep", "hi", "lo"))
+    shared = rows.groupBy("s").agg(F.count("*").alias("c"), pivot.alias("pivot"), F.min("rep").alias("first"), F.max("rep").alias("last"))
+    rows = materialize(rows.join(shared.where("first <> last").drop("first", "last"), "s"), "rows")
 
     best = rows.groupBy("rep", "hi", "lo").agg(F.max(F.struct("c", "s", "pivot")).alias("k")).select("rep", "hi", "lo", "k.*")
     best = best.withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
@@ -548,7 +602,7 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         found = docs.select("text").mapInArrow(_of_members(width, bitmap, make), "hi long, lo long, value binary")
         return found.join(F.broadcast(wanted) if few else wanted, ["hi", "lo"])
 
-    pivots = best.where("parts > 1").groupBy("s", "part", "pivot").agg(F.lit(1).alias("one")).select("pivot.*", "s", "part")
+    pivots = best.where("parts > 1").groupBy("s", "part", "pivot").agg(F.lit(1).alias("one")).select("pivot.rep", "pivot.hi", "pivot.lo", "s", "part")
     places = materialize(best.select("rep", "hi", "lo", "s", "part").union(pivots), "places")
     placed = values(places, lambda x: _narrow(order.value.sort(x)))
     links = placed.groupBy("s", "part").applyInPandas(_join_part(percent), pair)
@@ -574,14 +628,14 @@ def ngram_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         """Rows of the shingles whose members are in several components."""
         now = rows.join(labels, "rep")
         open_ = now.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).where("l0 <> l1")
-        return materialize(now.select("s", "rep", "n", "hi", "shingles", "label").join(open_.select("s", "c"), "s"), "open")
+        return materialize(now.select("s", "rep", "n", "hi", "shingles", "apart", "label").join(open_.select("s", "c"), "s"), "open")
 
     for _ in range(PIVOT_ROUNDS):
         left = undecided(labels)
         if histograms is None:
             open_members = materialize(members.join(left.select("rep").distinct(), "rep"), "open-members")
             histograms = materialize(values(open_members, _sketch), "histograms")
-        firsts = left.groupBy("s", "label").agg(F.min(F.struct("rep", "n")).alias("m"))
+        firsts = left.groupBy("s", "label").agg(F.min(F.struct("apart", "rep", "n")).alias("m"))
         pivot = firsts.groupBy("s").agg(F.min("m").alias("p"))
         pairs = firsts.join(pivot, "s").where("m.rep <> p.rep").selectExpr("p.rep a", "m.rep b", "p.n n1", "m.n n2").where(_alike(percent))
         links = verified(pairs.distinct())

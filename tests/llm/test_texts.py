@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
@@ -320,3 +321,63 @@ def test_pairs_left_come_from_few_shingles(spark):
     assert pairs(30).count() == 0  # 30 shingles of a passage, in the prefixes of 401, are too few for a link
     many = pairs(180)
     assert many.count() == many.distinct().count() == 66  # each pair once, not once for each of 180 shingles
+
+
+def test_near_copies_below_the_threshold_make_no_pairs(spark):
+    # a family's shingles are ordered last; twelve own ones of 147 are more than a link allows two equally long sets
+    for shared, expected in ((11, 0), (12, 66)):
+        rows = [(s, rep, 147, rep, 1, rep, 12) for rep in range(12) for s in range(shared)]
+        left = spark.createDataFrame(rows, "s long, rep long, n long, hi long, shingles long, label long, c long")
+        assert ngram_join._pairs_left(ngram_join._by_rarity(left), 85).count() == expected
+
+
+def test_family_of_near_copies_equals_brute_force(spark, monkeypatch):
+    # one text with up to five words replaced: the members with few edits are one class, most others link with nothing
+    monkeypatch.setattr(ngram_join, "PART", 16)
+    monkeypatch.setattr(ngram_join, "HOT_FROM", 8)
+    made, plain = [], ngram_join._pairs_left
+    monkeypatch.setattr(ngram_join, "_pairs_left", lambda left, percent: made.append((p := plain(left, percent)).count()) or p)
+    rng = random.Random(9)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for k in range(240):
+        w = base[: 150 - rng.choice((0, 0, 0, 3))]
+        for at in rng.sample(range(len(w)), rng.randint(1, 5)):
+            w[at] = f"e{k}x{at}" if rng.random() < 0.8 else f"e{at}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = plain_sets(texts, 4)
+    expected = plain_classes(range(len(texts)), sets, 85)
+    assert 60 < len(set(expected.values())) < 180
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_classes(docs, 4, 85).collect()}
+    assert got == {i: (len(s), expected[i]) for i, s in enumerate(sets)}
+    assert made[0] < 28_680 // 8  # an eighth of all pairs
+
+
+def test_sets_that_share_too_few_shingles_are_left(spark):
+    # as in the least case of any two sizes, over every size of the other set
+    for percent in (60, 80, 85):
+        rows = [(n, n, rng_low, rng_high) for n in (5, 40, 147, 700) for rng_low, rng_high in ((1, 9_000), (n, n), (n - 3, n + 5))]
+        sizes = spark.createDataFrame(rows, "rep long, n long, low long, high long")
+        bound = ngram_join._may_link(percent).removeprefix("held >= ")
+        for r in sizes.selectExpr("*", f"{bound} k").collect():
+            prefix = lambda n: ngram_join.prefix_length(n, percent)  # noqa: B023, E731
+            room = lambda n, m: min(prefix(n) - n, prefix(m) - m) + ngram_join.least_overlap(n, m, percent)  # noqa: B023, E731
+            others = [m for m in range(max(1, r["low"]), r["high"] + 1) if 100 * min(m, r["n"]) >= percent * max(m, r["n"])]
+            least = min(max(1, room(r["n"], m)) for m in others)
+            assert least - 2 <= r["k"] <= least
+    # two sets with ten shared shingles and two with forty, of 147; a text of any size may link on one
+    rows = [(s, rep, 147, rep, rep, 1, 2, 147, 147) for reps, shared in (((1, 2), 10), ((3, 4), 40)) for rep in reps for s in range(1000 * reps[0], 1000 * reps[0] + shared)]
+    rows += [(9, 5, 147, 5, 5, 1, 2, 20, 900)]
+    found = ngram_join._able(spark.createDataFrame(rows, "s long, rep long, n long, hi long, lo long, shingles long, c long, low long, high long"), 85)
+    assert {r["rep"] for r in found.select("rep").distinct().collect()} == {3, 4, 5}
+
+
+def test_shingles_of_the_same_sets_get_one_name():
+    packed = [np.array(v, dtype=t).tobytes() for v, t in (([1, 1, 2, 2, 3, 3, 3, 4], np.int64), ([7, 8, 7, 8, 7, 8, 9, 7], np.int64), ([4] * 8, np.int16), ([0, 255, 255, 255, 9, 9, 9, 0], np.uint8))]
+    pdf = pd.DataFrame({"bucket": [0], **dict(zip(("s", "hi", "step", "place"), ([p] for p in packed), strict=True))})
+    got = ngram_join._shared_rows(4, 85)(pdf)
+    names = got.groupby("s")["hi"].agg(list).tolist()
+    assert sorted(map(sorted, names)) == [[7, 7, 8, 8], [7, 8, 9]]
+    assert got["lead"].tolist() == [True, True, False, False, True, True, True]
+    hot = ngram_join._shared_rows(0, 85)(pd.concat([pdf, pdf]))
+    assert hot[["s", "hi"]].values.tolist() == [[1, 7], [1, 8], [2, 7], [2, 8], [3, 7], [3, 8], [3, 9], [4, 7]] and hot["lead"].all()

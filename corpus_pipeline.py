@@ -13,6 +13,8 @@ from quillspark.llm.pii import pii_stage
 
 #: A near-duplicate stage takes five-word shingles and a similarity of 0.8.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: Ids of removed or repeated rows that may be broadcast (some 30 bytes each); more are shuffled with the texts.
+BROADCAST_IDS = 4_000_000
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +24,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one stays. Rows and columns of those kept stay as they are.
     """
     classes = materialize(ngram_classes(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "classes")
-    counts = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(counts.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    counts = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.expr("doc_id = component_id")).alias("n"))
+    others = counts.where("n <> 1").select("doc_id")
+    if others.count() <= BROADCAST_IDS:  # so that the texts needn't be shuffled
+        others = F.broadcast(others)
+    kept = docs.where("doc_id is not null").join(others, "doc_id", "left_anti")
     # rows that share an id; apart, so that only these texts are aggregated
     repeated = docs.join(counts.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull()))

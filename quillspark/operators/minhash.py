@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import normalize
-from quillspark.operators.dedup import greedy_dropped
-from quillspark.operators.gramsets import gram_sets, grams, reaching, unpacked  # noqa: F401
+from quillspark.operators.dedup import dropped_greedily
+from quillspark.operators.dedup import first_sets as _first_sets
+from quillspark.operators.gramsets import by_size, gram_sets, grams, reaching, similar_pairs, unpacked  # noqa: F401
 from quillspark.tables import staged
 
 THRESHOLD, K = 0.85, 3
@@ -25,7 +26,7 @@ PERMUTATIONS = BANDS * ROWS
 BLOCK = 256
 #: Rows of small bands that share a task.
 GROUP_ROWS = 20_000
-#: Rounds in which the earliest row of each band is compared with the others, before all pairs that are left.
+#: Rounds in which what has no earlier similar row drops what is similar to it, before all pairs that are left.
 ROUNDS = 3
 #: Signatures that agree in fewer places than the threshold by so much are no candidates: four standard deviations.
 _SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / PERMUTATIONS) ** 0.5
@@ -83,12 +84,6 @@ def _signatures(sets: DataFrame) -> DataFrame:
     return sets.select("id", "g").mapInPandas(_signed, "id long, sig binary, bands array<long>")
 
 
-def _first_sets(docs: DataFrame) -> DataFrame:
-    """(id, n, g) of one row of each normalised text of ``docs`` (id, text) that has a gram; sets travel, texts don't."""
-    normal = docs.select("id", normalize(F.col("text")).alias("t")).withColumn("h", F.sha2("t", 256))
-    return gram_sets(normal, K, "h").groupBy("h").agg(F.min_by(F.struct("id", "n", "g"), "id").alias("x")).select("x.*")
-
-
 def _members(signed: DataFrame) -> DataFrame:
     return signed.select("id", F.posexplode("bands").alias("band", "h"))
 
@@ -103,7 +98,7 @@ def _alike(threshold: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, low, high = key
         pdf = pdf.sort_values(["band", "h", "id"], kind="stable")
-        ids, block, band, h = (pdf[c].to_numpy() for c in ("id", "block", "band", "h"))
+        ids, block, band, h, crowd = (pdf[c].to_numpy() for c in ("id", "block", "band", "h", "crowd"))
         code = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(ids), -1)
         places, numbers = code[:, :PERMUTATIONS], np.ascontiguousarray(code[:, PERMUTATIONS:]).view(np.int64)
         cuts = [*np.flatnonzero((np.diff(band, prepend=-1) != 0) | (np.diff(h, prepend=h[0]) != 0)), len(ids)]
@@ -113,6 +108,7 @@ def _alike(threshold: float):
             right = left if low == high else x + np.flatnonzero(block[x:y] == high)
             for at, i in enumerate(left):
                 others = right[at + 1 :] if low == high else right
+                others = others[~crowd[others]] if crowd[i] else others
                 # a pair counts in the first band that it shares only
                 others = others[(numbers[others] == numbers[i]).argmax(1) == band[x]]
                 others = others[(places[others] == places[i]).mean(1) >= threshold - _SLACK]
@@ -124,58 +120,66 @@ def _alike(threshold: float):
     return run
 
 
-def candidates(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def candidates(signed: DataFrame, threshold: float = THRESHOLD, crowd: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of rows (id, sig, bands) that share a band and whose signatures nearly agree, each once.
 
-    Bands of a block or less share tasks, many to one; of larger ones each pair of blocks is its own.
+    Bands of a block or less share tasks, many to one; of larger ones each pair of blocks is its own. Given a ``crowd``
+    (id), the rows of larger bands, pairs within it are left out, and these bands with them.
     """
-    held = staged(_shared(_members(signed)).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "held")
+    held = _shared(_members(signed)).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    if crowd is None:
+        held = held.withColumn("crowd", F.lit(False))
+    else:
+        held = held.where(F.col("n") <= BLOCK).join(crowd.withColumn("crowd", F.lit(True)), "id", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    held = staged(held, "held")
     held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     groups = max(1, -(-held.count() // GROUP_ROWS))
     group = F.when(F.col("blocks") > 1, F.xxhash64("band", "h")).otherwise(F.pmod(F.xxhash64("band", "h"), F.lit(groups)))
     dealt = held.withColumn("group", group).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "h", "group", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = dealt.select("band", "h", "group", "id", "block", "crowd", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     whole = dealt.join(signed.select("id", "sig"), "id")
     tasks = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return whole.repartition(tasks, "group", "low", "high").groupBy("group", "low", "high").applyInPandas(_alike(threshold), "a long, b long")
 
 
-def minhash_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b, jaccard) as ``near_pairs`` gives them, of rows of ``docs`` (id, text) that share a band. Pairs of one
-    large family are all listed; ``minhash_keep`` doesn't need them."""
-    sets = staged(_first_sets(docs), "sets")
+def _crowd(signed: DataFrame) -> DataFrame:
+    """(id) of the rows that share a band with more than a block of others."""
+    members = _members(signed)
+    large = members.groupBy("band", "h").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).drop("n")
+    return staged(members.join(large, ["band", "h"], "left_semi").select("id").distinct(), "crowd")
+
+
+def _split(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The sets (``by_size``) of the crowd of ``sets`` (id, n, g), which are to be compared by size, and the similar pairs
+    (a, b, jaccard) of other rows, with each other and with it.
+
+    The candidates of a crowd grow with the square of its size, and most are not similar; nothing of them is stored.
+    """
     signed = staged(_signatures(sets), "signatures")
-    return reaching(candidates(signed, threshold), sets, threshold)
+    crowd = _crowd(signed)
+    others = staged(reaching(candidates(signed, threshold, crowd), sets, threshold), "pairs")
+    return by_size(sets.join(crowd, "id", "left_semi"), "crowd-sets"), others
+
+
+def minhash_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b, jaccard) as ``near_pairs`` gives them, of rows of ``docs`` (id, text) that share a band, and all pairs of
+    the rows of large bands. Pairs of one large family are all listed; ``minhash_keep`` doesn't need them."""
+    crowd, others = _split(staged(_first_sets(docs), "sets"), threshold)
+    return similar_pairs(crowd, threshold).union(others)
 
 
 def _dropped(sets: DataFrame, threshold: float, rounds: int) -> DataFrame:
     """The ids of ``sets`` (id, n, g) that ``keep_first`` leaves out."""
-    signed = staged(_signatures(sets), "signatures")
-    members = staged(_members(signed), "members")
-    dropped = None
-    for _ in range(rounds):
-        shared = staged(_shared(members), "shared")
-        firsts = shared.groupBy("id").agg(F.bool_and(F.col("first") == F.col("id")).alias("kept")).where("kept").select("id")
-        firsts = staged(firsts, "kept")
-        pairs = shared.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-        pairs = pairs.join(firsts.withColumnRenamed("id", "a"), "a", "left_semi")
-        gone = staged(reaching(pairs, sets, threshold).select(F.col("b").alias("id")).distinct(), "dropped")
-        dropped = gone if dropped is None else dropped.union(gone)
-        # what is kept has met all that share a band with it
-        members = staged(shared.select("band", "h", "id").join(firsts.union(gone), "id", "left_anti"), "members")
-        if members.isEmpty():
-            break
-    left = signed.join(members.select("id").distinct(), "id", "left_semi")
-    pairs = staged(reaching(candidates(staged(left, "left"), threshold), sets, threshold), "pairs")
-    gone = greedy_dropped(pairs)
-    return gone if dropped is None else dropped if gone is None else dropped.union(gone)
+    crowd, others = _split(sets, threshold)
+    dropped = dropped_greedily(crowd, threshold, others.select("a", "b"), rounds)
+    return sets.select("id").limit(0) if dropped is None else dropped
 
 
 def keep_first(texts: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """The rows (id, t) of ``texts``, distinct ones, that are kept in order of id: all that are not similar to a kept one.
 
-    A row that is the earliest of all its bands is kept, and what is similar to it goes; a large family is so reduced to
-    its kept rows by as many comparisons as it has members. After ``rounds`` such rounds, pairs of what is left decide.
+    A row without an earlier similar one is kept, and what is similar to it goes, so that a large family is reduced to its
+    kept rows without a list of its pairs. After ``rounds`` such rounds, pairs of what is left decide.
     """
     return texts.join(_dropped(staged(gram_sets(texts, K), "sets"), threshold, rounds), "id", "left_anti")
 
